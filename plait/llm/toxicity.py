@@ -1,7 +1,8 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse text features.
 
 P(grade > j | x) = 1 / (1 + exp(t_j - w.x)), with one weight vector for all ordered thresholds t_0 < t_1. The result
-is the expected grade. Features are the distinct lower-case words of a text that stand out in the labelled rows.
+is the expected grade. Features are the distinct lower-case words of a text and
+their beginnings, those that stand out in the labelled rows.
 Only a binary label is given: toxic rows get grade 2 if they hold at least the median of distinct telling words of
 toxic rows and more than one, else 1.
 """
@@ -21,18 +22,30 @@ from plait.llm import common
 
 #: Labelled rows for training, the bound of what reaches the driver: those with the smallest hashes of their ids.
 SAMPLE = 8000
-GRADES, RARE, TELLING, STEPS, PENALTY = 3, 4, 4.5, 400, 1e-3
+GRADES, RARE, TELLING, STEPS, PENALTY = 3, 6, 6.0, 400, 1e-4
+BEGINNINGS = (4, 5, 6, 7, 8)
 _WORD = re.compile(r"[^\W\d_]+").findall
 
 
 def words(text: str) -> set[str]:
-    return set(_WORD(text.lower()))
+    """The features of a text: its distinct words, and their beginnings, as languages that inflect or compound vary the rest."""
+    return features(set(_WORD(text.lower())))
 
 
-def select(rows: list[set[str]], toxic: np.ndarray) -> list[str]:
+def features(found: set[str]) -> set[str]:
+    return found.union(*({f"{w[:n]}-" for w in found if len(w) > n} for n in BEGINNINGS))
+
+
+def select(rows: list, toxic: np.ndarray) -> list[str]:
     """Words found in toxic rows more often than chance allows, by the normal score of their count."""
     share = toxic.mean()
-    held, bad = Counter(w for r in rows for w in r), Counter(w for r, t in zip(rows, toxic) if t for w in r)
+    held: Counter[str] = Counter()
+    bad: Counter[str] = Counter()
+    for r, t in zip(rows, toxic):  # beginnings are made a row at a time, which bounds the driver's memory
+        found = features(set(r))
+        held.update(found)
+        if t:
+            bad.update(found)
     score = {w: (b - held[w] * share) / np.sqrt(held[w] * share * (1 - share)) for w, b in bad.items() if held[w] >= RARE}
     return sorted(w for w, z in score.items() if z >= TELLING)
 
@@ -72,7 +85,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(words(t)) for t in b.column(1).to_pylist()], pa.list_(pa.string())), b.column(2)], ["doc_id", "words", "toxic"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(set(_WORD(t.lower()))) for t in b.column(1).to_pylist()], pa.list_(pa.string())), b.column(2)], ["doc_id", "words", "toxic"])
 
     return held.mapInArrow(one, "doc_id long, words array<string>, toxic int")
 
@@ -83,17 +96,17 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndar
     toxic = rows["toxic"].to_numpy(dtype=int) > 0 if len(rows) else np.zeros(0, bool)
     if not toxic.any() or toxic.all():
         return {}, np.full(GRADES - 1, 20.0)
-    held = [set(w) for w in rows["words"]]
+    held = list(rows["words"])
     names = select(held, toxic)
     at = {w: i for i, w in enumerate(names)}
     x = np.zeros((len(held), len(names)))
     for i, r in enumerate(held):
-        x[i, [at[w] for w in r if w in at]] = 1
+        x[i, [at[w] for w in features(set(r)) if w in at]] = 1
     w, t = fit(x, grades(x, toxic))
     return dict(zip(names, w.tolist())), t
 
 
-def score(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, limit: float = 0.3) -> DataFrame:
     """doc_id, severity (expected grade, 0 to 2), p_toxic, grade (the likeliest), toxic (p_toxic >= limit).
 
     Trains on a sample of labels(doc_id, toxic) joined with docs(doc_id, text, ...) of at most SAMPLE rows, then scores every
@@ -106,7 +119,7 @@ def score(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = weights.keys()
         for b in batches:
-            z = np.array([sum(weights[w] for w in sorted(known & set(_WORD((x or "").lower())))) for x in b.column(1).to_pylist()], dtype=float)
+            z = np.array([sum(weights[w] for w in sorted(known & words(x or ""))) for x in b.column(1).to_pylist()], dtype=float)
             above = 1 / (1 + np.exp(np.clip(t[None, :] - z[:, None], -40, 40)))
             p = np.concatenate([1 - above[:, :1], above[:, :-1] - above[:, 1:], above[:, -1:]], axis=1)
             columns = [b.column(0), pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(above[:, 0] >= limit)]
