@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plait.llm import media, mixing, packing, quality, sharding, tokenfile, toxicity
+from pyspark.sql import functions as F
+
+from plait.llm import lines, media, mixing, packing, quality, sharding, substrings, tokenfile, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +23,19 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(_documents(spark, sf_dir), drop_emptied=False)
+    return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir), [1.0] * 40, [1.0] * 41)
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(_documents(spark, sf_dir))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_documents(spark, sf_dir))
 
@@ -41,5 +52,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op2_mix": op2_mix, "op5_shard": op5_shard, "op7_media": op7_media, "op8_token_ids": op8_token_ids, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op2_mix": op2_mix, "op3_lines": op3_lines, "op5_shard": op5_shard, "op6_substrings": op6_substrings, "op7_media": op7_media, "op8_token_ids": op8_token_ids, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
 ORACLE: dict[str, str] = {}
