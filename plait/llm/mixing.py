@@ -71,3 +71,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     more = (F.col("h") < F.col("prefix")) | ((F.col("h") == F.col("prefix")) & F.col("ends_in"))
     copies = (F.col("base") + F.when((F.col("base") < most) & more, 1).otherwise(0)).cast("long")
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), *(F.col(f"__keep_{c}").alias(c) for c in keep))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
+    """The rows of docs as often as mix() takes them, with all their columns, whatever their names."""
+    whole = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("__row"))
+    taken = mix(whole, weights, most, ("__row",)).where("copies > 0")
+    return taken.select(F.explode(F.array_repeat("__row", F.col("copies").cast("int"))).alias("__row")).select("__row.*")

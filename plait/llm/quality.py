@@ -115,3 +115,9 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             inside = inside & (v >= F.coalesce(F.col(f"{k}_least"), v))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return joined.select("doc_id", *counts, (~F.col("base_failed") & inside).alias("kept"), *(c for c in keep if c != "doc_id"))
+
+
+def passing(docs: DataFrame) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns, whatever their names."""
+    whole = docs.select("doc_id", "text", "lang", "source", F.struct(*docs.columns).alias("__row"))
+    return judge(whole, ("__row",)).where("kept").select("__row.*")

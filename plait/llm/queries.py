@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
-from plait.llm import lines, media, mixing, packing, quality, sharding, substrings, tokenfile, toxicity
+from plait.llm import jaccard, lines, media, mixing, packing, quality, sharding, substrings, tokenfile, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +27,10 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(_documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir), [1.0] * 40, [1.0] * 41)
 
@@ -52,5 +55,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op2_mix": op2_mix, "op3_lines": op3_lines, "op5_shard": op5_shard, "op6_substrings": op6_substrings, "op7_media": op7_media, "op8_token_ids": op8_token_ids, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op2_mix": op2_mix, "op3_lines": op3_lines, "op4_jaccard": op4_jaccard, "op5_shard": op5_shard, "op6_substrings": op6_substrings, "op7_media": op7_media, "op8_token_ids": op8_token_ids, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality}
 ORACLE: dict[str, str] = {}
