@@ -1,10 +1,8 @@
-"""Named queries with the SQL that DuckDB answers them by."""
+"""Every named query with the SQL that DuckDB answers it by."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from plait.plans import numbers
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+QUERIES = {**numbers.QUERIES}
+ORACLE = {**numbers.ORACLE}
