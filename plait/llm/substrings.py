@@ -7,8 +7,8 @@ Any WINDOW = 13 words hold a whole block of BLOCK = 7 words that starts at a mul
 3. A candidate whose words also start in a document with a smaller doc_id is a repeat; overlapping repeats are maximal ones.
 
 Both lookups are exchanges of packed hashes: a task's rolling windows are split by hash into buckets, and a row carries
-one bucket's share of some million words as bytes (40 or 64 further bits of the hash, steps between positions, and marks
-for indexed places or lengths of documents). So a word costs about six bytes in the first exchange; the second has
+one bucket's share of some million words as bytes (32 or 64 further bits of the hash, steps between positions, and marks
+for indexed places or lengths of documents). So a word costs about five bytes in the first exchange; the second has
 candidates only. A passage that a third of all documents hold is counted where its hash lands, never paired.
 """
 
@@ -101,12 +101,12 @@ def _probe_chunks(buckets: int):
         bucket = _bucket(mixed[use], buckets).astype(np.uint16 if buckets < 1 << 16 else np.int64)
         order = use[np.argsort(bucket, kind="stable")]
         counts = np.bincount(bucket, minlength=buckets)
-        low5 = np.ascontiguousarray(w[order]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+        low = w[order].astype("<u4")
         marks = inside[order] % BLOCK == 0
         rows, at = [], 0
         for b in np.flatnonzero(counts):
             part = slice(at, at + int(counts[b]))
-            rows.append((int(b), chunk, 0, steps(order[part]) + low5[part].tobytes() + np.packbits(marks[part]).tobytes()))
+            rows.append((int(b), chunk, 0, steps(order[part]) + low[part].tobytes() + np.packbits(marks[part]).tobytes()))
             at += int(counts[b])
         table = b"".join(struct.pack("<qqI32s", NULL if d is None else d, th, n, sha) for d, th, n, sha in docs)
         rows.append((chunk % buckets, chunk, 1, table))
@@ -154,11 +154,9 @@ def _find_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, _, data in rows:
             positions, i = unsteps(data, 0)
             n = len(positions)
-            h = np.zeros((n, 8), np.uint8)
-            h[:, :5] = np.frombuffer(data, np.uint8, 5 * n, i).reshape(n, 5)
             at.append(positions)
-            hashes.append(h.view("<u8").ravel())
-            marks.append(np.unpackbits(np.frombuffer(data, np.uint8, -1, i + 5 * n), count=n).astype(bool))
+            hashes.append(np.frombuffer(data, "<u4", n, i))
+            marks.append(np.unpackbits(np.frombuffer(data, np.uint8, -1, i + 4 * n), count=n).astype(bool))
         if rows:
             h, marked = np.concatenate(hashes), np.concatenate(marks)
             order = np.argsort(h, kind="stable")
@@ -223,7 +221,7 @@ def _candidate_chunks(buckets: int):
                 who = who[np.argsort(first)]
                 n = n[np.argsort(first)]
                 keys = np.array([(NULL if docs[i][0] is None else docs[i][0], docs[i][1]) for i in who], "<i8")
-                rows.append((int(b), part, 0, struct.pack("<II", len(o), len(who)) + keys.tobytes() + n.astype("<u4").tobytes() + h[o].astype("<u8").tobytes() + at[o].astype("<u4").tobytes()))
+                rows.append((int(b), part, 0, struct.pack("<II", len(o), len(who)) + keys.tobytes() + n.astype("<u4").tobytes() + h[o].astype("<u8").tobytes() + at[o].astype("<u4" if at[o].max() >> 16 else "<u2").tobytes()))
             docs.clear()
             for i in range(0, len(rows), 64):
                 yield _rows(rows[i : i + 64])
@@ -245,8 +243,8 @@ def _candidate_chunks(buckets: int):
     return run
 
 
-def _find_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In each bucket: candidates whose hash also belongs to a smaller doc_id, as doc_id, th, starts."""
+def _find_repeats(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """In each bucket: candidates whose hash also belongs to a smaller doc_id, packed for one of `parts` gatherers."""
     for _, rows in _grouped(batches, "bucket"):
         keys, counts, hashes, starts = [], [], [], []
         for _, _, _, data in rows:
@@ -255,9 +253,9 @@ def _find_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             keys.append(np.frombuffer(data, "<i8", 2 * k, i).reshape(k, 2))
             counts.append(np.frombuffer(data, "<u4", k, i + 16 * k).astype(np.int64))
             hashes.append(np.frombuffer(data, "<u8", n, i + 20 * k))
-            starts.append(np.frombuffer(data, "<u4", n, i + 20 * k + 8 * n))
+            starts.append(np.frombuffer(data, "<u2" if len(data) == i + 20 * k + 10 * n else "<u4", n, i + 20 * k + 8 * n).astype(np.uint32))
         key, n, h, at = np.concatenate(keys), np.concatenate(counts), np.concatenate(hashes), np.concatenate(starts)
-        who = np.repeat(np.arange(len(n)), n)
+        who = np.repeat(np.arange(len(n), dtype=np.int32), n)
         doc = key[who, 0]
         order = np.argsort(h, kind="stable")
         s = h[order]
@@ -267,10 +265,31 @@ def _find_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         repeat[order] = doc[order] > np.repeat(least, np.diff(np.append(new, len(h))))
         own = np.flatnonzero(repeat)
         cut = np.searchsorted(who[own], np.arange(len(n) + 1))
-        out = [(key[i], at[own[a:b]]) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-        for i in range(0, len(out), 4096):
-            part = out[i : i + 4096]
-            columns = [pa.array([None if k[0] == NULL else int(k[0]) for k, _ in part], pa.int64()), pa.array([int(k[1]) for k, _ in part], pa.int64()), pa.array([a.tobytes() for _, a in part], pa.binary())]
+        out: dict[int, list[bytes]] = {}
+        for i, a, b in zip(range(len(n)), cut[:-1], cut[1:]):
+            if b > a:
+                x = key[i].tobytes() + struct.pack("<I", b - a) + at[own[a:b]].tobytes()
+                out.setdefault((int(key[i, 0]) * 31 + int(key[i, 1])) % parts, []).append(x)
+        rows = [(to, 0, 0, b"".join(x)) for to, x in out.items()]
+        for i in range(0, len(rows), 64):
+            yield _rows(rows[i : i + 64])
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's repeats in one row: doc_id, th, starts."""
+    for _, rows in _grouped(batches, "bucket"):
+        found: dict[bytes, list[bytes]] = {}
+        for _, _, _, data in rows:
+            i = 0
+            while i < len(data):
+                n = struct.unpack_from("<I", data, i + 16)[0]
+                found.setdefault(data[i : i + 16], []).append(data[i + 20 : i + 20 + 4 * n])
+                i += 20 + 4 * n
+        items = list(found.items())
+        for i in range(0, len(items), 1024):
+            part = items[i : i + 1024]
+            keys = np.frombuffer(b"".join(k for k, _ in part), "<i8").reshape(-1, 2)
+            columns = [pa.array([None if d == NULL else d for d in keys[:, 0].tolist()], pa.int64()), pa.array(keys[:, 1]), pa.array([b"".join(x) for _, x in part], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "starts"])
 
 
@@ -285,9 +304,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, th, n_removed, sha, kept of documents with repeats."""
     for batch in batches:
         rows = []
-        for doc, th, text, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
+        for doc, th, text, starts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
             words = (text or b"").split()
-            gone = covered(np.unique(np.frombuffer(b"".join(parts), "<u4").astype(np.int64)), len(words))
+            gone = covered(np.unique(np.frombuffer(starts, "<u4").astype(np.int64)), len(words))
             kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
             rows.append((doc, th, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
         columns = list(zip(*rows)) if rows else [()] * 5
@@ -318,12 +337,15 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     texts = rows.alias("a").join(marked.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")))
     texts = common.written(texts.select("a.doc_id", "a.th", "a.text", "b.hits"), "substring-texts")
     common.settle(spark)
-    candidates = texts.select("doc_id", "th", "text", "hits").mapInArrow(_candidate_chunks(buckets), _PACKED)
-    repeats = candidates.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_find_repeats, "doc_id long, th long, starts binary")
-    repeats = common.written(repeats.groupBy("doc_id", "th").agg(F.collect_list("starts").alias("parts")), "substring-repeats")
+    candidates = texts.select("doc_id", "th", "text", "hits").mapInArrow(_candidate_chunks(max(1, n // 2)), _PACKED)
+    repeats = candidates.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _find_repeats(b, n), _PACKED)
+    repeats = common.written(repeats, "substring-repeats")
+    common.settle(spark)
+    starts = repeats.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, "doc_id long, th long, starts binary")
+    cut = texts.alias("a").join(starts.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")))
+    cut = cut.select("a.doc_id", "a.th", "a.text", "b.starts").mapInArrow(_cut, "doc_id long, th long, n_removed long, sha string, kept string")
+    cut = common.written(cut if with_text else cut.drop("kept"), "substring-cut").dropDuplicates(["doc_id", "th"])
     common.settle(spark)
-    cut = texts.alias("a").dropDuplicates(["doc_id", "th"]).alias("a").join(repeats.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")))
-    cut = cut.select("a.doc_id", "a.th", "a.text", "b.parts").mapInArrow(_cut, "doc_id long, th long, n_removed long, sha string, kept string")
     out = table.alias("a").join(cut.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")), "left")
     columns = ["a.doc_id", "a.n_words", F.coalesce("b.n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("b.sha", "a.sha").alias("kept_sha256")]
     return out.select(*columns, *(["b.kept"] if with_text else []))
