@@ -5,7 +5,8 @@ Lengths are integers up to the capacity, so the whole plan is made on the driver
 
 1. Large lengths are sorted and cut into groups of equal cardinality; within a group all round up to the longest.
 2. Configurations of the few rounded sizes are optimised by column generation (a knapsack for each new one).
-3. Whole multiples of configurations get the groups' actual documents.
+3. Whole multiples of configurations get the groups' actual documents, but for the shortest place of each: rounding
+   up left room that depends on the documents, so that place goes to what fits it best.
 4. What is left, large or small, goes by best fit, longest first, into the space left over, then new sequences.
 
 The plan is run-length coded: sequences of equal content form a class, so its size is bounded by the number of
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 
 from plait.llm import common, tokens
 
-GROUPS, LARGE = 64, 8  # groups of equal cardinality; lengths over capacity / LARGE are large
+GROUPS, LARGE = 32, 8  # groups of equal cardinality; lengths over capacity / LARGE are large
+REPACK = (0.99, 0.98, 0.995)  # shares of the capacity under which a sequence is packed anew
 Class = tuple[int, list[tuple[int, int]]]  # how many sequences; (length, copies) in order
 
 
@@ -142,6 +144,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[Class]:
     classes: list[Class] = []
     for use, times in configurations(distinct, [merged[s] for s in distinct], capacity):
         slots = [s for s, c in zip(distinct, use) for _ in range(c)]
+        slots = slots[:-1] if len(slots) > 1 else slots  # the shortest is chosen below, by what the real lengths leave
         while times:
             step, held = times, {}
             for s in set(slots):  # as many sequences as the heads of the queues serve alike
@@ -169,7 +172,20 @@ def plan(histogram: dict[int, int], capacity: int) -> list[Class]:
         for a, n in q:
             if n:
                 rest[a] = rest.get(a, 0) + n
-    return full + best_fit(classes, list(rest.items()), capacity)
+    made = best_fit(classes, list(rest.items()), capacity)
+    for share in REPACK:  # sequences that stayed emptier are packed anew; the better plan stands
+        again: dict[int, int] = {}
+        good = []
+        for n, held in made:
+            if sum(a * k for a, k in held) >= share * capacity:
+                good.append((n, held))
+            else:
+                for a, k in held:
+                    again[a] = again.get(a, 0) + n * k
+        new = best_fit(good, list(again.items()), capacity)
+        if sum(n for n, _ in new) < sum(n for n, _ in made):
+            made = new
+    return full + made
 
 
 def places(classes: list[Class]) -> np.ndarray:
