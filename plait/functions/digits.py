@@ -228,3 +228,65 @@ def dyadic_stalk(f_num: Column, f_den: Column, width: int = 24) -> Column:
         return let(e, on)
 
     return let(F.struct(f_num.cast(EXACT).alias("n"), f_den.cast(EXACT).alias("d")), of)
+
+
+def is_dyadic(den: Column) -> Column:
+    """Whether an exact positive denominator is a power of two."""
+
+    def of(d: Column) -> Column:
+        low = (d % whole(1 << 62)).cast("bigint")
+        high = ((d - low.cast(EXACT)) / whole(1 << 62)).cast(EXACT).cast("bigint")
+        one = lambda x: F.bit_count(x) == 1
+        return F.when(high == 0, one(low)).otherwise((low == 0) & one(high))
+
+    return let(den.cast(EXACT), of)
+
+
+def log2(den: Column) -> Column:
+    """The exponent of a power of two up to 2^62."""
+    return F.length(F.bin(den.cast("bigint"))) - 1
+
+
+def dyadic_digits(num: Column, places: Column) -> Column:
+    """num / 2^places, inside (-1, 1) and in lowest terms, as its digits; a whole number is one green cell."""
+    return F.when(places == 0, F.array(F.lit(0))).otherwise(_digits(F.lpad(F.bin(F.abs(num).cast("bigint")), places.cast("int"), "0"), F.signum(num).cast("int")))
+
+
+def dyadic_on_ring(num: Column, places: Column) -> Column:
+    """struct(d, e) of num / 2^places with the leading cell lit; e may be negative; 0 is one green cell on ring 0."""
+
+    def of(p: Column) -> Column:
+        n, k = p["n"], p["k"]
+        b = F.bin(F.abs(n))
+        e = F.length(b) - k
+        twos = F.least(F.length(b) - F.length(F.rtrim(b, F.lit("0"))), k)  # lowest terms have fewer cells
+        lit = F.struct(_digits(F.substring(b, F.lit(1), F.length(b) - twos), F.signum(n).cast("int")).alias("d"), e.cast("int").alias("e"))
+        return F.when(n == 0, F.struct(F.array(F.lit(0)).alias("d"), F.lit(0).alias("e"))).otherwise(lit)
+
+    return let(F.struct(num.cast("bigint").alias("n"), places.alias("k")), of)
+
+
+def on_ring(cells: Column, e: Column) -> Column:
+    """The value 2^e times a stalk as text."""
+    return let(cells, lambda c: ratio((numerator(c) * pow2(F.greatest(e - F.size(c), F.lit(0)))).cast(EXACT), F.greatest(F.size(c) - e, F.lit(0))))
+
+
+SUPERSCRIPTS = "⁰¹²³⁴⁵⁶⁷⁸⁹"
+
+
+def scientific(num: Column, den: Column, figures: int = 6) -> Column:
+    """num / den in scientific form with `figures` digits, cut and not rounded, so that it never exceeds the value.
+
+    For integers up to 2^62: the quotient is scaled so that its whole part has figures + 1 digits at least.
+    """
+
+    def of(p: Column) -> Column:
+        n, d = F.abs(p["n"]).cast(EXACT), p["d"].cast(EXACT)
+        k = F.lit(figures + 1) + F.greatest(F.length(d.cast("string")) - F.length(n.cast("string")), F.lit(0))
+        scaled = (n * F.rpad(F.lit("1"), (k + 1).cast("int"), "0").cast(EXACT)).cast(EXACT)
+        q = ((scaled - scaled % d) / d).cast(EXACT).cast("string")
+        e = F.length(q) - 1 - k
+        up = F.translate(F.abs(e).cast("string"), "0123456789", SUPERSCRIPTS)
+        return F.when(p["n"] == 0, "0").otherwise(F.concat(F.when(p["n"] < 0, "−").otherwise(""), F.substring(q, 1, 1), F.lit("."), F.substring(q, 2, figures - 1), F.lit("×10"), F.when(e < 0, "⁻").otherwise(""), up))
+
+    return let(F.struct(num.alias("n"), den.alias("d")), of)

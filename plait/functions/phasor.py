@@ -40,3 +40,17 @@ def point(p: Column, phase: Column, t: Column) -> Column:
     b = phase + F.when(p["dir"] < 0, F.pi()).otherwise(0.0) + p["dir"] * p["rate_b"] * t
     m, d, r = (p["inner_sum"] + p["outer_sum"]) / 2, (p["inner_sum"] - p["outer_sum"]) / 2, p["fold_sum"] * F.cos(b)
     return F.struct((r * F.cos(a)).alias("x"), (r * F.sin(a)).alias("y"), (m * F.sin(b) + d * F.abs(F.sin(b))).alias("z"))
+
+
+def of_cells(cells: Column, sign: Column) -> Column:
+    """phasor() of any digits: the fold's sign turns it, else the sign given; its rate is the number of its cells."""
+
+    def of(rows: Column) -> Column:
+        weight = lambda s: F.pow(F.lit(2.0), -s["w"])
+        within = lambda region: lambda s: s["region"] == region
+        total = lambda region: F.aggregate(F.filter(rows, within(region)), F.lit(0.0), lambda a, s: a + s["v"] * weight(s))
+        runs = F.aggregate(rows, F.struct(F.lit(9).alias("last"), F.lit(0).alias("n")), lambda x, s: F.struct(s["v"].alias("last"), (x["n"] + (x["last"] != s["v"]).cast("int")).alias("n")), lambda x: x["n"])
+        fields = F.struct(*(total(r).alias(f"{r}_sum") for r in ("inner", "fold", "outer")), runs.alias("rate_b"))
+        return D.let(fields, lambda f: F.struct(f["inner_sum"].alias("inner_sum"), f["fold_sum"].alias("fold_sum"), f["outer_sum"].alias("outer_sum"), F.when(f["fold_sum"] != 0, F.signum(f["fold_sum"])).when(sign < 0, -1).otherwise(1).cast("int").alias("dir"), F.size(rows).alias("rate_a"), f["rate_b"].alias("rate_b")))
+
+    return D.let(D.rows_of(cells), of)

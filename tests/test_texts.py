@@ -116,3 +116,35 @@ def test_sources(spark, tmp_path):
     words = spark.createDataFrame([("en", f"w{i}") for i in range(50)] + [("es", f"v{i}") for i in range(3)], "tag string, word string")
     a, b = (sorted(map(tuple, tables.sample_words(words.repartition(n), 10).collect())) for n in (2, 7))
     assert a == b and len(a) == 13
+
+
+def test_requests(spark):
+    from plait.operators import api
+
+    items = {(r.card, r.item): r for r in api.cards(spark, "hello, 3, 45\ncerveza\na, -a\na-b").collect()}
+    assert len([k for k in items if k[0] == 0]) == 3 and not items[0, 2].codes and items[0, 2].is_number
+    assert items[2, 0].codes == items[2, 1].codes and items[2, 1].neg and not items[2, 0].neg and not items[3, 0].neg
+    assert "".join(r.reading for r in api.read(spark, "cerveza", "es-ES").where("branch = 0").orderBy("position").collect()) == "therbetha"
+    assert api.positions(spark, "cervezas").count() == api.MOST_POSITIONS
+    names = spark.createDataFrame([("he",), ("hell",), ("hello",), ("helllo",), ("helo",)], "name string")
+    plain = [r.name for r in api.sort(names, "name").orderBy("key", "name").collect()]
+    assert sorted(plain) == sorted(["he", "hell", "hello", "helllo", "helo"])
+    top = api.sort(names.limit(1).selectExpr("'cervezas' as name"), "name", push="all").collect()
+    assert len(top) == api.MOST_PUSH and all(r.truncated and r.of == 120 for r in top)
+    assert api.base(spark).where("code < block_first or code > block_last").count() == 0
+    with pytest.raises(ValueError):
+        api.read(spark, "x" * 4001)
+    from pyspark.sql import functions as G
+
+    d = api.ipa_digits(spark.createDataFrame([("tʃa",), ("",)], "ipa string"), "ipa").collect()
+    assert len(d[0].digits) == 3 and d[0].number == (d[0].digits[0] * 256 + d[0].digits[1]) * 256 + d[0].digits[2]
+    assert api.ipa_texts(spark, ["tʃaʰ", "b"]).agg(G.sum("segments")).first()[0] == 4
+
+
+def test_racks_of_numbers(spark):
+    from plait.operators import racks
+
+    rows = spark.createDataFrame([(1, 1, 3, None), (1, 2, 10, "*"), (2, 1, 15, "+"), (2, 2, 15, "+"), (3, 1, 5, None), (3, 2, 7, None), (3, 3, 2, "-"), (4, 1, 0, None)], "g int, i int, k long, op string")
+    got = {r.g: r for r in racks.evaluate(rows, "g", "i", "k", "op").collect()}
+    assert (got[1].value, got[2].value, got[3].value, got[4].value) == ("15/128", "15/8", "5/16", "0")
+    assert got[2].e == 1 and got[2].cells == "++++"
