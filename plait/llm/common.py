@@ -67,6 +67,18 @@ def settle(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def released() -> None:
+    """Gives freed memory back to the system at the end of a task, as Python workers live on."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def spread(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session has them."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -25,7 +25,7 @@ from plait.llm.substrings import MULTIPLIER, rolling, word_hashes
 TREES, DEPTH, TARGET = 16, 8, 0.9995
 SKETCH = 64  # minhashes of which four bits are compared within a prefix
 NEAR, ALIKE, LOOSE = 512, 0.7, 0.2  # nodes compared one with another; a member's and another leader's least estimate
-BLOCK_NODES, BLOCK_GRAMS = 1024, 1 << 21
+BLOCK_NODES, BLOCK_GRAMS = 512, 1 << 20
 _ODD = (np.random.RandomState(20).randint(0, 1 << 62, TREES * DEPTH, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -77,8 +77,9 @@ def _describe(n: int):
 def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated similarities of rows of a with rows of b, corrected for equal bits by chance."""
     out = np.empty((len(a), len(b)))
-    for i in range(0, len(a), 256):
-        out[i : i + 256] = (a[i : i + 256, None, :] == b[None, :, :]).sum(axis=2)
+    step = max(1, (1 << 18) // max(1, len(b)))  # 16 MB at once
+    for i in range(0, len(a), step):
+        out[i : i + step] = (a[i : i + step, None, :] == b[None, :, :]).sum(axis=2)
     return (out / SKETCH - 1 / 16) / (15 / 16)
 
 
@@ -212,6 +213,9 @@ def _verify(threshold: float):
     names = ["u", "v", "links"]
 
     def compare(rows: list[tuple]) -> list[tuple[bytes, bytes | None, int]]:
+        rows = [r for r, before in zip(rows, [None, *rows]) if before is None or r[4] != before[4]]
+        if len(rows) < 2:
+            return []
         _, i, j, _, _, _, _ = rows[0]
         block = np.array([r[3] for r in rows])
         sets = [np.frombuffer(r[6], np.uint64) for r in rows]
@@ -245,13 +249,18 @@ def _verify(threshold: float):
             found = compare(held)
             if found:
                 yield out(found)
+        common.released()
 
     return run
 
 
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # repeated rows of a node's document lie side by side after the join: one is enough
         for batch in batches:
+            nodes = batch.column("node").to_pylist()
+            batch = batch.filter(pa.array([a != b for a, b in zip(nodes, [last, *nodes])]))
+            last = nodes[-1] if nodes else last
             sets = pa.array([grams(t, n).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "block", "blocks", "node", "weight")), sets], ["root", "block", "blocks", "node", "weight", "grams"])
 
@@ -272,7 +281,7 @@ def classes(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     parts = common.spread(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
     described = common.written(rows.mapInArrow(_describe(n), "doc_id long, th long, node binary, n_grams long, label binary, sketch binary"), "jaccard-described")
-    nodes = described.groupBy("node").agg(F.count("*").alias("weight"), F.max("n_grams").alias("n_grams"), F.min(F.struct("doc_id", "th")).alias("head"), F.first("label").alias("label"), F.first("sketch").alias("sketch"))
+    nodes = described.groupBy("node").agg(F.count("*").alias("weight"), F.max("n_grams").alias("n_grams"), F.min(F.struct("doc_id", "th")).alias("head"), F.min("doc_id").alias("least"), F.first("label").alias("label"), F.first("sketch").alias("sketch"))
     nodes = common.written(nodes, "jaccard-nodes")
     common.settle(spark)
     depth = prefix_depth(threshold)
@@ -283,6 +292,7 @@ def classes(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     candidates = common.written(forest.mapInArrow(_candidates(threshold), "u binary, v binary"), "jaccard-candidates")
     common.settle(spark)
     roots = graph.components(candidates, "jaccard-roots")
+    common.dropped(candidates)
     member = common.written(nodes.select("node", "weight", "n_grams", "head").join(roots, "node"), "jaccard-members")
     size = member.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_grams").alias("g"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("int")
@@ -298,11 +308,13 @@ def classes(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     common.settle(spark)
     roots = graph.components(links.where("v is not null").select("u", "v"), "jaccard-classes")
     found = links.groupBy("u").agg(F.sum("links").alias("links"))
-    known = nodes.select("node", "weight", F.col("head.doc_id").alias("least")).join(roots, "node", "left").join(found, F.col("node") == F.col("u"), "left")
+    known = nodes.select("node", "weight", "least").join(roots, "node", "left").join(found, F.col("node") == F.col("u"), "left")
     known = common.written(known.select("node", "weight", "least", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "jaccard-known")
     least = common.written(known.groupBy("root").agg(F.min("least").alias("class_id")).select(F.col("root").alias("r"), "class_id"), "jaccard-least")
-    known = common.written(known.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("k"), "root", "class_id", (F.col("links") + F.col("weight") - 1).alias("n_links")), "jaccard-nodes-done")
-    return described.select("doc_id", "th", "node").join(known, F.col("node") == F.col("k")).select("doc_id", "th", "root", "class_id", "n_links")
+    known = known.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("k"), "root", "class_id", (F.col("links") + F.col("weight") - 1).alias("n_links"))
+    out = common.written(described.select("doc_id", "th", "node").join(known, F.col("node") == F.col("k")).select("doc_id", "th", "root", "class_id", "n_links"), "jaccard-result")
+    common.dropped(described, nodes, member, size, links, least)
+    return out
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -313,6 +325,7 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     found = classes(docs, n, threshold)
     heads = found.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("h")).select(F.col("h.doc_id").alias("__doc"), F.col("h.th").alias("__hash"))
     heads = common.written(heads, "jaccard-heads")
+    common.dropped(found)
     common.settle(docs.sparkSession)
     rows = docs.withColumn("__th", F.xxhash64(F.col("text").cast("string")))
     rows = rows.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__th") == F.col("__hash")))

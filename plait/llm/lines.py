@@ -57,21 +57,30 @@ def _paired(rows: DataFrame, step: int) -> DataFrame:
 
 
 def later_copies(docs: DataFrame, min_lines: int = 2, min_words: int = 4) -> DataFrame:
-    """doc_id, th, lines: lines of every later copy of a repeated run of min_lines lines, or of one line of min_words words."""
+    """doc_id, th, lines, sorted and each once: where a document has later copies.
+
+    These are lines of later copies of a repeated run of min_lines lines, or of one line of min_words words.
+    """
     base = common.written(numbered(docs, min_words), "lines")
     at = _relabelled(base.select(*KEY, "i", F.array("line").alias("lines"), "long", "a", "b"), "lines-depth1")
     common.dropped(base)
+    tables = [at]
     found, depth = at.where(F.col("later") & ((F.lit(min_lines) == 1) | F.col("long"))).select(*KEY, "lines"), 1
     while depth < min_lines:
         step = min(depth, min_lines - depth)
         at = _relabelled(_paired(at, step), f"lines-depth{depth + step}")
+        tables.append(at)
         depth += step
-    return found if min_lines == 1 else found.unionByName(at.where("later").select(*KEY, "lines"))
+    found = found if min_lines == 1 else found.unionByName(at.where("later").select(*KEY, "lines"))
+    each = found.select(*KEY, F.explode("lines").alias("line")).groupBy(*KEY).agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    each = common.written(each, "lines-gone")
+    common.dropped(*tables)
+    return each
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = 2, min_words: int = 4) -> DataFrame:
     """doc_id, th, first, last: the maximal runs of lines that are later copies, by line number."""
-    lines = later_copies(docs, min_lines, min_words).select(*KEY, F.explode("lines").alias("line")).distinct()
+    lines = later_copies(docs, min_lines, min_words).select(*KEY, F.explode("lines").alias("line"))
     order = Window.partitionBy(*KEY).orderBy("line")
     island = lines.withColumn("run", F.col("line") - F.row_number().over(order))
     return island.groupBy(*KEY, "run").agg(F.min("line").alias("first"), F.max("line").alias("last")).drop("run")
@@ -85,9 +94,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 4, drop_em
     equal in doc_id and text count as one document and fare alike. Documents that lose their last word go if drop_emptied;
     null and empty texts stay as they are. All columns of docs are kept, whatever their names. An empty table gives no rows.
     """
-    gone = later_copies(docs, min_lines, min_words)
-    gone = gone.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__hash"), F.explode("lines").alias("line"))
-    gone = common.written(gone.groupBy("__doc", "__hash").agg(F.sort_array(F.collect_set("line")).alias("__gone")), "lines-gone")
+    gone = later_copies(docs, min_lines, min_words).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__hash"), F.col("lines").alias("__gone"))
     common.settle(docs.sparkSession)
     rows = _keyed(docs).join(gone, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__th") == F.col("__hash")), "left")
     all_lines = F.split("__text", "\n")

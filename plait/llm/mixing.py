@@ -40,17 +40,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     at most half the document on which the budget ends (rows with equal doc_id and text share their hash, so they are
     taken or left together). Empty documents are taken by the same rule and add nothing. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     text = F.col("text").cast("string")
     hashed = F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))), 1, LEVELS * DIGITS)
-    rows = common.written(docs.select(F.col("doc_id"), F.col("source"), F.coalesce(F.regexp_count(text, F.lit(common.WORD)), F.lit(0)).cast("long").alias("size"), hashed.alias("h"), *(F.col(c).alias(f"__keep_{c}") for c in keep)), "mix")
+    size = F.coalesce(F.regexp_count(text, F.lit(common.WORD)), F.lit(0)).cast("long")
+    numbers = docs.select("doc_id", "source", size.alias("size"), hashed.alias("h"), *(F.col(c).alias(f"__keep_{c}") for c in keep))
+    # the numbers are written once for all levels; columns to keep may hold texts, and are read again from docs instead
+    rows = common.written(numbers.select("doc_id", "source", "size", "h"), "mix")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = targets(sizes, list(weights), most).select("*", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("base"))
     sources = common.written(sources.select("*", (F.col("target") - F.col("base") * F.col("source_size")).alias("budget"), F.lit("").alias("prefix"), F.lit(0).cast("long").alias("below")), "mix-sources")
     tables, at = [sources], sources
-    numbers = rows.select("source", "size", "h")
     for level in range(LEVELS):
-        inside = common.small_join(numbers, at.select("source", "prefix"), ["source"], F.xxhash64("h"))
+        inside = common.small_join(rows.select("source", "size", "h"), at.select("source", "prefix"), ["source"], F.xxhash64("h"))
         counts = inside.where(F.startswith(F.col("h"), F.col("prefix"))).groupBy("source", F.substring("h", level * DIGITS + 1, DIGITS).alias("bucket")).agg(F.sum("size").alias("n"))
         upto = counts.select("source", "bucket", "n", F.sum("n").over(Window.partitionBy("source").orderBy("bucket")).alias("upto"))
         known = at.select(F.col("source").alias("s"), "below", "budget")
@@ -67,7 +68,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     # the bucket in which the budget ends is by now one document: it is taken if that comes nearer
     ends_in = F.col("below") + F.col("last") - F.col("budget") < F.col("budget") - F.col("below")
     limits = at.select("source", "source_size", "target", "base", "prefix", ends_in.alias("ends_in"))
-    joined = common.small_join(rows, limits, ["source"], F.xxhash64("h"))
+    joined = common.small_join(numbers if keep else rows, limits, ["source"], F.xxhash64("h"))
+    common.dropped(*tables[:-1], *([rows] if keep else []))
     more = (F.col("h") < F.col("prefix")) | ((F.col("h") == F.col("prefix")) & F.col("ends_in"))
     copies = (F.col("base") + F.when((F.col("base") < most) & more, 1).otherwise(0)).cast("long")
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), *(F.col(f"__keep_{c}").alias(c) for c in keep))

@@ -98,26 +98,39 @@ def fences(table: DataFrame) -> DataFrame:
     return both.groupBy("lang", "source").agg(*columns)
 
 
-def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The counts of docs(doc_id, text, lang, source, ...) with base_failed and kept, then the columns `keep`.
-
-    Null texts count as empty and fail the base rules. Null languages and sources are groups of their own. Every row
-    gets a row, equal ones alike; a group all of whose rows failed has no fences. An empty table gives no rows.
-    """
-    table = common.written(measured(docs, list(keep)), "quality")
-    limits = fences(table)
-    limits = common.written(limits, "quality-fences")
+def _kept(table: DataFrame, limits: DataFrame) -> DataFrame:
+    """table with the verdict as kept."""
     joined = common.small_join(table, limits, ["lang", "source"], F.xxhash64("doc_id"), "left")
     inside = F.lit(True)
     for k, v in _measures().items():
         inside = inside & (v <= F.coalesce(F.col(f"{k}_most"), v))
         if k in LOW:
             inside = inside & (v >= F.coalesce(F.col(f"{k}_least"), v))
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return joined.select("doc_id", *counts, (~F.col("base_failed") & inside).alias("kept"), *(c for c in keep if c != "doc_id"))
+    return joined.withColumn("kept", ~F.col("base_failed") & inside)
+
+
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """doc_id, the counts of docs(doc_id, text, lang, source, ...), base_failed and kept.
+
+    Null texts count as empty and fail the base rules. Null languages and sources are groups of their own. Every row
+    gets a row, equal ones alike; a group all of whose rows failed has no fences. Other columns are ignored. An empty
+    table gives no rows.
+    """
+    table = common.written(measured(docs, []), "quality")
+    limits = common.written(fences(table), "quality-fences")
+    return _kept(table, limits).select("doc_id", *COUNTS, "kept")
 
 
 def passing(docs: DataFrame) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns, whatever their names."""
+    """The rows of docs that judge() keeps, with all their columns, whatever their names.
+
+    Counts are made twice, for the fences and for the verdict: that costs less than moving or writing the texts.
+    """
+    table = common.written(measured(docs, []), "quality")
+    limits = common.written(fences(table), "quality-fences")
+    common.dropped(table)
     whole = docs.select("doc_id", "text", "lang", "source", F.struct(*docs.columns).alias("__row"))
-    return judge(whole, ("__row",)).where("kept").select("__row.*")
+    return _kept(measured(whole, ["__row"]), limits).where("kept").select("__row.*")

@@ -28,7 +28,7 @@ from plait.llm import common
 
 WINDOW, BLOCK = 13, 7
 CHUNK = 1 << 20  # words in a task's share of one exchange row set
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 MULTIPLIER, SECOND = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 NULL = -(1 << 63)
 _memo: dict[bytes, int] = {}
@@ -175,6 +175,7 @@ def _find_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out.append((0, chunk, 0, steps(own)))
         for i in range(0, len(out), 64):
             yield _rows(out[i : i + 64])
+    common.released()
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,6 +346,7 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     cut = texts.alias("a").join(starts.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")))
     cut = cut.select("a.doc_id", "a.th", "a.text", "b.starts").mapInArrow(_cut, "doc_id long, th long, n_removed long, sha string, kept string")
     cut = common.written(cut if with_text else cut.drop("kept"), "substring-cut").dropDuplicates(["doc_id", "th"])
+    common.dropped(texts, repeats)
     common.settle(spark)
     out = table.alias("a").join(cut.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")), "left")
     columns = ["a.doc_id", "a.n_words", F.coalesce("b.n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("b.sha", "a.sha").alias("kept_sha256")]
