@@ -17,20 +17,21 @@ import zlib
 import numpy as np
 
 MAGIC, HEAD = b"PRC1", struct.Struct("<4sIIII")
-LANES, ROWS = 4096, 64  # most lanes; fewest rows aimed at
+LANES, ROWS = 8192, 64  # most lanes; fewest rows aimed at
 IDS = 1 << 16
-BITS0, BITS = 20, 16  # of the totals for order 0 and for the mix
-REBUILD = 16  # rows between two tables of order 0
-TABLE2 = 1 << 18
+BITS0, BITS = 19, 16  # of the totals for order 0 and for the mix
+REBUILD = 64  # rows between two tables of order 0
+TABLE2 = 1 << 17
 U = np.uint64
 LOW24, RENORM = U((1 << 24) - 1), U(1 << 24)
 START = U(1 << 55)
 
 
 class _Models:
+    """Candidates with their confidence (id * 8 + confidence) after two ids and after one, counts of ids, and the mix."""
+
     def __init__(self) -> None:
-        self.guess2, self.sure2 = np.zeros(TABLE2, np.int64), np.zeros(TABLE2, np.int64)
-        self.guess1, self.sure1 = np.zeros(IDS, np.int64), np.zeros(IDS, np.int64)
+        self.after2, self.after1 = np.zeros(TABLE2, np.int32), np.zeros(IDS, np.int32)
         self.counts = np.zeros(IDS, np.int64)
         self.mix = np.tile(np.array([1, 1, 2], np.int64), (128, 1))
         self.fresh: list[np.ndarray] = []
@@ -42,28 +43,30 @@ class _Models:
             if self.fresh:
                 self.counts += np.bincount(np.concatenate(self.fresh), minlength=IDS)
                 self.fresh = []
-            self.size = self.counts * ((1 << BITS0) - IDS) // max(1, int(self.counts.sum())) + 1
-            self.below = np.cumsum(self.size) - self.size
+            size = self.counts * ((1 << BITS0) - IDS) // max(1, int(self.counts.sum())) + 1
+            self.below, self.size = (np.cumsum(size) - size).astype(U), size.astype(U)
             if decoding:
                 self.inverse = np.full(1 << BITS0, IDS - 1, np.int32)
-                self.inverse[: int(self.size.sum())] = np.repeat(np.arange(IDS, dtype=np.int32), self.size)
+                self.inverse[: int(size.sum())] = np.repeat(np.arange(IDS, dtype=np.int32), size)
         self.row += 1
-        self.at1, self.at2 = last, (last * 40503 ^ before * 60493 ^ (before >> 5)) & (TABLE2 - 1)
-        self.g2, self.s2, self.g1, self.s1 = self.guess2[self.at2], self.sure2[self.at2], self.guess1[last], self.sure1[last]
-        self.cell = self.s2 * 8 + self.s1 + 64 * (self.g1 == self.g2)
+        self.at1, self.at2 = last, (last * np.int32(40503) ^ before * np.int32(60493) ^ (before >> 5)) & np.int32(TABLE2 - 1)
+        self.e2, self.e1 = self.after2.take(self.at2), self.after1.take(last)
+        self.g2, self.g1 = self.e2 >> 3, self.e1 >> 3
+        self.cell = ((self.e2 & 7) << 3 | self.e1 & 7 | (self.g1 == self.g2).astype(np.int32) << 6) * 3
         total = self.mix.sum(axis=1, keepdims=True)
         part = self.mix * ((1 << BITS) - 3) // total + 1
         part[:, 2] = (1 << BITS) - part[:, 0] - part[:, 1]
         start = np.zeros_like(part)
         start[:, 1:] = np.cumsum(part[:, :2], axis=1)
-        self.part, self.start = part, start
-
-    def learn(self, ids: np.ndarray, kind: np.ndarray) -> None:
-        self.mix += np.bincount(self.cell * 3 + kind, minlength=384).reshape(128, 3)
-        for guess, sure, at, g, s in ((self.guess2, self.sure2, self.at2, self.g2, self.s2), (self.guess1, self.sure1, self.at1, self.g1, self.s1)):
-            hit = g == ids
-            guess[at] = np.where(hit | (s > 0), g, ids)
-            sure[at] = np.where(hit, np.minimum(s + 1, 7), s >> 1)
+        self.part, self.start = part.ravel().astype(U), start.ravel().astype(U)
+
+    def learn(self, ids: np.ndarray, chosen: np.ndarray) -> None:
+        """chosen: cell and kind of each id. Where lanes meet in one entry, the last one's update stands."""
+        self.mix += np.bincount(chosen, minlength=384).reshape(128, 3)
+        for table, at, e, g in ((self.after2, self.at2, self.e2, self.g2), (self.after1, self.at1, self.e1, self.g1)):
+            s = e & 7
+            missed = np.where(s > 0, g << 3 | s >> 1, ids << 3)
+            table[at] = np.where(g == ids, e + (s < 7), missed)
         self.fresh.append(ids)
 
 
@@ -86,23 +89,24 @@ def encode(ids: np.ndarray) -> bytes:
         return HEAD.pack(MAGIC, 0, 0, 0, 0)
     lanes, rows, long = _shape(n)
     start = _starts(lanes, rows, long)
-    ids = ids.astype(np.int64)
+    ids = ids.astype(np.int32)
     models = _Models()
     out, at = np.zeros((lanes, rows * 5 // 4 + 8), U), np.zeros(lanes, np.int64)
     low, width = np.zeros(lanes, U), np.full(lanes, START)
-    last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    last, before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
 
     def put(w: np.ndarray | slice, begin: np.ndarray, size: np.ndarray, bits: int) -> None:
         r = width[w] >> U(bits)
-        lo, wi = low[w] + r * begin.astype(U), r * size.astype(U)
+        lo, wi = low[w] + r * begin, r * size
         m = np.flatnonzero(wi < RENORM)
         if len(m):
             who = m if isinstance(w, slice) else w[m]
             if len(out[0]) <= at.max() + 4:
                 raise OverflowError("a lane is longer than its bound")
-            out[who, at[who]] = lo[m] >> U(24)
+            few = lo[m]
+            out[who, at[who]] = few >> U(24)
             at[who] += 1
-            lo[m] = (lo[m] & LOW24) << U(32)
+            lo[m] = (few & LOW24) << U(32)
             wi[m] <<= U(32)
         low[w], width[w] = lo, wi
 
@@ -111,17 +115,18 @@ def encode(ids: np.ndarray) -> bytes:
         x = ids[start[:k] + t]
         models.begin(last[:k], before[:k], False)
         kind = np.where(x == models.g2, 0, np.where(x == models.g1, 1, 2))
-        put(slice(0, k), models.start[models.cell, kind], models.part[models.cell, kind], BITS)
+        chosen = models.cell + kind
+        put(slice(0, k), models.start.take(chosen), models.part.take(chosen), BITS)
         rare = np.flatnonzero(kind == 2)
         if len(rare):
-            put(rare, models.below[x[rare]], models.size[x[rare]], BITS0)
-        models.learn(x, kind)
+            y = x[rare]
+            put(rare, models.below.take(y), models.size.take(y), BITS0)
+        models.learn(x, chosen)
         before[:k] = last[:k]
         last[:k] = x
-    lane = np.arange(lanes)
-    out[lane, at] = low >> U(24)
-    out[lane, at + 1] = (low & LOW24) << U(8)
-    at += 2
+    # any value of the last interval will do: the one whose bits after the next word are zero
+    out[np.arange(lanes), at] = (low + LOW24) >> U(24)
+    at += 1
     for i in range(out.shape[1] - 1, 0, -1):  # carries were left in the upper halves
         out[:, i - 1] += out[:, i] >> U(32)
     words = out.astype(np.uint32)
@@ -143,45 +148,47 @@ def decode(block: bytes) -> np.ndarray:
         raise ValueError("unknown layout")
     _, rows, long = _shape(n)
     length = np.frombuffer(block, "<u4", lanes, HEAD.size).astype(np.int64)
-    flat = np.concatenate([np.frombuffer(block, "<u4", -1, HEAD.size + 4 * lanes), np.zeros(4, "<u4")]).astype(U)
-    at = np.cumsum(length) - length
+    at = np.cumsum(length + 1) - length - 1
+    flat = np.zeros(int((length + 1).sum()) + 2, U)  # a zero word after each lane
+    flat[np.arange(int(length.sum())) + np.repeat(np.arange(lanes), length)] = np.frombuffer(block, "<u4", -1, HEAD.size + 4 * lanes)
     start, models = _starts(lanes, rows, long), _Models()
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     code, width = flat[at] << U(24) | flat[at + 1] >> U(8), np.full(lanes, START)
     at += 1
-    last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    last, before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
     top = len(flat) - 2
 
     def take(w: np.ndarray | slice, r: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
-        co, wi = code[w] - r * begin.astype(U), r * size.astype(U)
+        co, wi = code[w] - r * begin, r * size
         m = np.flatnonzero(wi < RENORM)
         if len(m):
             who = m if isinstance(w, slice) else w[m]
             p = at[who]
-            co[m] = co[m] << U(32) | (flat[p] & U(255)) << U(24) | flat[np.minimum(p + 1, top)] >> U(8)
+            q = np.minimum(p + 1, top)
+            co[m] = co[m] << U(32) | (flat.take(p) & U(255)) << U(24) | flat.take(q) >> U(8)
             wi[m] <<= U(32)
-            at[who] = np.minimum(p + 1, top)
+            at[who] = q
         code[w], width[w] = co, wi
 
     for t in range(rows):
         k = lanes if t < rows - 1 else long
         models.begin(last[:k], before[:k], True)
         r = width[:k] >> U(BITS)
-        v = (code[:k] // r).astype(np.int64)
-        begins = models.start[models.cell]
-        kind = (v >= begins[:, 1]).astype(np.int64) + (v >= begins[:, 2])
-        take(slice(0, k), r, models.start[models.cell, kind], models.part[models.cell, kind])
+        v = code[:k] // r
+        kind = (v >= models.start.take(models.cell + 1)).astype(np.int32) + (v >= models.start.take(models.cell + 2))
+        chosen = models.cell + kind
+        take(slice(0, k), r, models.start.take(chosen), models.part.take(chosen))
         x = np.where(kind == 0, models.g2, models.g1)
         rare = np.flatnonzero(kind == 2)
         if len(rare):
             r = width[rare] >> U(BITS0)
-            y = models.inverse[np.minimum((code[rare] // r).astype(np.int64), (1 << BITS0) - 1)].astype(np.int64)
-            take(rare, r, models.below[y], models.size[y])
+            y = models.inverse.take(np.minimum(code[rare] // r, U((1 << BITS0) - 1)).astype(np.int64))
+            take(rare, r, models.below.take(y), models.size.take(y))
             x[rare] = y
-        models.learn(x, kind)
+        models.learn(x, chosen)
         out[start[:k] + t] = x
         before[:k] = last[:k]
         last[:k] = x
     if zlib.crc32(out.astype("<u2").tobytes()) != crc:
         raise ValueError("damaged ids")
-    return out
+    return out.astype(np.int64)
