@@ -17,10 +17,10 @@ import zlib
 import numpy as np
 
 MAGIC, HEAD = b"PRC1", struct.Struct("<4sIIII")
-LANES, ROWS = 8192, 64  # most lanes; fewest rows aimed at
+LANES, ROWS = 16384, 64  # most lanes; fewest rows aimed at
 IDS = 1 << 16
 BITS0, BITS = 19, 16  # of the totals for order 0 and for the mix
-REBUILD = 64  # rows between two tables of order 0
+REBUILD, REMIX = 64, 4  # rows between two tables of order 0, and between two of the mix
 TABLE2 = 1 << 17
 U = np.uint64
 LOW24, RENORM = U((1 << 24) - 1), U(1 << 24)
@@ -53,12 +53,13 @@ class _Models:
         self.e2, self.e1 = self.after2.take(self.at2), self.after1.take(last)
         self.g2, self.g1 = self.e2 >> 3, self.e1 >> 3
         self.cell = ((self.e2 & 7) << 3 | self.e1 & 7 | (self.g1 == self.g2).astype(np.int32) << 6) * 3
-        total = self.mix.sum(axis=1, keepdims=True)
-        part = self.mix * ((1 << BITS) - 3) // total + 1
-        part[:, 2] = (1 << BITS) - part[:, 0] - part[:, 1]
-        start = np.zeros_like(part)
-        start[:, 1:] = np.cumsum(part[:, :2], axis=1)
-        self.part, self.start = part.ravel().astype(U), start.ravel().astype(U)
+        if self.row <= 8 or self.row % REMIX == 1:
+            total = self.mix.sum(axis=1, keepdims=True)
+            part = self.mix * ((1 << BITS) - 3) // total + 1
+            part[:, 2] = (1 << BITS) - part[:, 0] - part[:, 1]
+            start = np.zeros_like(part)
+            start[:, 1:] = np.cumsum(part[:, :2], axis=1)
+            self.part, self.start = part.ravel().astype(U), start.ravel().astype(U)
 
     def learn(self, ids: np.ndarray, chosen: np.ndarray) -> None:
         """chosen: cell and kind of each id. Where lanes meet in one entry, the last one's update stands."""
@@ -77,9 +78,17 @@ def _shape(n: int) -> tuple[int, int, int]:
     return lanes, rows, n - (rows - 1) * lanes
 
 
-def _starts(lanes: int, rows: int, long: int) -> np.ndarray:
-    i = np.arange(lanes)
-    return i * (rows - 1) + np.minimum(i, long)
+def _abreast(ids: np.ndarray, lanes: int, rows: int, long: int) -> np.ndarray:
+    """ids as rows of lanes: the first `long` lanes hold `rows` ids in a row, the others one less."""
+    out = np.zeros((rows, lanes), ids.dtype)
+    out[:, :long] = ids[: long * rows].reshape(long, rows).T
+    out[:-1, long:] = ids[long * rows :].reshape(lanes - long, rows - 1).T
+    return out
+
+
+def _in_line(table: np.ndarray, long: int) -> np.ndarray:
+    """The inverse of _abreast()."""
+    return np.concatenate([table[:, :long].T.ravel(), table[:-1, long:].T.ravel()])
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -88,10 +97,10 @@ def encode(ids: np.ndarray) -> bytes:
     if not n:
         return HEAD.pack(MAGIC, 0, 0, 0, 0)
     lanes, rows, long = _shape(n)
-    start = _starts(lanes, rows, long)
     ids = ids.astype(np.int32)
-    models = _Models()
-    out, at = np.zeros((lanes, rows * 5 // 4 + 8), U), np.zeros(lanes, np.int64)
+    table, models = _abreast(ids, lanes, rows, long), _Models()
+    most = rows * 5 // 4 + 8
+    out, at, every = np.zeros((most, lanes), U), np.zeros(lanes, np.int64), np.arange(lanes)
     low, width = np.zeros(lanes, U), np.full(lanes, START)
     last, before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
 
@@ -101,18 +110,16 @@ def encode(ids: np.ndarray) -> bytes:
         m = np.flatnonzero(wi < RENORM)
         if len(m):
             who = m if isinstance(w, slice) else w[m]
-            if len(out[0]) <= at.max() + 4:
-                raise OverflowError("a lane is longer than its bound")
-            few = lo[m]
-            out[who, at[who]] = few >> U(24)
-            at[who] += 1
+            few, p = lo[m], at[who]
+            out[p, who] = few >> U(24)  # an IndexError would say that a lane passed its bound
+            at[who] = p + 1
             lo[m] = (few & LOW24) << U(32)
             wi[m] <<= U(32)
         low[w], width[w] = lo, wi
 
     for t in range(rows):
         k = lanes if t < rows - 1 else long
-        x = ids[start[:k] + t]
+        x = table[t, :k]
         models.begin(last[:k], before[:k], False)
         kind = np.where(x == models.g2, 0, np.where(x == models.g1, 1, 2))
         chosen = models.cell + kind
@@ -125,12 +132,13 @@ def encode(ids: np.ndarray) -> bytes:
         before[:k] = last[:k]
         last[:k] = x
     # any value of the last interval will do: the one whose bits after the next word are zero
-    out[np.arange(lanes), at] = (low + LOW24) >> U(24)
+    out[at, every] = (low + LOW24) >> U(24)
     at += 1
-    for i in range(out.shape[1] - 1, 0, -1):  # carries were left in the upper halves
-        out[:, i - 1] += out[:, i] >> U(32)
-    words = out.astype(np.uint32)
-    keep = np.arange(out.shape[1]) < at[:, None]
+    out = out[: at.max()]
+    for i in range(len(out) - 1, 0, -1):  # carries were left in the upper halves
+        out[i - 1] += out[i] >> U(32)
+    words = np.ascontiguousarray(out.astype(np.uint32).T)
+    keep = np.arange(len(out)) < at[:, None]
     payload = at.astype("<u4").tobytes() + words[keep].astype("<u4").tobytes()
     return HEAD.pack(MAGIC, n, lanes, zlib.crc32(ids.astype("<u2").tobytes()), zlib.crc32(payload)) + payload
 
@@ -141,7 +149,7 @@ def decode(block: bytes) -> np.ndarray:
     if magic != MAGIC:
         raise ValueError("not a block")
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     if zlib.crc32(memoryview(block)[HEAD.size :]) != payload_crc:
         raise ValueError("damaged payload")
     if lanes != _shape(n)[0]:
@@ -151,8 +159,7 @@ def decode(block: bytes) -> np.ndarray:
     at = np.cumsum(length + 1) - length - 1
     flat = np.zeros(int((length + 1).sum()) + 2, U)  # a zero word after each lane
     flat[np.arange(int(length.sum())) + np.repeat(np.arange(lanes), length)] = np.frombuffer(block, "<u4", -1, HEAD.size + 4 * lanes)
-    start, models = _starts(lanes, rows, long), _Models()
-    out = np.zeros(n, np.int32)
+    models, table = _Models(), np.zeros((rows, lanes), np.int32)
     code, width = flat[at] << U(24) | flat[at + 1] >> U(8), np.full(lanes, START)
     at += 1
     last, before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
@@ -186,9 +193,10 @@ def decode(block: bytes) -> np.ndarray:
             take(rare, r, models.below.take(y), models.size.take(y))
             x[rare] = y
         models.learn(x, chosen)
-        out[start[:k] + t] = x
+        table[t, :k] = x
         before[:k] = last[:k]
         last[:k] = x
+    out = _in_line(table, long)
     if zlib.crc32(out.astype("<u2").tobytes()) != crc:
         raise ValueError("damaged ids")
-    return out.astype(np.int64)
+    return out

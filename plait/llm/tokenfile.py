@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from plait.llm import common, rangecoder, tokens
 
-BLOCK = 1 << 21  # a block is closed at so many ids; it holds whole documents
+BLOCK = 1 << 22  # a block is closed at so many ids; it holds whole documents
 _HEAD = struct.Struct("<II")  # documents, bytes of the coded ids
 NULL = -(1 << 63)
 

@@ -19,7 +19,7 @@ _L = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _DROPS = re.compile(rf"[{_L}]+(?=[ \n.,]|\Z)|[^ \n]+")
 _KEEPS = re.compile(rf" ?[{_L}]+(?=[ \n.,]|\Z)|\n(?=[^ \n])|[ \n]*[^ \n]+|[ \n]+")
 _PLAIN = re.compile(rf" ?[{_L}]+").fullmatch
-REMEMBERED, LONGEST = 600_000, 32
+REMEMBERED, LONGEST = 600_000, 32  # for vocabularies that keep blanks twice as many, as pieces come with and without one
 
 
 def _byte_letters() -> dict[int, str]:
@@ -39,6 +39,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.lower = not keeps_blanks
+        self.most = REMEMBERED * (1 + keeps_blanks)
         self.pieces = (_KEEPS if keeps_blanks else _DROPS).findall
         self.memo: dict[str, bytes] = {}
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
@@ -69,7 +70,7 @@ class Encoder:
         for us, ids, at in gaps:
             for i in at:
                 ids[i] = new[us[i]]
-        if len(memo) < REMEMBERED:
+        if len(memo) < self.most:
             memo.update((u, ids) for u, ids in new.items() if len(u) <= LONGEST)
         return [b"".join(ids) for ids in out]
 
