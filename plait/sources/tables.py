@@ -15,11 +15,20 @@ def base_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([tuple(r.values()) for r in alphabet.table()], BASE_SCHEMA)
 
 
-def write_base(df: DataFrame, path: str) -> None:
-    """Tab-separated, a comment line for a header."""
+def write_rows(df: DataFrame, path: str, *order: str) -> None:
+    """Tab-separated rows under a comment line, in order, as one file a partition of the order; nulls are empty.
+
+    Serves the alphabet, the certified order of characters and the index: line feeds and tabs in a value become blanks.
+    """
     head = df.sparkSession.createDataFrame([("# " + "\t".join(df.columns),)], "value string")
-    rows = df.orderBy("rank").select(F.concat_ws("\t", *(F.col(c).cast("string") for c in df.columns)).alias("value"))
-    head.unionByName(rows).coalesce(1).write.mode("overwrite").text(path)
+    cell = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "[\t\n\r\\x00]", " ")
+    rows = df.orderBy(*order).select(F.concat_ws("\t", *(cell(c) for c in df.columns)).alias("value"))
+    head.coalesce(1).unionByName(rows).write.mode("overwrite").text(path)
+
+
+def write_base(df: DataFrame, path: str) -> None:
+    """The alphabet by rank."""
+    write_rows(df, path, "rank")
 
 
 def read_base(spark: SparkSession, path: str) -> DataFrame:

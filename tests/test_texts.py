@@ -101,6 +101,12 @@ def test_sources(spark, tmp_path):
     path = str(tmp_path / "base")
     tables.write_base(tables.base_table(spark), path)
     assert tables.read_base(spark, path).exceptAll(tables.base_table(spark)).count() == 0
+    from plait.plans.texts import QUERIES
+
+    index = str(tmp_path / "index")
+    tables.write_rows(QUERIES["q_index_order"](spark, ""), index, "position")
+    lines = [x for f in sorted((tmp_path / "index").glob("part-*")) for x in f.read_text(encoding="utf8").splitlines()]
+    assert lines[0].startswith("# position") and [x.split("\t")[0] for x in lines[1:]] == [str(i) for i in range(525)]
     keys = tmp_path / "keys.txt"
     keys.write_text("@version 1\n0061  ; [.23EC.0020.0002] # a\n0061 0062 ; [.23EC.0020.0002][.1.2.3]\n00E1 ; [.23EC.0020.0002][.0000.0024.0002]\n")
     assert sorted(map(tuple, tables.read_collation_keys(spark, str(keys)).collect())) == [(0x61, 0x23EC, 0x20, 2), (0xE1, 0x23EC, 0x20, 2)]
