@@ -68,7 +68,7 @@ km AS (SELECT lang, measure, value, sum(n) AS n FROM k GROUP BY ALL),
 om AS (SELECT *, sum(n) OVER (PARTITION BY lang, measure ORDER BY value) AS upto, sum(n) OVER (PARTITION BY lang, measure) AS total FROM km),
 merged AS (SELECT lang, measure, min(value) FILTER (4 * upto >= total) AS m1, min(value) FILTER (4 * upto >= 3 * total) AS m3 FROM om GROUP BY ALL),
 q AS (SELECT own.lang, source, own.measure, CASE WHEN total >= 30 THEN q1 ELSE m1 END AS q1, CASE WHEN total >= 30 THEN q3 ELSE m3 END AS q3 FROM own JOIN merged ON own.lang IS NOT DISTINCT FROM merged.lang AND own.measure = merged.measure),
-f AS (SELECT lang, source, max(q3 + 6 * (q3 - q1) + 50) FILTER (measure = 'symbols') AS sm, max(q3 + 6 * (q3 - q1) + 200) FILTER (measure = 'length') AS lm, max(q1 - 6 * (q3 - q1) - 200) FILTER (measure = 'length') AS ll, max(q3 + 6 * (q3 - q1) + 60) FILTER (measure = 'lines') AS nm FROM q GROUP BY ALL)
+f AS (SELECT lang, source, max(q3 + 6 * (q3 - q1) + 50) FILTER (measure = 'symbols') AS sm, max(q3 + 6 * (q3 - q1) + 600) FILTER (measure = 'length') AS lm, max(q1 - 6 * (q3 - q1) - 600) FILTER (measure = 'length') AS ll, max(q3 + 6 * (q3 - q1) + 60) FILTER (measure = 'lines') AS nm FROM q GROUP BY ALL)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
 NOT base_failed AND symbols <= coalesce(sm, symbols) AND length_ <= coalesce(lm, length_) AND length_ >= coalesce(ll, length_) AND lines <= coalesce(nm, lines) AS kept
 FROM t LEFT JOIN f ON t.lang IS NOT DISTINCT FROM f.lang AND t.source IS NOT DISTINCT FROM f.source"""

@@ -15,7 +15,7 @@ from plait.llm import common
 
 SMALL, WINDOW, REACH = 30, 5, 6
 #: Measures with the least distance of a fence from the quartiles: groups without any spread keep near values.
-SLACK = {"symbols": 50, "length": 200, "lines": 60}
+SLACK = {"symbols": 50, "length": 600, "lines": 60}
 LOW = {"length"}  # also has a lower fence
 
 
