@@ -43,7 +43,7 @@ def positions(spark: SparkSession, q: str, lang: str = "") -> DataFrame:
     return rows.select((F.row_number().over(Window.orderBy("key")) - 1).alias("n"), "reading", "key")
 
 
-def sort(names: DataFrame, column: str, lang: str = "", axis: str = "sound", push: str = "", alphabet_name: str = "chroma") -> DataFrame:
+def sort(names: DataFrame, column: str, lang: str = "", axis: str = "sound", push: str = "", alphabet_name: str = "base") -> DataFrame:
     """column, reading, key, of, truncated of names, to be ordered by (key, column).
 
     Unpushed: one row a name. Pushed by sound ("ctx" in context, "all" out of it) or by spelling: a row for each variant,

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plait.functions import alphabet, expressions, ipa, phonetics
 from plait.functions import words as W
-from plait.operators import ordering
+from plait.operators import characters, ordering
 from plait.plans.numbers import table
 from plait.sources import tables
 
@@ -87,12 +87,8 @@ def q_char_freq_order(spark, sf_dir):
 def q_char_order(spark, sf_dir):
     """Every character of the documents in the certified order: letters of its reading, end, source, tone, strokes, code point."""
     chars = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "")).alias("char")).distinct().where("char <> ''")
-    known = F.create_map(*(F.lit(x) for kv in alphabet.codes().items() for x in kv))
-    reading = F.when(F.element_at(known, F.col("char")).isNotNull(), F.col("char")).otherwise(W.named(F.col("char")))
-    rows = chars.withColumn("reading", reading)
-    unread = F.col("reading") == W.BREAK
-    key = F.concat(F.when(unread, F.array(F.lit(alphabet.UNREAD))).otherwise(W.letters(F.col("reading"))), F.array(*(F.lit(0) for _ in range(4)), F.ascii("char")))
-    return ordering.positions(rows.withColumn("key", key), [F.col("key")], F.slice("key", 1, 1)).select("position", "char", "reading", F.array_join(F.transform("key", lambda x: x.cast("string")), " ").alias("key"))
+    rows = characters.certified(characters.readings(chars))
+    return rows.select("position", "char", "reading", F.array_join(F.transform("key", lambda x: x.cast("string")), " ").alias("key"), characters.key_bits(F.col("key")).alias("bits"))
 
 
 _DIGRAPHS = "|".join(g for g in phonetics.DIGRAPHS if g not in phonetics.INITIAL)
@@ -135,7 +131,6 @@ def q_primary_es(spark, sf_dir):
 
 
 _CODES = values([(r["char"], r["code"]) for r in alphabet.table()], "char, code")
-_SORTED = f"{_primary_sql(_EN)}, k AS (SELECT word, reading, list_concat(list_concat(list_transform(string_split(reading, ''), lambda c: m[c][1]), [0]), list_transform(string_split(word, ''), lambda c: m[c][1])) AS key FROM (SELECT word, CASE WHEN reading = '' THEN NULL ELSE reading END AS reading FROM pr), (SELECT map_from_entries(list((char, [code]))) AS m FROM {_CODES}))"
 _SORTED = f"""{_primary_sql(_EN)}, l AS (SELECT word, reading, 0 AS part, i, substr(reading, i, 1) AS c FROM pr, LATERAL (SELECT unnest(range(1, length(reading) + 1)) AS i) UNION ALL SELECT word, reading, 2, i, substr(word, i, 1) FROM pr, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
  k AS (SELECT word, reading, list(code ORDER BY part, i) AS key FROM (SELECT word, reading, part, i, CAST(code AS INTEGER) AS code FROM l JOIN {_CODES} ON c = char UNION ALL SELECT word, reading, 1, 0, 0 FROM pr) GROUP BY word, reading)"""
 
@@ -305,20 +300,6 @@ def index_entries(spark: SparkSession) -> DataFrame:
     return out.select(F.when(reading == "", "\u0000").otherwise(reading).alias("reading"), F.coalesce("langs", F.array(F.lit(phonetics.ANY))).alias("langs"), F.coalesce("ipa", F.lit("")).alias("ipa"), "char", (F.col("rank") - 1).alias("spell"), F.lit(0).alias("tone"), F.lit(0).alias("strokes"))
 
 
-def answers(langs: Column, want: str) -> Column:
-    """Whether an entry's tags answer a request, along the chain of subtags both ways."""
-    asked = want.split()
-    hit = lambda t: (t == phonetics.ANY) | F.lit(False) if not asked else _any((t == phonetics.ANY) | (t == w) | F.startswith(t, F.lit(f"{w}-")) | F.startswith(F.lit(w), F.concat(t, F.lit("-"))) for w in asked)
-    return F.exists(langs, hit)
-
-
-def _any(parts) -> Column:
-    out = F.lit(False)
-    for p in parts:
-        out = out | p
-    return out
-
-
 _ENTRIES = f"en AS (SELECT b.char, b.rank, CASE WHEN r.rom IS NULL THEN b.char WHEN lower(b.char) <> b.char THEN upper(r.rom) ELSE r.rom END AS reading, coalesce(r.langs, 'und') AS langs, coalesce(r.ipa, '') AS ipa FROM {values([(r['char'], r['rank'], W._bases().get(r['char'], '')) for r in alphabet.table()], 'char, rank, g')} b LEFT JOIN (SELECT * FROM {_RULES} WHERE regexp_matches(g, '[a-z]')) r ON b.g = r.g)"
 
 
@@ -336,7 +317,7 @@ def q_multi_listed(spark, sf_dir):
 @query("q_lang_filter", f"WITH {_ENTRIES} SELECT want, count(*) AS entries FROM (SELECT unnest(['es', 'es-ES', 'en']) AS want), en WHERE len(list_filter(string_split(langs, ' '), lambda t: t = 'und' OR t = want OR starts_with(t, want || '-') OR starts_with(want, t || '-'))) > 0 GROUP BY want")
 def q_lang_filter(spark, sf_dir):
     rows = index_entries(spark)
-    kept = [rows.where(answers(F.col("langs"), w)).agg(F.lit(w).alias("want"), F.count("*").alias("entries")) for w in ("es", "es-ES", "en")]
+    kept = [characters.filtered(rows, w).agg(F.lit(w).alias("want"), F.count("*").alias("entries")) for w in ("es", "es-ES", "en")]
     return kept[0].unionByName(kept[1]).unionByName(kept[2])
 
 

@@ -154,3 +154,22 @@ def test_racks_of_numbers(spark):
     got = {r.g: r for r in racks.evaluate(rows, "g", "i", "k", "op").collect()}
     assert (got[1].value, got[2].value, got[3].value, got[4].value) == ("15/128", "15/8", "5/16", "0")
     assert got[2].e == 1 and got[2].cells == "++++"
+
+
+def test_characters_with_han(spark):
+    from plait.operators import characters
+
+    han = spark.createDataFrame([(0x4E2D, "zhōng zhòng", "zung1", "CHUU", "naka ATARU naka", "CWUNG", "4"), (0x4E00, None, None, "ICHI ITSU", None, None, "1"), (0x4E8D, None, None, None, None, None, "3")], "cp int, mandarin string, cantonese string, `on` string, kun string, korean string, strokes string")
+    chars = spark.createDataFrame([(c,) for c in "中一亍aé한"], "char string")
+    got = {r.char: r for r in characters.certified(characters.readings(chars, han)).collect()}
+    assert (got["中"].reading, got["中"].tone, got["中"].strokes, got["中"].source) == ("zhong", 1, 4, 0)
+    assert (got["一"].reading, got["一"].source, got["亍"].layer, got["한"].reading) == ("ichi", 2, "han-unread", "han")
+    order = [r.char for r in sorted(got.values(), key=lambda r: r.position)]
+    assert order.index("a") < order.index("é") < order.index("中")
+    bits = spark.createDataFrame([(r.char, list(r.key)) for r in got.values()], "char string, key array<int>").select("char", characters.key_bits(F.col("key")).alias("b")).collect()
+    assert [r.char for r in sorted(bits, key=lambda r: r.b)] == order
+    entries = characters.han_entries(han)
+    assert entries.where("cp = 20013").count() == 7  # one reading is listed twice
+    assert {r.tone for r in entries.where("cp = 20013 and langs[0] = 'cmn'").collect()} == {1, 4}
+    assert characters.filtered(entries, "ja-on").count() == 3
+    assert sum(r.entries * r.characters for r in characters.multi_listed(entries).collect()) == entries.count()
