@@ -321,7 +321,8 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     documents that lost some (else null). Rows with equal doc_id are one document's: they do not make each other repeats;
     null doc_ids are smaller than all. Null and empty texts have no words. Repeats within one document alone stay. Every
     row gets a row; other columns are ignored. An empty table gives no rows. Words are compared by 64 bits of a hash and
-    the bucket they fall in by another.
+    the bucket they fall in by another. Hits are named by their place in a task's input, so that a task run again must
+    read the same rows in the same order: docs should be a table as read from files, as written() gives.
     """
     spark = docs.sparkSession
     common.arrow_batches(spark)
