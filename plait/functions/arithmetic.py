@@ -58,15 +58,14 @@ def product_digits(a: Column, b: Column) -> Column:
     return let(product_numerator(a, b), lambda n: F.transform(F.split(F.lpad(bits_of(F.abs(n)), size, "0"), ""), lambda c: c.cast("int") * F.signum(n).cast("int")))
 
 
-def region_value(a: Column, b: Column, region: str) -> Column:
-    """The sum of a region of the rectangle as text."""
+def region_value(sums: Column, fold: Column, region: str) -> Column:
+    """The sum of a region of a rectangle as text, from its squashed sums and the diagonal of its fold."""
 
-    def of(p: Column) -> Column:
-        fold, d = F.least(F.size(p["a"]), F.size(p["b"])) - 1, F.size(p["s"])
+    def of(s: Column) -> Column:
         keep = {"inner": lambda i: i < fold, "fold": lambda i: i == fold, "outer": lambda i: i > fold}[region]
-        return D.ratio(D.numerator(F.transform(p["s"], lambda s, i: F.when(keep(i), s).otherwise(0))), d + 1)
+        return D.ratio(D.numerator(F.transform(s, lambda v, i: F.when(keep(i), v).otherwise(0))), F.size(s) + 1)
 
-    return let(F.struct(a.alias("a"), b.alias("b"), squash(a, b).alias("s")), of)
+    return let(sums, of)
 
 
 def divide(a_num: Column, a_places: Column, b_num: Column, b_places: Column, width: Column) -> Column:

@@ -75,9 +75,18 @@ def colours(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda d: F.when(d > 0, "b").when(d < 0, "r").otherwise("g")), "")
 
 
+#: Cells up to which digits, and sums of a hundred digits, are read in 64 bits.
+NARROW = 54
+
+
 def numerator(cells: Column) -> Column:
-    """The digits read in base two; the value is this over 2 to the number of cells."""
-    return F.aggregate(cells, whole(0), lambda a, d: (a * 2 + d).cast(EXACT))
+    """The digits read in base two; the value is this over 2 to the number of cells. Wide arrays are read in decimals."""
+
+    def of(c: Column) -> Column:
+        narrow = F.aggregate(c, F.lit(0).cast("bigint"), lambda a, d: a * 2 + d).cast(EXACT)
+        return F.when(F.size(c) <= NARROW, narrow).otherwise(F.aggregate(c, whole(0), lambda a, d: (a * 2 + d).cast(EXACT)))
+
+    return let(cells, of)
 
 
 def pow2(n: Column) -> Column:
@@ -97,7 +106,15 @@ def ratio(num: Column, places: Column) -> Column:
         high = ((F.abs(n) - low.cast(EXACT)) / whole(1 << 62)).cast(EXACT).cast("bigint")
         twos = F.when(low != 0, trailing(F.bin(low))).otherwise(62 + trailing(F.bin(high)))
         k = F.least(twos, places)
-        return F.when(n == 0, "0").otherwise(F.concat((n / pow2(k)).cast(EXACT).cast("string"), F.when(places > k, F.concat(F.lit("/"), pow2(places - k).cast("string"))).otherwise("")))
+        wide = F.when(n == 0, "0").otherwise(F.concat((n / pow2(k)).cast(EXACT).cast("string"), F.when(places > k, F.concat(F.lit("/"), pow2(places - k).cast("string"))).otherwise("")))
+        return F.when((places < 62) & (F.abs(n) < whole(1 << 62)), let(n.cast("bigint"), narrow)).otherwise(wide)
+
+    def narrow(n: Column) -> Column:
+        def cut(k: Column) -> Column:
+            over = F.when(places > k, F.concat(F.lit("/"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (places - k).cast("int")).cast("string"))).otherwise("")
+            return F.concat(F.call_function("shiftright", n, k.cast("int")).cast("string"), over)
+
+        return F.when(n == 0, "0").otherwise(let(F.least(let(F.bin(F.abs(n)), trailing), places), cut))
 
     return let(num.cast(EXACT), of)
 
@@ -184,7 +201,16 @@ def rows_of(cells: Column) -> Column:
 
 def region_sum(cells: Column, region: str) -> Column:
     """The sum of a region of the padded square, over 2 to the number of its cells, as an exact integer."""
-    return let(rows_of(cells), lambda rows: F.aggregate(rows, whole(0), lambda a, s: (a * 2 + F.when(s["region"] == region, s["v"]).otherwise(0)).cast(EXACT)))
+
+    def of(c: Column) -> Column:
+        def within(n: Column) -> Column:
+            where = lambda i: (i / n).cast("int") + i % n - n + 1
+            keep = {"inner": lambda i: where(i) < 0, "fold": lambda i: where(i) == 0, "outer": lambda i: where(i) > 0}[region]
+            return numerator(F.transform(c, lambda v, i: F.when(keep(i), v).otherwise(0)))
+
+        return let(side(F.size(c)), within)
+
+    return let(padded(cells), of)
 
 
 def ring(k: Column) -> Column:

@@ -269,7 +269,8 @@ _DSUM = "CAST(sum(CASE WHEN {0} THEN s * " + two("m + n - 2 - d") + " ELSE 0 END
     f"WITH {_PAIR}, {_GRID}, {_DIAG}, t AS (SELECT {_BY}, max(m) AS m, max(n) AS n, {_DSUM.format('d < least(m, n) - 1')} AS i, {_DSUM.format('d = least(m, n) - 1')} AS f, {_DSUM.format('d > least(m, n) - 1')} AS o FROM d GROUP BY {_BY}) SELECT {_BY}, {frac('i', two('m + n'))} AS inner_sum, {frac('f', two('m + n'))} AS fold_sum, {frac('o', two('m + n'))} AS outer_sum FROM t",
 )
 def q_product_regions(spark, sf_dir):
-    return _ops(spark, sf_dir).select("l_partkey", "l_suppkey", *(A.region_value(F.col("x"), F.col("y"), r).alias(f"{r}_sum") for r in ("inner", "fold", "outer")))
+    rows = _ops(spark, sf_dir).select("l_partkey", "l_suppkey", A.squash(F.col("x"), F.col("y")).alias("s"), (F.least(F.size("x"), F.size("y")) - 1).alias("fold"))
+    return rows.select("l_partkey", "l_suppkey", *(A.region_value(F.col("s"), F.col("fold"), r).alias(f"{r}_sum") for r in ("inner", "fold", "outer")))
 
 
 @query("q_squash", f"WITH {_PAIR}, {_GRID}, {_DIAG} SELECT {_BY}, string_agg(CAST(s AS VARCHAR), ' ' ORDER BY d) AS sums, count(*) FILTER (abs(s) > 1) AS owed FROM d GROUP BY {_BY}")
