@@ -132,16 +132,26 @@ def product(options: Column) -> Column:
     return F.when(many, one).otherwise(every)
 
 
+def _options(word: Column, want: str | None, tag: str | None, in_context: bool) -> Column:
+    """The distinct spellings of each grapheme that one candidate language admits."""
+    accept = tags(phonetics.accepted(tag, phonetics.shapes(want)))
+    fit = lambda bs: F.filter(bs, lambda b: (b["bad"] == bs[0]["bad"]) & (b["foreign"] == bs[0]["foreign"]))
+    return F.transform(branches(word, accept, in_context), lambda bs: F.array_distinct(F.transform(fit(bs), lambda b: b["rom"])))
+
+
 def readings(word: Column, want: str | None, in_context: bool = True) -> Column:
     """Every reading, as lists of spellings of its graphemes: of one candidate language after another, each once."""
+    each = [let(_options(word, want, t, in_context), product) for t in phonetics.candidates(want)]
+    return each[0] if len(each) == 1 else F.array_distinct(F.concat(*each))  # distinct options have distinct choices
 
-    def of(tag: str | None) -> Column:
-        accept = tags(phonetics.accepted(tag, phonetics.shapes(want)))
-        fit = lambda bs: F.filter(bs, lambda b: (b["bad"] == bs[0]["bad"]) & (b["foreign"] == bs[0]["foreign"]))
-        options = F.transform(branches(word, accept, in_context), lambda bs: F.array_distinct(F.transform(fit(bs), lambda b: b["rom"])))
-        return let(options, product)
 
-    return F.array_distinct(F.concat(*(of(t) for t in phonetics.candidates(want))))
+def count_readings(word: Column, want: str | None, in_context: bool = True) -> Column:
+    """The size of readings(), without making them where there is one candidate language."""
+    found = phonetics.candidates(want)
+    if len(found) > 1:
+        return F.size(readings(word, want, in_context))
+    n = F.aggregate(_options(word, want, found[0], in_context), F.lit(1), lambda n, o: F.least(n * F.size(o), F.lit(CAP + 1)))
+    return let(n, lambda n: F.when(n > CAP, 1).otherwise(n))
 
 
 def spellings(word: Column) -> Column:

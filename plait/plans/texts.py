@@ -158,8 +158,8 @@ def q_homophones(spark, sf_dir):
 def q_readings(spark, sf_dir):
     """How many readings each word has in context and out of it, without a declared language, and its lowest in English."""
     w = F.col("word")
-    rows = tokens(spark, sf_dir).where(F.length("word") <= 12).withColumn("r", W.readings(w, None)).withColumn("all", W.readings(w, None, False)).withColumn("en", W.readings(w, "en"))
-    return rows.select("word", F.size("r").alias("readings"), F.size("all").alias("out_of_context"), F.array_min(F.transform("en", lambda p: F.array_join(p, ""))).alias("lowest_en"))
+    rows = tokens(spark, sf_dir).withColumn("en", W.readings(w, "en"))
+    return rows.select("word", W.count_readings(w, None).alias("readings"), W.count_readings(w, None, False).alias("out_of_context"), F.array_min(F.transform("en", lambda p: F.array_join(p, ""))).alias("lowest_en"))
 
 
 _LIKE = values([(c, len(v)) for c, v in phonetics.lookalikes().items()], "c, n")

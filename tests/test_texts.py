@@ -1,5 +1,8 @@
 """Goldens of the alphabet, word readings, orders and expressions."""
 
+import itertools
+import math
+import re
 from fractions import Fraction
 
 import pytest
@@ -173,3 +176,39 @@ def test_characters_with_han(spark):
     assert {r.tone for r in entries.where("cp = 20013 and langs[0] = 'cmn'").collect()} == {1, 4}
     assert characters.filtered(entries, "ja-on").count() == 3
     assert sum(r.entries * r.characters for r in characters.multi_listed(entries).collect()) == entries.count()
+
+
+def choices(word, tag, in_context=True):
+    """For each grapheme of a lower-case word the spellings one candidate language admits, in plain Python."""
+    accept = phonetics.accepted(tag, set())
+    within = "|".join(g for g in phonetics.DIGRAPHS if g not in phonetics.INITIAL)
+    segs = re.findall(f"^(?:{'|'.join(phonetics.INITIAL)})|{within}|.", word)
+    out = []
+    for i, g in enumerate(segs):
+        found = []
+        for r in (r for r in phonetics.rules() if r["grapheme"] == g):
+            after, before = (segs[i + 1][0] if i + 1 < len(segs) else None), (segs[i - 1][-1] if i else None)
+            good = r["first"] in (None, i == 0) and (not r["last"] or i == len(segs) - 1) and (r["nexts"] is None or (after or "-") in r["nexts"])
+            good = good and not (r["no_nexts"] and after and after in r["no_nexts"]) and (r["befores"] is None or (before or "-") in r["befores"]) and (r["words"] is None or word in r["words"])
+            known = accept is None or bool(accept & set(r["langs"]))
+            found.append((in_context and not good, not known, r["ord"], r["rom"]))
+        best = min(found)[:2]
+        out.append(list(dict.fromkeys(x[3] for x in sorted(found) if x[:2] == best)))
+    return out
+
+
+def expanded(options):
+    return [tuple(o[0] for o in options)] if math.prod(map(len, options)) > W.CAP else list(itertools.product(*options))
+
+
+def test_readings_of_long_words(spark, tmp_path):
+    long = ["responsibility", "characteristics", "internationalization", "misunderstandings", "thermodynamically", "cccccccccccccccc", "mmmmmmmmmmmmmmmmmmmmmmmm", "counterrevolutionaries", "bbbbbbbbbbbbb"]
+    words = [*long, "cat", "box", "cervezas", "abcdefghijkl"]
+    assert {13, 24} <= {len(w) for w in long} and min(map(len, long)) == 13
+    for name, column, held in (("documents", "text", words[:5]), ("benchmark", "text", words[5:9]), ("part", "p_name", words[9:])):
+        spark.createDataFrame([(" ".join(held),)], f"{column} string").write.parquet(str(tmp_path / f"{name}.parquet"))
+    from plait.plans.texts import QUERIES
+
+    want = {w: (len(expanded(choices(w, None))), len(expanded(choices(w, None, False))), min("".join(p) for t in phonetics.candidates("en") for p in expanded(choices(w, t)))) for w in words}
+    assert {r.word: (r.readings, r.out_of_context, r.lowest_en) for r in QUERIES["q_readings"](spark, str(tmp_path)).collect()} == want
+    assert any(n > 1 for w, (n, *_) in want.items() if len(w) > 12) and any(n == 1 for w, (n, *_) in want.items() if len(w) > 12)
