@@ -224,6 +224,13 @@ def q_ipa_number(spark, sf_dir):
     return rows.select("word", F.array_join(F.transform("d", lambda x: x.cast("string")), " ").alias("digits"), W.number(F.col("d"), ipa.BASE).cast("string").alias("number"))
 
 
+@query("q_ipa_number_whole")
+def q_ipa_number_whole(spark, sf_dir):
+    """q_ipa_number with a number for every word, however long."""
+    rows = _read(spark, sf_dir, "en").select("word", W.ipa_digits(F.col("ipa")).alias("d")).where(F.size("d") > 0)
+    return expressions.numbered(rows, "d", ipa.BASE).select("word", F.array_join(F.transform("d", lambda x: x.cast("string")), " ").alias("digits"), "number")
+
+
 @query("q_mod127_inverse", "SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM (SELECT unnest(range(1, 127)) AS a), (SELECT unnest(range(1, 127)) AS b) WHERE a * b % 127 = 1")
 def q_mod127_inverse(spark, sf_dir):
     """By Fermat: the inverse of a is a^125."""
@@ -235,18 +242,30 @@ _RANK = values([(r["char"], r["rank"]) for r in alphabet.table()], "char, rank")
 _ITEMS = "it AS (SELECT item_id, i - 1 AS item, trim(p[i]) AS raw FROM (SELECT item_id, string_split(text, ',') AS p FROM benchmark), LATERAL (SELECT unnest(range(1, len(p) + 1)) AS i))"
 
 
+def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with is_number, neg, the body without its sign, and its ranks as digits d in base 307."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", ",")).alias("item", "raw")).withColumn("raw", F.trim("raw"))
+    ranks = F.create_map(*(F.lit(x) for r in alphabet.table() for x in (r["char"], r["rank"])))
+    rows = rows.withColumn("is_number", F.col("raw").rlike("^[+-]?[0-9]+$")).withColumn("neg", F.startswith("raw", F.lit("-"))).withColumn("body", F.regexp_replace("raw", "^[+-]", ""))
+    rows = rows.withColumn("d", F.transform(F.when(F.col("body") == "", F.array().cast("array<string>")).otherwise(F.split("body", "")), lambda c: F.coalesce(F.element_at(ranks, c), F.lit(0))))
+    return rows
+
+
 @query(
     "q_cards",
     f"WITH {_ITEMS}, b AS (SELECT item_id, item, raw, regexp_matches(raw, '^[+-]?[0-9]+$') AS is_number, starts_with(raw, '-') AS neg, regexp_replace(raw, '^[+-]', '') AS body FROM it), ch AS (SELECT item_id, item, i, substr(body, i, 1) AS char FROM b, LATERAL (SELECT unnest(range(1, least(length(body), 15) + 1)) AS i) WHERE NOT is_number), n AS (SELECT item_id, item, list_reduce(list(CAST(coalesce(rank, 0) AS HUGEINT) ORDER BY i), lambda x, y: x * 307 + y) AS n FROM ch LEFT JOIN {_RANK} USING (char) GROUP BY item_id, item) SELECT b.item_id, CAST(b.item AS INTEGER) AS item, is_number, neg, CASE WHEN NOT is_number AND length(body) <= 15 THEN CAST(coalesce(n, 0) AS VARCHAR) END AS number FROM b LEFT JOIN n USING (item_id, item)",
 )
 def q_cards(spark, sf_dir):
     """Lines as cards, commas between items: signs, numerals, and strings as numbers in base 307 up to 15 characters."""
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", ",")).alias("item", "raw")).withColumn("raw", F.trim("raw"))
-    ranks = F.create_map(*(F.lit(x) for r in alphabet.table() for x in (r["char"], r["rank"])))
-    rows = rows.withColumn("is_number", F.col("raw").rlike("^[+-]?[0-9]+$")).withColumn("neg", F.startswith("raw", F.lit("-"))).withColumn("body", F.regexp_replace("raw", "^[+-]", ""))
-    digits = F.transform(F.when(F.col("body") == "", F.array().cast("array<string>")).otherwise(F.split("body", "")), lambda c: F.coalesce(F.element_at(ranks, c), F.lit(0)))
-    number = F.when(~F.col("is_number") & (F.length("body") <= 15), W.number(digits, 307).cast("string"))
-    return rows.select("item_id", "item", "is_number", "neg", number.alias("number"))
+    number = F.when(~F.col("is_number") & (F.length("body") <= 15), W.number(F.col("d"), 307).cast("string"))
+    return _cards(spark, sf_dir).select("item_id", "item", "is_number", "neg", number.alias("number"))
+
+
+@query("q_cards_whole")
+def q_cards_whole(spark, sf_dir):
+    """q_cards with a number for every string, however long."""
+    rows = _cards(spark, sf_dir).withColumn("d", F.when(~F.col("is_number"), F.col("d")))
+    return expressions.numbered(rows.select("item_id", "item", "is_number", "neg", "d"), "d", 307).drop("d")
 
 
 @query("q_card_totals", f"WITH {_ITEMS} SELECT item_id, count(*) AS items, count(*) FILTER (regexp_matches(raw, '^[+-]?[0-9]+$')) AS numerals, count(*) FILTER (starts_with(raw, '-')) AS negative FROM it GROUP BY item_id")

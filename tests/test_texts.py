@@ -212,3 +212,34 @@ def test_readings_of_long_words(spark, tmp_path):
     want = {w: (len(expanded(choices(w, None))), len(expanded(choices(w, None, False))), min("".join(p) for t in phonetics.candidates("en") for p in expanded(choices(w, t)))) for w in words}
     assert {r.word: (r.readings, r.out_of_context, r.lowest_en) for r in QUERIES["q_readings"](spark, str(tmp_path)).collect()} == want
     assert any(n > 1 for w, (n, *_) in want.items() if len(w) > 12) and any(n == 1 for w, (n, *_) in want.items() if len(w) > 12)
+
+
+def test_whole_numbers(spark, tmp_path):
+    from plait.plans.texts import QUERIES
+
+    items = ["a" * 15, "hello, ", "-" + "zebra" * 5, "+12", "naïve 中 " + "q" * 300, "é" * 2000, "-"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    words = ["cat", "characteristics" * 3, "internationalization"]
+    spark.createDataFrame([(" ".join(words),)], "text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("naïve",)], "p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    ranks = {r["char"]: r["rank"] for r in alphabet.table()}
+
+    def same(number, digits, base):
+        """Held in pieces of nine decimal digits, as Python's own text of long integers is limited."""
+        n = sum(d * base**i for i, d in enumerate(reversed(digits)))
+        held = []
+        while n:
+            n, x = divmod(n, 10**9)
+            held.append(f"{x:09d}")
+        return number == ("".join(reversed(held)).lstrip("0") or "0")
+
+    got = {(r.item_id, r.item): r for r in QUERIES["q_cards_whole"](spark, str(tmp_path)).collect()}
+    for i, text in enumerate(items):
+        for j, raw in enumerate(x.strip() for x in text.split(",")):
+            r = got.pop((i, j))
+            assert r.neg == raw.startswith("-") and r.is_number == bool(re.fullmatch("[+-]?[0-9]+", raw))
+            assert r.number is None if r.is_number else same(r.number, [ranks.get(c, 0) for c in re.sub("^[+-]", "", raw)], 307)
+    assert not got
+    rows = QUERIES["q_ipa_number_whole"](spark, str(tmp_path)).collect()
+    assert all(same(r.number, [int(x) for x in r.digits.split()], ipa.BASE) for r in rows) and {w for w in words} <= {r.word for r in rows}
+    assert max(len(r.digits.split()) for r in rows) > 15
