@@ -207,19 +207,22 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def tokenized_pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int) -> DataFrame:
     """The pieces of each document: longer ones cut every `capacity` tokens."""
-    end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(tokenizer, keeps_blanks=False).encode
+        encoder = tokens.encoder(tokenizer, keeps_blanks=False)
         for batch in batches:
-            rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()])):
-                ids += end
-                for i, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc, i, at // 4, len(part) // 4, zlib.crc32(part)))
-            columns = list(zip(*rows)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), *[pa.int64()] * 3))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            ids, n = encoder.arrow(batch.column(1))
+            raw = memoryview(np.insert(ids, np.cumsum(n), end_id).astype("<u4")).cast("B")
+            n = n + 1
+            pieces = -(-n // capacity)
+            doc = np.repeat(np.arange(len(n)), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            length = np.minimum(n[doc] - start, capacity)
+            at = (np.cumsum(n) - n)[doc] + start
+            crc = [zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(at.tolist(), length.tolist())]
+            columns = [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, _PIECES)
 
