@@ -75,16 +75,24 @@ def colours(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda d: F.when(d > 0, "b").when(d < 0, "r").otherwise("g")), "")
 
 
-#: Cells up to which digits, and sums of a hundred digits, are read in 64 bits.
+#: Cells up to which digits are read in 64 bits.
 NARROW = 54
 
 
+def sums_numerator(sums: Column) -> Column:
+    """Sums of any size read in base two, in decimals; more than 38 of their digits fail."""
+    return F.aggregate(sums, whole(0), lambda a, d: (a * 2 + d).cast(EXACT))
+
+
 def numerator(cells: Column) -> Column:
-    """The digits read in base two; the value is this over 2 to the number of cells. Wide arrays are read in decimals."""
+    """The digits read in base two; the value is this over 2 to the number of cells. Wide arrays are read in decimals.
+
+    Cells are digits, or sums of at most a hundred digits; sums_numerator() reads others.
+    """
 
     def of(c: Column) -> Column:
         narrow = F.aggregate(c, F.lit(0).cast("bigint"), lambda a, d: a * 2 + d).cast(EXACT)
-        return F.when(F.size(c) <= NARROW, narrow).otherwise(F.aggregate(c, whole(0), lambda a, d: (a * 2 + d).cast(EXACT)))
+        return F.when(F.size(c) <= NARROW, narrow).otherwise(sums_numerator(c))
 
     return let(cells, of)
 

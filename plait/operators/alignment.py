@@ -20,7 +20,7 @@ def align(rows: DataFrame, keys: list[str], cells: str = "d", ring: str = "e", s
     held = held.select(*keys, "m", F.array_min(F.map_keys("m")).alias("lo"), F.array_max(F.map_keys("m")).alias("hi"))
     sums = F.when(F.col("lo").isNull(), F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.coalesce("lo", F.lit(0)), F.coalesce("hi", F.lit(0))), lambda w: F.coalesce(F.element_at("m", w), F.lit(0))))
     out = held.select(*keys, "lo", "hi", sums.alias("sums"))
-    num = D.numerator(F.col("sums"))
+    num = D.sums_numerator(F.col("sums"))
     # below the point the total is num / 2^hi; a finest weight above it shifts the other way
     total = F.when(F.col("lo").isNull(), "0").otherwise(D.ratio((num * D.pow2(F.greatest(-F.coalesce("hi", F.lit(0)), F.lit(0)))).cast(D.EXACT), F.greatest(F.coalesce("hi", F.lit(0)), F.lit(0))))
     return out.select("*", F.size(F.filter("sums", lambda s: F.abs(s) > 1)).alias("owed"), total.alias("total"))

@@ -87,6 +87,12 @@ def multi_listed(entries: DataFrame, key: str = "cp") -> DataFrame:
     return each.groupBy("entries").agg(F.count("*").alias("characters"))
 
 
+def flat_codes(ordered: DataFrame, position: str = "position") -> DataFrame:
+    """Rows with their positions, and code: all of one width in bits, as they start at the power of two that holds all rows."""
+    ring = max(1, (ordered.count() - 1).bit_length())
+    return ordered.withColumn("code", F.col(position) + (1 << ring))
+
+
 def filtered(entries: DataFrame, want: str) -> DataFrame:
     """Entries that answer a request: a part of the index in its order, never another order."""
     asked = want.split()

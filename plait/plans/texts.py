@@ -201,10 +201,11 @@ def q_detect(spark, sf_dir):
     return held.select("word", W.lexicon_tag(F.col("word"), "es en de", {t: F.col(t) for t in ("es", "en", "de")}).alias("tag"))
 
 
-_IPA = values([(r["sym"], r["rom"], r["kind"], r["rank"]) for r in ipa.table()], "sym, rom, kind, rank")
+_CODES_MAP = "{" + ", ".join(f"'{r['char']}': {r['code']}" for r in alphabet.table()) + "}"
+_IPA = values([(r["sym"], r["rom"], r["kind"], r["name"], r["rank"]) for r in ipa.table()], "sym, rom, kind, name, rank")
 
 
-@query("q_ipa_table", f"SELECT sym, rom, kind, CAST(rank AS INTEGER) AS rank FROM {_IPA}")
+@query("q_ipa_table", f"SELECT sym, rom, kind, name, CAST(row_number() OVER (ORDER BY list_transform(string_split(rom, ''), lambda c: list_extract(map_extract(MAP {_CODES_MAP}, c), 1))) AS INTEGER) AS rank FROM {_IPA}")
 def q_ipa_table(spark, sf_dir):
     return tables.ipa_table(spark)
 
@@ -348,8 +349,8 @@ def q_index_order(spark, sf_dir):
     for i, t in enumerate([*phonetics.HAN_TAGS, phonetics.ANY]):
         lang = F.when(F.array_join("langs", "|") == t, i).otherwise(lang)
     rows = rows.withColumn("key", F.concat("letters", F.array(F.lit(alphabet.TERM), lang, "tone", "strokes", "spell")))
-    out = ordering.positions(rows, [F.col("key"), F.col("ipa")], F.slice("key", 1, 1))
-    return out.select("position", (F.col("position") + 512).alias("code"), "char", F.array_join("langs", "|").alias("langs"), "ipa")
+    out = characters.flat_codes(ordering.positions(rows, [F.col("key"), F.col("ipa")], F.slice("key", 1, 1)))
+    return out.select("position", "code", "char", F.array_join("langs", "|").alias("langs"), "ipa")
 
 
 @query("q_base_round_trip", "SELECT CAST(306 AS BIGINT) AS written, CAST(306 AS BIGINT) AS read, CAST(0 AS BIGINT) AS lost")

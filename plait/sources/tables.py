@@ -65,10 +65,11 @@ def code_points(spark: SparkSession) -> DataFrame:
 
 
 def lexicon(spark: SparkSession, path: str, tag: str, limit: int | None = None) -> DataFrame:
-    """tag, word of a file with a word a line: blank lines and lines with a space are skipped."""
-    words = spark.read.text(path).select(F.lower(F.trim("value")).alias("word")).where("word <> '' and instr(word, ' ') = 0")
-    words = words.limit(limit) if limit else words
-    return words.distinct().select(F.lit(tag).alias("tag"), "word")
+    """tag, word of a file with a word a line: blank lines and lines with a space are skipped; the first `limit` words."""
+    place = [F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")]
+    words = spark.read.text(path).select(F.lower(F.trim("value")).alias("word"), *place).where("word <> '' and instr(word, ' ') = 0")
+    words = words.orderBy("p", "b", "i").limit(limit) if limit else words
+    return words.select("word").distinct().select(F.lit(tag).alias("tag"), "word")
 
 
 def sample_words(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -80,7 +81,7 @@ def sample_words(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 
 def ipa_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(r["sym"], r["rom"], r["kind"], r["rank"]) for r in ipa.table()], "sym string, rom string, kind string, rank int")
+    return spark.createDataFrame([(r["sym"], r["rom"], r["kind"], r["name"], r["rank"]) for r in ipa.table()], "sym string, rom string, kind string, name string, rank int")
 
 
 def rules(spark: SparkSession) -> DataFrame:
