@@ -1,12 +1,20 @@
 """An adaptive context-mixing range coder for token ids, in independently reset, checksummed blocks.
 
-A block's ids are dealt over lanes, which are coded abreast: one row of all lanes is one numpy step. Three orders
-predict an id: the table of order 2 names a candidate after the last two ids, that of order 1 one after the last id,
-and order 0 has adaptive frequencies. How much of the coding interval the two candidates get is mixed from what
-happened so far under the same pair of confidences. All models start empty in each block and learn from rows already
-coded, so the decoder follows the encoder.
+A block's ids are dealt over lanes, which are coded abreast: one row of all lanes is one numpy step. Pairs of ids that
+followed each other are numbered as they appear, so a number is the context of order 2. Three orders predict an id:
 
-A block: magic, number of ids, lanes, words in each lane, CRC-32 of the ids, CRC-32 of the payload, payload.
+* order 2: after each pair, a candidate for the next one and how often it held (with two or four candidates blocks of
+  documents came out as large);
+* order 1: after each id, the frequencies of all ids that followed it;
+* order 0: the frequencies of all ids as ends of different pairs.
+
+How much of the coding interval the candidate, order 1 and order 0 get is mixed from what happened so far under the same
+confidence and the same richness of the contexts. What the candidate takes is excluded from order 1. Candidates and the
+mix learn after every few rows, the tables of frequencies whenever the history has grown by half. All models start
+empty in each block and learn from rows already coded, so the decoder follows the encoder.
+
+A block: magic, number of ids, lanes, CRC-32 of the ids, CRC-32 of the payload, payload. The payload: how many words of
+16 bits each lane has, then the words of one lane after another.
 """
 
 from __future__ import annotations
@@ -16,59 +24,138 @@ import zlib
 
 import numpy as np
 
-MAGIC, HEAD = b"PRC1", struct.Struct("<4sIIII")
-LANES, ROWS = 16384, 64  # most lanes; fewest rows aimed at
+MAGIC, HEAD = b"PRC3", struct.Struct("<4sIIII")
+LANES, ROWS = 4096, 1024  # most lanes; fewest rows aimed at
 IDS = 1 << 16
 BITS0, BITS = 19, 16  # of the totals for order 0 and for the mix
-REBUILD, REMIX = 64, 4  # rows between two tables of order 0, and between two of the mix
-TABLE2 = 1 << 17
+STEP, GROWTH = 16, 1.5  # rows learnt at once; growth of the history between two tables of frequencies
+KINDS, RICH = 3, 32  # candidate, order 1, order 0
 U = np.uint64
-LOW24, RENORM = U((1 << 24) - 1), U(1 << 24)
-START = U(1 << 55)
+MOST, RENORM = U((1 << 64) - 1), U(1 << 48)
+_POWERS = 1 << np.arange(32)
+_SPREAD = U(0x9E3779B97F4A7C15)
 
 
 class _Models:
-    """Candidates with their confidence (id * 8 + confidence) after two ids and after one, counts of ids, and the mix."""
-
-    def __init__(self) -> None:
-        self.after2, self.after1 = np.zeros(TABLE2, np.int32), np.zeros(IDS, np.int32)
-        self.counts = np.zeros(IDS, np.int64)
-        self.mix = np.tile(np.array([1, 1, 2], np.int64), (128, 1))
-        self.fresh: list[np.ndarray] = []
-        self.row = 0
-        self.inverse: np.ndarray | None = None
-
-    def begin(self, last: np.ndarray, before: np.ndarray, decoding: bool) -> None:
-        if self.row in (1, 2, 4, 8) or self.row % REBUILD == 0:
-            if self.fresh:
-                self.counts += np.bincount(np.concatenate(self.fresh), minlength=IDS)
-                self.fresh = []
-            size = self.counts * ((1 << BITS0) - IDS) // max(1, int(self.counts.sum())) + 1
-            self.below, self.size = (np.cumsum(size) - size).astype(U), size.astype(U)
-            if decoding:
-                self.inverse = np.full(1 << BITS0, IDS - 1, np.int32)
-                self.inverse[: int(size.sum())] = np.repeat(np.arange(IDS, dtype=np.int32), size)
-        self.row += 1
-        self.at1, self.at2 = last, (last * np.int32(40503) ^ before * np.int32(60493) ^ (before >> 5)) & np.int32(TABLE2 - 1)
-        self.e2, self.e1 = self.after2.take(self.at2), self.after1.take(last)
-        self.g2, self.g1 = self.e2 >> 3, self.e1 >> 3
-        self.cell = ((self.e2 & 7) << 3 | self.e1 & 7 | (self.g1 == self.g2).astype(np.int32) << 6) * 3
-        if self.row <= 8 or self.row % REMIX == 1:
-            total = self.mix.sum(axis=1, keepdims=True)
-            part = self.mix * ((1 << BITS) - 3) // total + 1
-            part[:, 2] = (1 << BITS) - part[:, 0] - part[:, 1]
-            start = np.zeros_like(part)
-            start[:, 1:] = np.cumsum(part[:, :2], axis=1)
-            self.part, self.start = part.ravel().astype(U), start.ravel().astype(U)
-
-    def learn(self, ids: np.ndarray, chosen: np.ndarray) -> None:
-        """chosen: cell and kind of each id. Where lanes meet in one entry, the last one's update stands."""
-        self.mix += np.bincount(chosen, minlength=384).reshape(128, 3)
-        for table, at, e, g in ((self.after2, self.at2, self.e2, self.g2), (self.after1, self.at1, self.e1, self.g1)):
-            s = e & 7
-            missed = np.where(s > 0, g << 3 | s >> 1, ids << 3)
-            table[at] = np.where(g == ids, e + (s < 7), missed)
-        self.fresh.append(ids)
+    """Numbered pairs with counts and candidates, tables of frequencies, and the mix. Pair 0 is none."""
+
+    def __init__(self, n: int) -> None:
+        self.bits = 12
+        self.slots = np.zeros(1 << self.bits, np.int32)
+        self.key, self.id = np.zeros(n + 1, np.uint32), np.zeros(n + 1, np.int32)
+        self.count, self.start, self.size = (np.zeros(n + 1, np.int32) for _ in range(3))
+        self.after = np.zeros(n + 1, np.int32)  # candidate << 3 | confidence
+        self.pairs, self.seen, self.next_table = 1, 0, 0
+        self.count0, self.fresh = np.zeros(IDS, np.int64), []
+        self.mix = np.tile(np.array([2, 2, 1], np.int64), (8 * RICH, 1))
+        self.rich, self.total, self.base = np.zeros(IDS, np.int64), np.zeros(IDS, np.int64), np.zeros(IDS, np.int64)
+        self._tables()
+        self._mixed()
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(U) * _SPREAD) >> U(64 - self.bits)).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The numbers of pairs, 0 for unknown ones."""
+        slot = self._slot(key)
+        out = self.slots.take(slot).astype(np.int64)
+        left = np.flatnonzero((self.key.take(out) != key) & (out > 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            at = self.slots.take(slot[left])
+            out[left] = at
+            left = left[(self.key.take(at) != key[left]) & (at > 0)]
+        return out
+
+    def insert(self, key: np.ndarray) -> None:
+        """Numbers distinct unknown pairs in their order."""
+        number = np.arange(self.pairs, self.pairs + len(key), dtype=np.int32)
+        self.key[number], self.id[number] = key, (key & np.uint32(IDS - 1)).astype(np.int32)
+        self.pairs += len(key)
+        if 2 * self.pairs > len(self.slots):  # a table twice as large, or more, with all pairs anew
+            self.bits = (4 * self.pairs).bit_length()
+            self.slots = np.zeros(1 << self.bits, np.int32)
+            number, key = np.arange(1, self.pairs, dtype=np.int32), self.key[1 : self.pairs]
+        slot, left = self._slot(key), np.arange(len(key))
+        while len(left):
+            at = slot[left]
+            empty = self.slots.take(at) == 0
+            self.slots[at[empty]] = number[left[empty]]
+            left = left[self.slots.take(at) != number[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _tables(self) -> None:
+        """Frequencies of both orders from all that was learnt."""
+        n = self.pairs
+        if self.fresh:
+            self.count[:n] += np.bincount(np.concatenate(self.fresh), minlength=n)
+            self.fresh = []
+            self.order = np.argsort(self.key[1:n]) + 1
+            context, c = (self.key[self.order] >> np.uint32(16)).astype(np.int64), self.count[self.order].astype(np.int64)
+            total = np.bincount(context, weights=c, minlength=IDS).astype(np.int64)
+            if total.max() >= 1 << 22:  # totals stay small against the coding interval
+                c = np.maximum(c >> np.searchsorted(_POWERS, total >> 21, side="right")[context], 1)
+            self.total = np.bincount(context, weights=c, minlength=IDS).astype(np.int64)
+            self.base = np.cumsum(self.total) - self.total
+            self.start[self.order], self.size[self.order] = np.cumsum(c) - c - self.base[context], c
+            self.count0 = np.bincount(self.id[self.order], minlength=IDS)
+            kinds = np.bincount(context, minlength=IDS)
+            often = (np.searchsorted(_POWERS[:16], self.total + 1, side="right") - 1) // 2
+            self.rich = often * 4 + sum(self.total + 1 >= x * (kinds + 1) for x in (2, 4, 8))
+        size = self.count0 * ((1 << BITS0) - IDS) // max(1, int(self.count0.sum())) + 1
+        self.start0, self.size0 = np.cumsum(size) - size, size
+        self.inverse0: np.ndarray | None = None  # made by inverses(), as a decoder alone needs them
+        self.next_table = int(self.seen * GROWTH)
+
+    def inverses(self) -> None:
+        """The id of order 0, and the pair of order 1, at each number of the cumulated frequencies."""
+        if self.inverse0 is None:
+            self.inverse0 = np.full(1 << BITS0, IDS - 1, np.int32)
+            self.inverse0[: int(self.size0.sum())] = np.repeat(np.arange(IDS, dtype=np.int32), self.size0)
+            if self.pairs > 1:
+                self.inverse1 = np.repeat(self.order.astype(np.int32), self.size[self.order])
+                self.last = len(self.inverse1) - 1
+
+    def _mixed(self) -> None:
+        part = self.mix * ((1 << BITS) - KINDS) // self.mix.sum(axis=1, keepdims=True) + 1
+        part[:, -1] = (1 << BITS) - part[:, :-1].sum(axis=1)
+        start = np.cumsum(part, axis=1) - part
+        self.part, self.bound = part.ravel().astype(U), start.ravel().astype(U)
+
+    def look(self, last: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The candidate, and KINDS times the cell of the mix, after the ids `last`, each the end of a pair."""
+        a = self.after.take(pair).astype(np.int64)
+        return a >> 3, ((a & 7) * RICH + self.rich.take(last)) * KINDS
+
+    def learn(self, last: np.ndarray, before: np.ndarray, ids: np.ndarray, pair: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """Rows of ids with the ids before them; `before`: pairs of the row above; pair: of those not coded by order 0.
+
+        Returns the pairs of the last row. Where a context stands more than once, its last update stands.
+        """
+        self.mix += np.bincount(chosen.ravel(), minlength=self.mix.size).reshape(self.mix.shape)
+        pair = pair.copy()
+        left = np.nonzero(chosen % KINDS == 2)
+        if len(left[0]):
+            key = (last[left].astype(np.uint32) << np.uint32(16)) | ids[left].astype(np.uint32)
+            found = self.find(key)
+            new = np.sort(key[found == 0])
+            if len(new):
+                self.insert(new[np.concatenate([[True], new[1:] != new[:-1]])])
+                found[found == 0] = self.find(key[found == 0])
+            pair[left] = found
+        above = np.concatenate([before[None, : pair.shape[1]], pair[:-1]]).ravel()
+        j = pair.ravel()
+        a = self.after.take(above)
+        sure = a & 7
+        missed = np.where(sure < 2, j << 3 | 1, a - (sure >> 1))
+        self.after[above] = np.where(a >> 3 == j, a + (sure < 7), missed)
+        self.after[0] = 0
+        self.fresh.append(j)
+        self.seen += len(j)
+        if self.seen >= self.next_table:
+            self._tables()
+        self._mixed()
+        return pair[-1]
 
 
 def _shape(n: int) -> tuple[int, int, int]:
@@ -78,6 +165,16 @@ def _shape(n: int) -> tuple[int, int, int]:
     return lanes, rows, n - (rows - 1) * lanes
 
 
+def _steps(rows: int, lanes: int, long: int) -> list[tuple[int, int, int]]:
+    """First row, rows and lanes of what is learnt at once: few rows at first; a shorter last row by itself."""
+    out, t, whole = [], 0, rows if long == lanes else rows - 1
+    while t < whole:
+        n = min(STEP, max(1, t // 2), whole - t)
+        out.append((t, n, lanes))
+        t += n
+    return out if whole == rows else [*out, (rows - 1, 1, long)]
+
+
 def _abreast(ids: np.ndarray, lanes: int, rows: int, long: int) -> np.ndarray:
     """ids as rows of lanes: the first `long` lanes hold `rows` ids in a row, the others one less."""
     out = np.zeros((rows, lanes), ids.dtype)
@@ -92,54 +189,65 @@ def _in_line(table: np.ndarray, long: int) -> np.ndarray:
 
 
 def encode(ids: np.ndarray) -> bytes:
-    """A block of ids below 65536."""
+    """A block of ids below 65536; raises ValueError for others."""
     n = len(ids)
     if not n:
         return HEAD.pack(MAGIC, 0, 0, 0, 0)
+    if int(ids.max()) >= IDS or int(ids.min()) < 0:
+        raise ValueError(f"ids must lie in 0 to {IDS - 1}")
     lanes, rows, long = _shape(n)
     ids = ids.astype(np.int32)
-    table, models = _abreast(ids, lanes, rows, long), _Models()
-    most = rows * 5 // 4 + 8
-    out, at, every = np.zeros((most, lanes), U), np.zeros(lanes, np.int64), np.arange(lanes)
-    low, width = np.zeros(lanes, U), np.full(lanes, START)
-    last, before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-
-    def put(w: np.ndarray | slice, begin: np.ndarray, size: np.ndarray, bits: int) -> None:
-        r = width[w] >> U(bits)
-        lo, wi = low[w] + r * begin, r * size
-        m = np.flatnonzero(wi < RENORM)
-        if len(m):
-            who = m if isinstance(w, slice) else w[m]
-            few, p = lo[m], at[who]
-            out[p, who] = few >> U(24)  # an IndexError would say that a lane passed its bound
-            at[who] = p + 1
-            lo[m] = (few & LOW24) << U(32)
-            wi[m] <<= U(32)
-        low[w], width[w] = lo, wi
-
-    for t in range(rows):
-        k = lanes if t < rows - 1 else long
-        x = table[t, :k]
-        models.begin(last[:k], before[:k], False)
-        kind = np.where(x == models.g2, 0, np.where(x == models.g1, 1, 2))
-        chosen = models.cell + kind
-        put(slice(0, k), models.start.take(chosen), models.part.take(chosen), BITS)
-        rare = np.flatnonzero(kind == 2)
-        if len(rare):
-            y = x[rare]
-            put(rare, models.below.take(y), models.size.take(y), BITS0)
-        models.learn(x, chosen)
-        before[:k] = last[:k]
-        last[:k] = x
+    table, m = _abreast(ids, lanes, rows, long), _Models(n)
+    out, at, every = np.zeros((3 * rows + 2, lanes), np.uint32), np.zeros(lanes, np.int64), np.arange(lanes)
+    low, width = np.zeros(lanes, U), np.full(lanes, MOST)
+    last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    for t, height, k in _steps(rows, lanes, long):
+        x = table[t : t + height, :k].astype(np.int64)
+        prev = np.concatenate([last[None, :k], x[:-1]])
+        pair = m.find((prev.astype(np.uint32) << np.uint32(16) | x.astype(np.uint32)).ravel()).reshape(x.shape)
+        a, cell, kind, above = np.empty_like(pair), np.empty_like(pair), np.empty_like(pair), before[:k]
+        own = m.size.take(pair)
+        rare = np.where(own > 0, 1, 2)
+        for i in range(height):  # a pair that order 0 codes has no number until it is learnt
+            a[i], cell[i] = m.look(prev[i], above)
+            kind[i] = np.where((pair[i] == a[i]) & (above > 0) & (a[i] > 0), 0, rare[i])
+            above = np.where(kind[i] < 2, pair[i], 0)
+        chosen = cell + kind
+        mine, taken = m.start.take(pair), m.size.take(a)
+        first, zero = kind == 1, kind == 2
+        begin = np.where(first, mine - np.where(m.start.take(a) < mine, taken, 0), np.where(zero, m.start0.take(x), 0)).astype(U)
+        size = np.where(first, own, np.where(zero, m.size0.take(x), 1)).astype(U)
+        total = np.where(first, m.total.take(prev) - taken, np.where(zero, 1 << BITS0, 1)).astype(U)
+        bound, part = m.bound.take(chosen), m.part.take(chosen)
+        for i in range(height):
+            r = width[:k] >> U(BITS)
+            share = r * part[i] // total[i]
+            lo, wi = low[:k] + r * bound[i] + share * begin[i], share * size[i]
+            over = np.flatnonzero(lo < low[:k])
+            if len(over):  # carries are left in the upper halves
+                out[at[over] - 1, over] += np.uint32(1)
+            small = np.flatnonzero(wi < RENORM)
+            while len(small):
+                few, p = lo[small], at[small]
+                out[p, small] = few >> U(48)
+                at[small] = p + 1
+                lo[small] = few << U(16)
+                few = wi[small] << U(16)
+                wi[small] = few
+                small = small[few < RENORM]
+            low[:k], width[:k] = lo, wi
+        before[:k] = m.learn(prev, before, x, np.where(zero, 0, pair), chosen)
+        last[:k] = x[-1]
     # any value of the last interval will do: the one whose bits after the next word are zero
-    out[at, every] = (low + LOW24) >> U(24)
+    over = np.flatnonzero(low > MOST - (RENORM - U(1)))
+    out[at[over] - 1, over] += np.uint32(1)
+    out[at, every] = (low + (RENORM - U(1))) >> U(48)
     at += 1
     out = out[: at.max()]
-    for i in range(len(out) - 1, 0, -1):  # carries were left in the upper halves
-        out[i - 1] += out[i] >> U(32)
-    words = np.ascontiguousarray(out.astype(np.uint32).T)
-    keep = np.arange(len(out)) < at[:, None]
-    payload = at.astype("<u4").tobytes() + words[keep].astype("<u4").tobytes()
+    for i in range(len(out) - 1, 0, -1):
+        out[i - 1] += out[i] >> np.uint32(16)
+    words = np.ascontiguousarray((out & np.uint32(0xFFFF)).astype("<u2").T)
+    payload = at.astype("<u4").tobytes() + words[np.arange(len(out)) < at[:, None]].tobytes()
     return HEAD.pack(MAGIC, n, lanes, zlib.crc32(ids.astype("<u2").tobytes()), zlib.crc32(payload)) + payload
 
 
@@ -156,46 +264,62 @@ def decode(block: bytes) -> np.ndarray:
         raise ValueError("unknown layout")
     _, rows, long = _shape(n)
     length = np.frombuffer(block, "<u4", lanes, HEAD.size).astype(np.int64)
-    at = np.cumsum(length + 1) - length - 1
-    flat = np.zeros(int((length + 1).sum()) + 2, U)  # a zero word after each lane
-    flat[np.arange(int(length.sum())) + np.repeat(np.arange(lanes), length)] = np.frombuffer(block, "<u4", -1, HEAD.size + 4 * lanes)
-    models, table = _Models(), np.zeros((rows, lanes), np.int32)
-    code, width = flat[at] << U(24) | flat[at + 1] >> U(8), np.full(lanes, START)
-    at += 1
-    last, before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-    top = len(flat) - 2
-
-    def take(w: np.ndarray | slice, r: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
-        co, wi = code[w] - r * begin, r * size
-        m = np.flatnonzero(wi < RENORM)
-        if len(m):
-            who = m if isinstance(w, slice) else w[m]
-            p = at[who]
-            q = np.minimum(p + 1, top)
-            co[m] = co[m] << U(32) | (flat.take(p) & U(255)) << U(24) | flat.take(q) >> U(8)
-            wi[m] <<= U(32)
-            at[who] = q
-        code[w], width[w] = co, wi
-
-    for t in range(rows):
-        k = lanes if t < rows - 1 else long
-        models.begin(last[:k], before[:k], True)
-        r = width[:k] >> U(BITS)
-        v = code[:k] // r
-        kind = (v >= models.start.take(models.cell + 1)).astype(np.int32) + (v >= models.start.take(models.cell + 2))
-        chosen = models.cell + kind
-        take(slice(0, k), r, models.start.take(chosen), models.part.take(chosen))
-        x = np.where(kind == 0, models.g2, models.g1)
-        rare = np.flatnonzero(kind == 2)
-        if len(rare):
-            r = width[rare] >> U(BITS0)
-            y = models.inverse.take(np.minimum(code[rare] // r, U((1 << BITS0) - 1)).astype(np.int64))
-            take(rare, r, models.below.take(y), models.size.take(y))
-            x[rare] = y
-        models.learn(x, chosen)
-        table[t, :k] = x
-        before[:k] = last[:k]
-        last[:k] = x
+    at = np.cumsum(length + 4) - length - 4
+    flat = np.zeros(int((length + 4).sum()) + 4, np.uint16)  # zeros after each lane
+    flat[np.arange(int(length.sum())) + np.repeat(4 * np.arange(lanes), length)] = np.frombuffer(block, "<u2", -1, HEAD.size + 4 * lanes)
+    m, table = _Models(n), np.zeros((rows, lanes), np.int32)
+    code, width = np.zeros(lanes, U), np.full(lanes, MOST)
+    for i in range(4):
+        code = code << U(16) | flat.take(at + i).astype(U)
+    at += 4
+    last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    top = len(flat) - 1
+    for t, height, k in _steps(rows, lanes, long):
+        m.inverses()
+        prev, pair, chosen = (np.empty((height, k), np.int64) for _ in range(3))
+        above, ids = before[:k], last[:k]
+        for i in range(height):
+            prev[i] = ids
+            a, cell = m.look(ids, above)
+            co, r = code[:k], width[:k] >> U(BITS)
+            kind = (co >= r * m.bound.take(cell + 1)).astype(np.int64) + (co >= r * m.bound.take(cell + 2))
+            cell += kind
+            chosen[i] = cell
+            co = co - r * m.bound.take(cell)
+            wi = r * m.part.take(cell)
+            x = m.id.take(a).astype(np.int64)
+            above = np.where(kind == 0, a, 0)
+            rest = np.flatnonzero(kind == 1)
+            if len(rest):
+                after, taken = ids[rest], a[rest]
+                at_a, size_a = m.start.take(taken), m.size.take(taken)
+                share = wi[rest] // np.maximum(m.total.take(after) - size_a, 1).astype(U)
+                v = np.minimum(co[rest] // share, U(1 << 40)).astype(np.int64)
+                found = m.inverse1.take(np.minimum(v + np.where(v >= at_a, size_a, 0) + m.base.take(after), m.last))
+                mine = m.start.take(found)
+                co[rest] -= share * (mine - np.where(at_a < mine, size_a, 0)).astype(U)
+                wi[rest] = share * m.size.take(found).astype(U)
+                above[rest] = found
+                x[rest] = m.id.take(found)
+            rest = np.flatnonzero(kind == 2)
+            if len(rest):
+                share = wi[rest] >> U(BITS0)
+                y = m.inverse0.take(np.minimum(co[rest] // share, U((1 << BITS0) - 1)).astype(np.int64))
+                co[rest] -= share * m.start0.take(y).astype(U)
+                wi[rest] = share * m.size0.take(y).astype(U)
+                x[rest] = y
+            small = np.flatnonzero(wi < RENORM)
+            while len(small):
+                p = at[small]
+                co[small] = co[small] << U(16) | flat.take(p).astype(U)
+                at[small] = np.minimum(p + 1, top)
+                few = wi[small] << U(16)
+                wi[small] = few
+                small = small[few < RENORM]
+            code[:k], width[:k] = co, wi
+            pair[i], table[t + i, :k], ids = above, x, x
+        before[:k] = m.learn(prev, before, table[t : t + height, :k], pair, chosen)
+        last[:k] = ids
     out = _in_line(table, long)
     if zlib.crc32(out.astype("<u2").tobytes()) != crc:
         raise ValueError("damaged ids")
