@@ -50,7 +50,22 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_remo
 
 
 def _cell(v: str) -> str:
-    return f"(({v} >> greatest(length(bin({v})) - 4, 0)) << greatest(length(bin({v})) - 4, 0))"
+    return f"(({v} >> greatest(length(bin({v})) - 7, 0)) << greatest(length(bin({v})) - 7, 0))"
+
+
+def _quartiles(keys: str, source: str) -> str:
+    upto = f"SELECT *, sum(n) OVER (PARTITION BY {keys}, measure ORDER BY value) AS upto, sum(n) OVER (PARTITION BY {keys}, measure) AS total FROM {source}"
+    return f"SELECT {keys}, measure, {', '.join(f'min(value) FILTER (4 * upto >= {q} * total) AS q{q}' for q in (1, 2, 3))}, max(total) AS total FROM ({upto}) GROUP BY ALL"
+
+
+def _at(measure: str, q: int) -> str:
+    return f"max(q{q}) FILTER (measure = '{measure}')"
+
+
+def _inside(v: str, size: str, k: str, low: bool) -> str:
+    beyond = f"CAST(greatest({v} - {k}3, {f'{k}1 - {v}, ' if low else ''}0) AS DOUBLE)"
+    reach = f"CAST(6 * {k}s AS DOUBLE)"
+    return f"{beyond} * {beyond} * {size} <= {reach} * {reach} * greatest({size}, {k}m)"
 
 
 QUALITY = rf"""
@@ -60,15 +75,13 @@ r AS (SELECT doc_id, i FROM s QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1
 c AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM r, (SELECT unnest(range(5)) AS j) GROUP BY doc_id),
 b AS (SELECT w.doc_id, lang, source, len(w) AS n_words, len(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM w LEFT JOIN c USING (doc_id)),
 t AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, 1000 * n_symbols // greatest(word_chars, 1) AS symbols, 100 * word_chars // greatest(n_words, 1) AS length_, 1000 * n_dup_lines // greatest(n_words, 1) AS lines FROM b),
-u AS (SELECT lang, source, measure, value FROM t, LATERAL (SELECT unnest(['symbols', 'length', 'lines']) AS measure, unnest([{_cell('symbols')}, {_cell('length_')}, {_cell('lines')}]) AS value) WHERE NOT base_failed),
+u AS (SELECT lang, source, measure, value FROM t, LATERAL (SELECT unnest(['symbols', 'length', 'lines', 'words', 'chars']) AS measure, unnest([{', '.join(map(_cell, ('symbols', 'length_', 'lines', 'n_words', 'word_chars')))}]) AS value) WHERE NOT base_failed),
 k AS (SELECT lang, source, measure, value, count(*) AS n FROM u GROUP BY ALL),
-o AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY value) AS upto, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM k),
-own AS (SELECT lang, source, measure, min(value) FILTER (4 * upto >= total) AS q1, min(value) FILTER (4 * upto >= 3 * total) AS q3, max(total) AS total FROM o GROUP BY ALL),
-km AS (SELECT lang, measure, value, sum(n) AS n FROM k GROUP BY ALL),
-om AS (SELECT *, sum(n) OVER (PARTITION BY lang, measure ORDER BY value) AS upto, sum(n) OVER (PARTITION BY lang, measure) AS total FROM km),
-merged AS (SELECT lang, measure, min(value) FILTER (4 * upto >= total) AS m1, min(value) FILTER (4 * upto >= 3 * total) AS m3 FROM om GROUP BY ALL),
-q AS (SELECT own.lang, source, own.measure, CASE WHEN total >= 30 THEN q1 ELSE m1 END AS q1, CASE WHEN total >= 30 THEN q3 ELSE m3 END AS q3 FROM own JOIN merged ON own.lang IS NOT DISTINCT FROM merged.lang AND own.measure = merged.measure),
-f AS (SELECT lang, source, max(q3 + 6 * (q3 - q1) + 50) FILTER (measure = 'symbols') AS sm, max(q3 + 6 * (q3 - q1) + 600) FILTER (measure = 'length') AS lm, max(q1 - 6 * (q3 - q1) - 600) FILTER (measure = 'length') AS ll, max(q3 + 6 * (q3 - q1) + 60) FILTER (measure = 'lines') AS nm FROM q GROUP BY ALL)
+own AS ({_quartiles('lang, source', 'k')}),
+merged AS ({_quartiles('lang', '(SELECT lang, measure, value, sum(n) AS n FROM k GROUP BY ALL)')}),
+q AS (SELECT own.lang, source, own.measure, {', '.join(f'(own.total * own.q{q} + 30 * merged.q{q}) // (own.total + 30) AS q{q}' for q in (1, 2, 3))} FROM own JOIN merged ON own.lang IS NOT DISTINCT FROM merged.lang AND own.measure = merged.measure),
+p AS (SELECT lang, source, {_at('symbols', 1)} AS s1, {_at('symbols', 3)} AS s3, {_at('chars', 2)} AS sm, {_at('length', 1)} AS l1, {_at('length', 3)} AS l3, {_at('words', 2)} AS lm, {_at('lines', 1)} AS n1, {_at('lines', 3)} AS n3, {_at('words', 2)} AS nm FROM q GROUP BY ALL),
+f AS (SELECT *, greatest(s3 - s1, s3 // 16, 1000 // greatest(sm, 1), 1) AS ss, greatest(l3 - l1, l3 // 16, 100 // greatest(lm, 1), 1) AS ls, greatest(n3 - n1, n3 // 16, 1000 // greatest(nm, 1), 1) AS ns FROM p)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-NOT base_failed AND symbols <= coalesce(sm, symbols) AND length_ <= coalesce(lm, length_) AND length_ >= coalesce(ll, length_) AND lines <= coalesce(nm, lines) AS kept
+coalesce(NOT base_failed AND {_inside('symbols', 'word_chars', 's', False)} AND {_inside('length_', 'n_words', 'l', True)} AND {_inside('lines', 'n_words', 'n', False)}, false) AS kept
 FROM t LEFT JOIN f ON t.lang IS NOT DISTINCT FROM f.lang AND t.source IS NOT DISTINCT FROM f.source"""

@@ -1,9 +1,13 @@
 """Quality rules with thresholds from mergeable quantile sketches per language and source. DataFrame functions only.
 
-The sketch of a measure is a histogram of its values cut to four leading bits (relative error under 1/8), so sketches
+The sketch of a measure is a histogram of its values cut to BITS leading bits (relative error under 1/64), so sketches
 merge by adding counts, come out alike in any order, and hold at most some hundred rows a group. Quantiles are read
-from cumulative counts. A document goes if a measure lies outside the fences of its language and source; groups under
-SMALL documents use the merged sketches of their language.
+from cumulative counts and drawn towards those of the language by PRIOR / (documents + PRIOR).
+
+A document goes if a measure lies further outside the quartiles of its language and source than REACH times their
+distance, for a document of the group's median size; the reach of a smaller one grows with the root of median / size,
+as that of any mean does. A group without spread still has the distance that one event makes in its median document,
+and a sixteenth of the value. Nothing else is added, so every fence follows its group.
 """
 
 from __future__ import annotations
@@ -13,9 +17,10 @@ from pyspark.sql import functions as F
 
 from plait.llm import common
 
-SMALL, WINDOW, REACH = 30, 5, 6
-#: Measures with the least distance of a fence from the quartiles: groups without any spread keep near values.
-SLACK = {"symbols": 50, "length": 600, "lines": 60}
+PRIOR, WINDOW, REACH, BITS = 30, 5, 6, 7
+#: Measure: events counted, what they are counted in, and how many of these the rate is for.
+MEASURES = {"symbols": ("n_symbols", "word_chars", 1000), "length": ("word_chars", "n_words", 100), "lines": ("n_dup_lines", "n_words", 1000)}
+SIZES = ("n_words", "word_chars")
 LOW = {"length"}  # also has a lower fence
 
 
@@ -59,22 +64,19 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def _measures() -> dict[str, Column]:
-    n = F.greatest(F.col("n_words"), F.lit(1))
-    return {
-        "symbols": F.floor(1000 * F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))).cast("long"),
-        "length": F.floor(100 * F.col("word_chars") / n).cast("long"),
-        "lines": F.floor(1000 * F.col("n_dup_lines") / n).cast("long"),
-    }
+def _rate(measure: str) -> Column:
+    events, size, per = MEASURES[measure]
+    return F.floor(per * F.col(events) / F.greatest(F.col(size), F.lit(1))).cast("long")
 
 
 def fences(table: DataFrame) -> DataFrame:
-    """lang, source and the fences of each measure, from the sketches of rows that passed the base rules."""
+    """lang, source, and for each measure its quartiles _q1 and _q3, _reach and median _size, from rows that passed the base rules."""
     def cell(v: Column) -> Column:
-        cut = F.greatest(F.length(F.bin(v)) - 4, F.lit(0))
+        cut = F.greatest(F.length(F.bin(v)) - BITS, F.lit(0))
         return F.call_function("shiftleft", F.call_function("shiftright", v, cut), cut)
 
-    parts = F.array(*(F.struct(F.lit(k).alias("measure"), cell(v).alias("value")) for k, v in _measures().items()))
+    values = {**{k: _rate(k) for k in MEASURES}, **{k: F.col(k) for k in SIZES}}
+    parts = F.array(*(F.struct(F.lit(k).alias("measure"), cell(v).alias("value")) for k, v in values.items()))
     sketch = table.where(~F.col("base_failed")).select("lang", "source", F.explode(parts).alias("m")).select("lang", "source", "m.*")
     sketch = sketch.groupBy("lang", "source", "measure", "value").agg(F.count("*").alias("n"))
 
@@ -82,31 +84,33 @@ def fences(table: DataFrame) -> DataFrame:
         by = Window.partitionBy(*keys, "measure")
         upto = s.select(*keys, "measure", "value", F.sum("n").over(by.orderBy("value")).alias("upto"), F.sum("n").over(by).alias("of"))
         at = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("of"), F.col("value")))
-        return upto.groupBy(*keys, "measure").agg(at(1).alias("q1"), at(3).alias("q3"), F.max("of").alias("of"))
+        return upto.groupBy(*keys, "measure").agg(*(at(q).alias(f"q{q}") for q in (1, 2, 3)), F.max("of").alias("of"))
 
     own = quartiles(sketch, ["lang", "source"])
-    merged = quartiles(sketch.groupBy("lang", "measure", "value").agg(F.sum("n").alias("n")), ["lang"]).select(F.col("lang").alias("l"), F.col("measure").alias("k"), F.col("q1").alias("m1"), F.col("q3").alias("m3"))
+    merged = quartiles(sketch.groupBy("lang", "measure", "value").agg(F.sum("n").alias("n")), ["lang"])
+    merged = merged.select(F.col("lang").alias("l"), F.col("measure").alias("k"), *(F.col(f"q{q}").alias(f"m{q}") for q in (1, 2, 3)))
     both = own.join(merged, F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("k")))
-    enough = F.col("of") >= SMALL
-    both = both.select("lang", "source", "measure", F.when(enough, F.col("q1")).otherwise(F.col("m1")).alias("q1"), F.when(enough, F.col("q3")).otherwise(F.col("m3")).alias("q3"))
-    reach = REACH * (F.col("q3") - F.col("q1"))
+    drawn = [F.expr(f"(of * q{q} + {PRIOR} * m{q}) div (of + {PRIOR})").alias(f"q{q}") for q in (1, 2, 3)]
+    at = lambda k, q: F.max(F.when(F.col("measure") == k, F.col(f"q{q}")))
+    wide = both.select("lang", "source", "measure", *drawn).groupBy("lang", "source")
+    wide = wide.agg(*(at(k, q).alias(f"{k}_q{q}") for k in MEASURES for q in (1, 3)), *(at(k, 2).alias(f"{k}_m") for k in SIZES))
     columns = []
-    for k, slack in SLACK.items():
-        columns.append(F.max(F.when(F.col("measure") == k, F.col("q3") + reach + slack)).alias(f"{k}_most"))
-        if k in LOW:
-            columns.append(F.max(F.when(F.col("measure") == k, F.col("q1") - reach - slack)).alias(f"{k}_least"))
-    return both.groupBy("lang", "source").agg(*columns)
+    for k, (_, size, per) in MEASURES.items():
+        spread = F.greatest(F.col(f"{k}_q3") - F.col(f"{k}_q1"), F.expr(f"{k}_q3 div 16"), F.expr(f"{per} div greatest({size}_m, 1)"), F.lit(1))
+        columns += [F.col(f"{k}_q1"), F.col(f"{k}_q3"), (REACH * spread).alias(f"{k}_reach"), F.col(f"{size}_m").alias(f"{k}_size")]
+    return wide.select("lang", "source", *columns)
 
 
 def _kept(table: DataFrame, limits: DataFrame) -> DataFrame:
     """table with the verdict as kept."""
     joined = common.small_join(table, limits, ["lang", "source"], F.xxhash64("doc_id"), "left")
     inside = F.lit(True)
-    for k, v in _measures().items():
-        inside = inside & (v <= F.coalesce(F.col(f"{k}_most"), v))
-        if k in LOW:
-            inside = inside & (v >= F.coalesce(F.col(f"{k}_least"), v))
-    return joined.withColumn("kept", ~F.col("base_failed") & inside)
+    for k, (_, size, _) in MEASURES.items():
+        v = _rate(k)
+        beyond = F.greatest(v - F.col(f"{k}_q3"), *([F.col(f"{k}_q1") - v] if k in LOW else []), F.lit(0)).cast("double")
+        reach = F.col(f"{k}_reach").cast("double")
+        inside = inside & (beyond * beyond * F.col(size) <= reach * reach * F.greatest(F.col(size), F.col(f"{k}_size")))
+    return joined.withColumn("kept", F.coalesce(~F.col("base_failed") & inside, F.lit(False)))
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -127,10 +131,9 @@ def judge(docs: DataFrame) -> DataFrame:
 def passing(docs: DataFrame) -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns, whatever their names.
 
-    Counts are made twice, for the fences and for the verdict: that costs less than moving or writing the texts.
+    Texts are measured once: the counts are written beside their rows, and read alone for the fences.
     """
-    table = common.written(measured(docs, []), "quality")
-    limits = common.written(fences(table), "quality-fences")
-    common.dropped(table)
     whole = docs.select("doc_id", "text", "lang", "source", F.struct(*docs.columns).alias("__row"))
-    return _kept(measured(whole, ["__row"]), limits).where("kept").select("__row.*")
+    table = common.written(measured(whole, ["__row"]), "quality", "lz4")
+    limits = common.written(fences(table), "quality-fences")
+    return _kept(table, limits).where("kept").select("__row.*")
