@@ -28,9 +28,11 @@ from plait.llm import common
 
 WINDOW, BLOCK = 13, 7
 CHUNK = 1 << 20  # words in a task's share of one exchange row set
+BUCKET = 1 << 25  # characters of all texts for each bucket that a task holds at once
 REMEMBERED = 150_000
 MULTIPLIER, SECOND = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
-NULL = -(1 << 63)
+_DOCUMENT = "<?qqI32s"  # without a doc_id, doc_id, hash of the text, words, SHA-256 of them
+_KEY = np.dtype([("null", "?"), ("doc", "<i8"), ("th", "<i8")])
 _memo: dict[bytes, int] = {}
 
 
@@ -108,7 +110,7 @@ def _probe_chunks(buckets: int):
             part = slice(at, at + int(counts[b]))
             rows.append((int(b), chunk, 0, steps(order[part]) + low[part].tobytes() + np.packbits(marks[part]).tobytes()))
             at += int(counts[b])
-        table = b"".join(struct.pack("<qqI32s", NULL if d is None else d, th, n, sha) for d, th, n, sha in docs)
+        table = b"".join(struct.pack(_DOCUMENT, d is None, d or 0, th, n, sha) for d, th, n, sha in docs)
         rows.append((chunk % buckets, chunk, 1, table))
         for i in range(0, len(rows), 64):
             yield _rows(rows[i : i + 64])
@@ -180,17 +182,16 @@ def _find_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Gives each chunk's hits to its documents: doc_id, th, n_words, sha256, hits."""
-    record = struct.Struct("<qqI32s")
     for _, rows in _grouped(batches, "chunk"):
-        docs = [d for _, _, kind, data in rows if kind == 1 for d in record.iter_unpack(data)]
+        docs = [d for _, _, kind, data in rows if kind == 1 for d in struct.iter_unpack(_DOCUMENT, data)]
         hits = [unsteps(data, 0)[0] for _, _, kind, data in rows if kind == 0]
         every = np.sort(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
-        ends = np.cumsum([d[2] for d in docs])
+        ends = np.cumsum([d[3] for d in docs])
         cut = np.searchsorted(every, np.concatenate([[0], ends]))
-        own = [steps(every[a:b] - (e - d[2])) if b > a else None for d, e, a, b in zip(docs, ends, cut[:-1], cut[1:])]
+        own = [steps(every[a:b] - (e - d[3])) if b > a else None for d, e, a, b in zip(docs, ends, cut[:-1], cut[1:])]
         for i in range(0, len(docs), 512):
             part = docs[i : i + 512]
-            columns = [pa.array([None if d[0] == NULL else d[0] for d in part], pa.int64()), pa.array([d[1] for d in part], pa.int64()), pa.array([d[2] for d in part], pa.int64()), pa.array([d[3].hex() for d in part]), pa.array(own[i : i + 512], pa.binary())]
+            columns = [pa.array([None if d[0] else d[1] for d in part], pa.int64()), pa.array([d[2] for d in part], pa.int64()), pa.array([d[3] for d in part], pa.int64()), pa.array([d[4].hex() for d in part]), pa.array(own[i : i + 512], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "n_words", "sha", "hits"])
 
 
@@ -221,7 +222,7 @@ def _candidate_chunks(buckets: int):
                 who, first, n = np.unique(number[o], return_index=True, return_counts=True)
                 who = who[np.argsort(first)]
                 n = n[np.argsort(first)]
-                keys = np.array([(NULL if docs[i][0] is None else docs[i][0], docs[i][1]) for i in who], "<i8")
+                keys = np.array([(docs[i][0] is None, docs[i][0] or 0, docs[i][1]) for i in who], _KEY)
                 rows.append((int(b), part, 0, struct.pack("<II", len(o), len(who)) + keys.tobytes() + n.astype("<u4").tobytes() + h[o].astype("<u8").tobytes() + at[o].astype("<u4" if at[o].max() >> 16 else "<u2").tobytes()))
             docs.clear()
             for i in range(0, len(rows), 64):
@@ -251,46 +252,50 @@ def _find_repeats(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.
         for _, _, _, data in rows:
             n, k = struct.unpack_from("<II", data)
             i = 8
-            keys.append(np.frombuffer(data, "<i8", 2 * k, i).reshape(k, 2))
-            counts.append(np.frombuffer(data, "<u4", k, i + 16 * k).astype(np.int64))
-            hashes.append(np.frombuffer(data, "<u8", n, i + 20 * k))
-            starts.append(np.frombuffer(data, "<u2" if len(data) == i + 20 * k + 10 * n else "<u4", n, i + 20 * k + 8 * n).astype(np.uint32))
+            keys.append(np.frombuffer(data, _KEY, k, i))
+            i += _KEY.itemsize * k
+            counts.append(np.frombuffer(data, "<u4", k, i).astype(np.int64))
+            hashes.append(np.frombuffer(data, "<u8", n, i + 4 * k))
+            starts.append(np.frombuffer(data, "<u2" if len(data) == i + 4 * k + 10 * n else "<u4", n, i + 4 * k + 8 * n).astype(np.uint32))
         key, n, h, at = np.concatenate(keys), np.concatenate(counts), np.concatenate(hashes), np.concatenate(starts)
         who = np.repeat(np.arange(len(n), dtype=np.int32), n)
-        doc = key[who, 0]
+        none, doc = key["null"][who], np.where(key["null"], np.iinfo(np.int64).max, key["doc"])[who]
         order = np.argsort(h, kind="stable")
         s = h[order]
         new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        least = np.minimum.reduceat(doc[order], new)
+        times = np.diff(np.append(new, len(h)))
+        least, first = np.repeat(np.minimum.reduceat(doc[order], new), times), np.repeat(np.logical_or.reduceat(none[order], new), times)
         repeat = np.zeros(len(h), bool)
-        repeat[order] = doc[order] > np.repeat(least, np.diff(np.append(new, len(h))))
+        repeat[order] = ~none[order] & (first | (doc[order] > least))  # no doc_id comes before all
         own = np.flatnonzero(repeat)
         cut = np.searchsorted(who[own], np.arange(len(n) + 1))
         out: dict[int, list[bytes]] = {}
         for i, a, b in zip(range(len(n)), cut[:-1], cut[1:]):
             if b > a:
                 x = key[i].tobytes() + struct.pack("<I", b - a) + at[own[a:b]].tobytes()
-                out.setdefault((int(key[i, 0]) * 31 + int(key[i, 1])) % parts, []).append(x)
+                out.setdefault((int(key[i]["doc"]) * 31 + int(key[i]["th"])) % parts, []).append(x)
         rows = [(to, 0, 0, b"".join(x)) for to, x in out.items()]
         for i in range(0, len(rows), 64):
             yield _rows(rows[i : i + 64])
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's repeats in one row: doc_id, th, starts."""
+    """Each document's repeats in one row: doc_id, th, starts. Documents without a doc_id have none."""
+    head = _KEY.itemsize
     for _, rows in _grouped(batches, "bucket"):
         found: dict[bytes, list[bytes]] = {}
         for _, _, _, data in rows:
             i = 0
             while i < len(data):
-                n = struct.unpack_from("<I", data, i + 16)[0]
-                found.setdefault(data[i : i + 16], []).append(data[i + 20 : i + 20 + 4 * n])
-                i += 20 + 4 * n
+                n = struct.unpack_from("<I", data, i + head)[0]
+                at = i + head + 4
+                found.setdefault(data[i : i + head], []).append(data[at : at + 4 * n])
+                i = at + 4 * n
         items = list(found.items())
         for i in range(0, len(items), 1024):
             part = items[i : i + 1024]
-            keys = np.frombuffer(b"".join(k for k, _ in part), "<i8").reshape(-1, 2)
-            columns = [pa.array([None if d == NULL else d for d in keys[:, 0].tolist()], pa.int64()), pa.array(keys[:, 1]), pa.array([b"".join(x) for _, x in part], pa.binary())]
+            keys = np.frombuffer(b"".join(k for k, _ in part), _KEY)
+            columns = [pa.array(keys["doc"].copy()), pa.array(keys["th"].copy()), pa.array([b"".join(x) for _, x in part], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "starts"])
 
 
@@ -327,7 +332,8 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     spark = docs.sparkSession
     common.arrow_batches(spark)
     n = common.spread(spark)
-    buckets = 4 * n
+    chars = docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
+    buckets = max(4 * n, chars // BUCKET)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
     probes = rows.select("doc_id", "th", "text").mapInArrow(_probe_chunks(buckets), _PACKED)
     hits = common.written(probes.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_find_hits, _PACKED), "substring-hits")
@@ -339,7 +345,7 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     texts = rows.alias("a").join(marked.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")))
     texts = common.written(texts.select("a.doc_id", "a.th", "a.text", "b.hits"), "substring-texts")
     common.settle(spark)
-    candidates = texts.select("doc_id", "th", "text", "hits").mapInArrow(_candidate_chunks(max(1, n // 2)), _PACKED)
+    candidates = texts.select("doc_id", "th", "text", "hits").mapInArrow(_candidate_chunks(max(1, n // 2, buckets // 8)), _PACKED)
     repeats = candidates.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _find_repeats(b, n), _PACKED)
     repeats = common.written(repeats, "substring-repeats")
     common.settle(spark)
