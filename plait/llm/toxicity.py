@@ -1,16 +1,17 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse text features.
 
 P(grade > j | x) = 1 / (1 + exp(t_j - w.x)), with one weight vector for all ordered thresholds t_0 < t_1. The result
-is the expected grade. Features are the distinct lower-case words of a text and
-their beginnings, those that stand out in the labelled rows.
-Only a binary label is given: toxic rows get grade 2 if they hold at least the median of distinct telling words of
-toxic rows and more than one, else 1.
+is the expected grade. Features are the distinct lower-case words of a text and their beginnings, those that stand out
+in the toxic rows of a sample. They are counted on the cluster; the driver gets the sample's telling features only, as
+a sparse matrix, which bounds it by SAMPLE rows whatever the length of their texts.
+
+Grades come from the labels alone: 0 for rows that are not toxic, 2 for toxic rows that are also labelled as of low
+quality, 1 for other toxic rows. Where labels have a column grade (0 to 2) that is used.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,97 +21,128 @@ from pyspark.sql import functions as F
 
 from plait.llm import common
 
-#: Labelled rows for training, the bound of what reaches the driver: those with the smallest hashes of their ids.
+#: Labelled rows for training, the one bound: half toxic, half not, those with the smallest hashes of their ids. Rows are
+#: weighted so that both halves count as they do among all labels.
 SAMPLE = 8000
 GRADES, RARE, TELLING, STEPS, PENALTY = 3, 6, 6.0, 400, 1e-4
 BEGINNINGS = (4, 5, 6, 7, 8)
 _WORD = re.compile(r"[^\W\d_]+").findall
 
 
-def words(text: str) -> set[str]:
-    """The features of a text: its distinct words, and their beginnings, as languages that inflect or compound vary the rest."""
-    return features(set(_WORD(text.lower())))
+def features(text: str) -> set[str]:
+    """The distinct words of a text, and their beginnings, as languages that inflect or compound vary the rest."""
+    found = set(_WORD(text.lower()))
+    return found.union(*({f"{w[:n]}-" for w in found if len(w) > n} for n in BEGINNINGS))
 
 
-def features(found: set[str]) -> set[str]:
-    return found.union(*({f"{w[:n]}-" for w in found if len(w) > n} for n in BEGINNINGS))
+class Sparse:
+    """A matrix of zeros and ones by the row and column of each one."""
 
+    def __init__(self, held: list[list[int]], width: int):
+        self.shape = (len(held), width)
+        self.row = np.repeat(np.arange(len(held)), [len(r) for r in held])
+        self.column = np.array([c for r in held for c in r], np.int64)
 
-def select(rows: list, toxic: np.ndarray) -> list[str]:
-    """Words found in toxic rows more often than chance allows, by the normal score of their count."""
-    share = toxic.mean()
-    held: Counter[str] = Counter()
-    bad: Counter[str] = Counter()
-    for r, t in zip(rows, toxic):  # beginnings are made a row at a time, which bounds the driver's memory
-        found = features(set(r))
-        held.update(found)
-        if t:
-            bad.update(found)
-    score = {w: (b - held[w] * share) / np.sqrt(held[w] * share * (1 - share)) for w, b in bad.items() if held[w] >= RARE}
-    return sorted(w for w, z in score.items() if z >= TELLING)
-
-
-def grades(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    n = x.sum(axis=1)
-    middle = np.median(n[toxic]) if toxic.any() else 0
-    return np.where(toxic, np.where((n >= middle) & (n > 1), 2, 1), 0)
-
-
-def fit(x: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by gradient steps (Adam) on the penalised likelihood."""
-    k = GRADES - 1
-    counts = np.array([(grade > j).mean() for j in range(k)]).clip(1e-4, 1 - 1e-4)
-    p = np.concatenate([np.zeros(x.shape[1]), [-np.log(counts[0] / (1 - counts[0]))], np.full(k - 1, 0.5)])  # gaps as logarithms keep order
-    m, v, sig = np.zeros_like(p), np.zeros_like(p), lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    d = x.shape[1]
-    for step in range(1, STEPS + 1):
-        t = np.cumsum(np.concatenate([p[d : d + 1], np.exp(p[d + 1 :])]))
-        z = x @ p[:d]
-        above = np.concatenate([np.ones((len(x), 1)), sig(z[:, None] - t), np.zeros((len(x), 1))], axis=1)  # P(grade >= j)
-        like = np.maximum(above[np.arange(len(x)), grade] - above[np.arange(len(x)), grade + 1], 1e-12)
-        slope = above * (1 - above)
-        dz = (slope[np.arange(len(x)), grade] - slope[np.arange(len(x)), grade + 1]) / like
-        dt = np.array([(np.where(grade == j, slope[:, j + 1], 0) - np.where(grade == j + 1, slope[:, j + 1], 0) * 1.0) @ (1 / like) for j in range(k)])
-        g = np.concatenate([x.T @ dz / len(x) - PENALTY * p[:d], [dt.sum() / len(x)], [np.exp(p[d + 1 + j]) * dt[j + 1 :].sum() / len(x) for j in range(k - 1)]])
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        p = p + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return p[:d], np.cumsum(np.concatenate([p[d : d + 1], np.exp(p[d + 1 :])]))
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.column], self.shape[0])
 
+    def transposed_times(self, z: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, z[self.row], self.shape[1])
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, words, toxic of at most SAMPLE labelled rows; the sample's ids are bounded, so they are broadcast."""
-    chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    held = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
 
-    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(set(_WORD(t.lower()))) for t in b.column(1).to_pylist()], pa.list_(pa.string())), b.column(2)], ["doc_id", "words", "toxic"])
+def thresholds(gaps: np.ndarray) -> np.ndarray:
+    """Ordered thresholds from the first of them and the logarithms of the steps between them."""
+    return np.cumsum(np.concatenate([gaps[:1], np.exp(gaps[1:])]))
 
-    return held.mapInArrow(one, "doc_id long, words array<string>, toxic int")
+
+def likelihood(p: np.ndarray, x: Sparse, grade: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
+    """The penalised mean log likelihood of weights and threshold parameters, and its gradient."""
+    d, n, k = x.shape[1], x.shape[0], GRADES - 1
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    t, z, every = thresholds(p[d:]), x.times(p[:d]), np.arange(n)
+    above = np.concatenate([np.ones((n, 1)), sig(z[:, None] - t), np.zeros((n, 1))], axis=1)  # P(grade >= j)
+    like = np.maximum(above[every, grade] - above[every, grade + 1], 1e-12)
+    slope = above * (1 - above)
+    dz = weight * (slope[every, grade] - slope[every, grade + 1]) / like
+    dt = np.array([((grade == j).astype(float) - (grade == j + 1)) * slope[:, j + 1] @ (weight / like) for j in range(k)])
+    steps = [np.exp(p[d + 1 + j]) * dt[j + 1 :].sum() for j in range(k - 1)]
+    total = weight.sum()
+    gradient = np.concatenate([x.transposed_times(dz) / total - PENALTY * p[:d], [dt.sum() / total], np.array(steps) / total])
+    return float((weight * np.log(like)).sum() / total - PENALTY / 2 * (p[:d] ** 2).sum()), gradient
+
+
+def fit(x: Sparse, grade: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by gradient steps (Adam) on the likelihood."""
+    weight = np.ones(len(grade)) if weight is None else weight
+    d, share = x.shape[1], min(max(float(weight[grade > 0].sum() / weight.sum()), 1e-4), 1 - 1e-4)
+    p = np.concatenate([np.zeros(d), [-np.log(share / (1 - share))], np.full(GRADES - 2, 0.5)])
+    m, v = np.zeros_like(p), np.zeros_like(p)
+    for step in range(1, STEPS + 1):
+        g = likelihood(p, x, grade, weight)[1]
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        p = p + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return p[:d], thresholds(p[d:])
+
+
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text, grade, weight of at most SAMPLE labelled rows, one for each doc_id; its ids are bounded, so they are broadcast."""
+    low = F.max(F.col("quality") == 0) if "quality" in labels.columns else F.lit(False)
+    given = F.max("grade") if "grade" in labels.columns else F.lit(None)
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    known = known.agg(F.max(F.col("toxic").cast("int")).alias("toxic"), F.coalesce(low, F.lit(False)).alias("low"), given.cast("int").alias("given"))
+    derived = F.when(F.col("toxic") <= 0, 0).when(F.col("low"), 2).otherwise(1)
+    known = known.select("doc_id", F.greatest(F.least(F.coalesce("given", derived), F.lit(GRADES - 1)), F.lit(0)).alias("grade"))
+    count = {r["toxic"]: r["n"] for r in known.groupBy((F.col("grade") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    each = [known.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE // 2).withColumn("weight", F.lit(count.get(t, 0) / max(1, min(SAMPLE // 2, count.get(t, 0))))) for t, c in ((True, F.col("grade") > 0), (False, F.col("grade") == 0))]
+    chosen = common.written(each[0].unionByName(each[1]), "toxicity-labels")
+    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "grade", "weight").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return common.written(texts.select("doc_id", "text", "grade", "weight"), "toxicity-sample")
+
+
+def telling(rows: DataFrame) -> list[str]:
+    """Features found in toxic rows more often than chance allows, by the normal score of their count."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, grade in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = pa.array(features(text), pa.string())
+                yield pa.RecordBatch.from_arrays([found, pa.array([int(grade > 0)] * len(found), pa.int32())], ["feature", "toxic"])
+
+    n, bad = rows.agg(F.count("*"), F.sum((F.col("grade") > 0).cast("long"))).first()
+    if not bad or bad == n:
+        return []
+    share = bad / n
+    counts = rows.select("text", "grade").mapInArrow(each, "feature string, toxic int").groupBy("feature").agg(F.count("*").alias("held"), F.sum("toxic").alias("bad"))
+    score = (F.col("bad") - F.col("held") * share) / F.sqrt(F.col("held") * (share * (1 - share)))
+    return sorted(r["feature"] for r in counts.where((F.col("held") >= RARE) & (score >= TELLING)).select("feature").collect())
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndarray]:
-    """Weights by word, and thresholds. Without labels of both kinds nothing is toxic."""
-    rows = training_rows(docs, labels).orderBy("doc_id").limit(2 * SAMPLE).toPandas()
-    toxic = rows["toxic"].to_numpy(dtype=int) > 0 if len(rows) else np.zeros(0, bool)
-    if not toxic.any() or toxic.all():
+    """Weights by feature, and thresholds. Without labels of both kinds nothing is toxic."""
+    rows = sample(docs, labels)
+    names = telling(rows)
+    if not names:
         return {}, np.full(GRADES - 1, 20.0)
-    held = list(rows["words"])
-    names = select(held, toxic)
     at = {w: i for i, w in enumerate(names)}
-    x = np.zeros((len(held), len(names)))
-    for i, r in enumerate(held):
-        x[i, [at[w] for w in features(set(r)) if w in at]] = 1
-    w, t = fit(x, grades(x, toxic))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(at[w] for w in features(t) & at.keys()) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), batch.column(2), batch.column(3)], ["doc_id", "held", "grade", "weight"])
+
+    found = sorted(rows.mapInArrow(held, "doc_id long, held array<int>, grade int, weight double").collect(), key=lambda r: r["doc_id"])
+    common.dropped(rows)
+    w, t = fit(Sparse([r["held"] for r in found], len(names)), np.array([r["grade"] for r in found]), np.array([r["weight"] for r in found]))
     return dict(zip(names, w.tolist())), t
 
 
 def score(docs: DataFrame, labels: DataFrame, limit: float = 0.3) -> DataFrame:
     """doc_id, severity (expected grade, 0 to 2), p_toxic, grade (the likeliest), toxic (p_toxic >= limit).
 
-    Trains on a sample of labels(doc_id, toxic) joined with docs(doc_id, text, ...) of at most SAMPLE rows, then scores every
-    whole text. Null and empty texts have no features and get the severity that the thresholds alone give. Every row gets
+    Trains on a sample of labels(doc_id, toxic[, quality][, grade]) joined with docs(doc_id, text, ...) of at most SAMPLE
+    rows, then scores every whole text. Null and empty texts have no features and get the severity that the thresholds
+    alone give. Labels with null ids or labels are left out; repeated ones count once, as toxic if one is. Every row gets
     a row, equal texts alike; other columns are ignored. An empty table gives no rows.
     """
     common.arrow_batches(docs.sparkSession)
@@ -119,7 +151,7 @@ def score(docs: DataFrame, labels: DataFrame, limit: float = 0.3) -> DataFrame:
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = weights.keys()
         for b in batches:
-            z = np.array([sum(weights[w] for w in sorted(known & words(x or ""))) for x in b.column(1).to_pylist()], dtype=float)
+            z = np.array([sum(weights[w] for w in sorted(known & features(x or ""))) for x in b.column(1).to_pylist()], dtype=float)
             above = 1 / (1 + np.exp(np.clip(t[None, :] - z[:, None], -40, 40)))
             p = np.concatenate([1 - above[:, :1], above[:, :-1] - above[:, 1:], above[:, -1:]], axis=1)
             columns = [b.column(0), pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(above[:, 0] >= limit)]
