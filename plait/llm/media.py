@@ -21,6 +21,18 @@ from plait.llm import common
 RATE = 8000
 
 
+class Scanned(bytes):
+    """Bytes that remember where a mark stands next, so that many hits before one mark, or before none, cost one search."""
+
+    def next(self, mark: bytes, at: int) -> int:
+        seen = self.__dict__.setdefault("seen", {})
+        asked, found = seen.get(mark, (at + 1, -1))
+        if not (asked <= at and (found < 0 or at <= found)):
+            found = self.find(mark, at)
+            seen[mark] = (at, found)
+        return found
+
+
 def wav(payload: bytes) -> bytes:
     """8-bit mono PCM: each byte is a sample, so any bytes are stored as they are."""
     pad = b"\0" * (len(payload) & 1)
@@ -78,7 +90,9 @@ def _gif(d: bytes, at: int) -> int | None:
     return None
 
 
-def _jpeg(d: bytes, at: int) -> int | None:
+def _jpeg(d: Scanned, at: int) -> int | None:
+    if d.next(b"\xff\xd9", at) < 0:
+        return None
     i, scans = at + 2, 0
     while i + 4 <= len(d) and d[i] == 0xFF:
         kind = d[i + 1]
@@ -107,15 +121,20 @@ def _bmp(d: bytes, at: int) -> int | None:
     return n if start + (w * bits + 31) // 32 * 4 * abs(h) <= n else None
 
 
-def _pdf(d: bytes, at: int) -> int | None:
+def _pdf(d: Scanned, at: int) -> int | None:
+    """Up to the last end mark before another file begins, as a changed file has several."""
     if not d[at + 5 : at + 6].isdigit() or d[at + 6 : at + 7] != b".":
         return None
-    end = d.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and d.find(b"startxref", at, end) >= 0 else None
+    other, i, length = d.next(b"%PDF-", at + 5), at, None
+    while (end := d.next(b"%%EOF", i)) >= 0 and (other < 0 or end < other):
+        if 0 <= d.next(b"startxref", i) < end:
+            length = end + 5 - at
+        i = end + 5
+    return length
 
 
-def _zip(d: bytes, at: int) -> int | None:
-    end = d.find(b"PK\5\6", at)
+def _zip(d: Scanned, at: int) -> int | None:
+    end = d.next(b"PK\5\6", at)
     if end < 0 or end + 22 > len(d):
         return None
     size, start, note = struct.unpack_from("<IIH", d, end + 12)
@@ -177,6 +196,7 @@ def sniff(data: bytes) -> list[tuple[int, int, str]]:
         for magic in MAGIC:
             _automaton.add_word(magic.decode("latin-1"), magic)
         _automaton.make_automaton()
+    data = Scanned(data)
     found, free = [], 1
     for last, magic in _automaton.iter(data.decode("latin-1")):
         at = last + 1 - len(magic)
@@ -216,13 +236,16 @@ def encode(docs: DataFrame, unit: int = 576) -> DataFrame:
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Sniffs media(doc_id, n_bytes, declared, media) and describes what the bytes are."""
+    """Sniffs media(doc_id, n_bytes, declared, media) and describes what the bytes are; null media have nulls."""
     import hashlib
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, n, declared, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if data is None:
+                    rows.append((doc, n, *[None] * 6))
+                    continue
                 found = sniff(data)
                 kind = next((k for at, _, k in found if at == 0), "bin")
                 payload = samples(data) if kind == "wav" else data
