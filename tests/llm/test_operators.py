@@ -179,11 +179,43 @@ def test_op3_edges(spark, docs):
     assert out.columns[:-2] == docs.columns and out.count() <= docs.count()
     assert out.where("text is null").count() == 2
     assert lines.dedup_lines(data.empty(spark)).count() == 0
-    runs = lines.repeated_runs(docs, min_lines=3).collect()
-    assert runs and all(r["last"] >= r["first"] for r in runs)
-    four = spark.createDataFrame([(1, "a\nb\nc\nd\ne"), (2, "z\na\nb\nc\nd\ny"), (3, "b\nc\nd")], "doc_id long, text string")
-    found = {(r.doc_id, r["first"], r["last"]) for r in lines.repeated_runs(four, min_lines=3, min_words=9).collect()}
-    assert found == {(2, 1, 4), (3, 0, 2)}
+    clash = spark.createDataFrame([(1, "x y z u\nb", "kept", 5), (2, "x y z u\nc", "too", 6)], "doc_id long, text string, __text string, __th int")
+    assert sorted(tuple(r)[:4] for r in lines.dedup_lines(clash).collect()) == [(1, "x y z u\nb", "kept", 5), (2, "c", "too", 6)]
+
+
+def maximal_runs(rows, min_lines):
+    """(doc_id, first, n) of the longest runs that also start at an earlier place, by comparing all places."""
+    at = [(doc, [x for x in (t or "").split("\n") if words(x)]) for doc, t in sorted(rows, key=lambda r: r[0])]
+    places = [(k, i) for k, (_, held) in enumerate(at) for i in range(len(held))]
+    out, longest = set(), {}
+    for n, (k, i) in enumerate(places):
+        best = 0
+        for l, j in places[:n]:
+            a, b = at[k][1][i:], at[l][1][j:]
+            same = 0
+            while same < min(len(a), len(b)) and a[same] == b[same]:
+                same += 1
+            best = max(best, same)
+        longest[k, i] = best
+    for (k, i), n in longest.items():
+        if n >= min_lines and longest.get((k, i - 1), 0) <= n:
+            out.add((at[k][0], i, n))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_op3_runs_against_brute_force(spark, seed):
+    r = np.random.default_rng(seed)
+    line = lambda: f"l{int(r.integers(2 + 3 * seed))}"
+    pool = [line() for _ in range(60)]
+    rows = []
+    for i in range(24):
+        a, n = int(r.integers(50)), int(r.integers(1, 24))
+        rows.append((i, "\n".join([*(line() for _ in range(int(r.integers(4)))), *pool[a : a + n], " ", *(line() for _ in range(int(r.integers(4))))])))
+    rows += [(100, rows[3][1]), (101, rows[3][1]), (102, "\n".join(["same"] * 13)), (103, "\n".join(pool)), (104, "\n".join(["new", *pool[1:50], "end"])), (105, "single")]
+    frame = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, doc string")
+    for least in (1, 2, 5):
+        assert {(x.doc_id, x["first"], x["n"]) for x in lines.repeated_runs(frame, least).collect()} == maximal_runs(rows, least)
 
 
 def shingles(t):
@@ -218,8 +250,9 @@ def brute_classes(rows):
 def test_op4_against_brute_force(spark, docs, monkeypatch):
     want, _ = brute_classes(data.rows())
     assert collections.Counter(tuple(r) for r in jaccard.classes(docs).select("doc_id", "class_id", "n_links").collect()) == want
-    monkeypatch.setattr(jaccard, "BLOCK_NODES", 2)  # many blocks and leaders at once
     assert jaccard.classes(data.empty(spark)).count() == 0
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", 2)  # many blocks at once
+    assert collections.Counter(tuple(r) for r in jaccard.classes(docs).select("doc_id", "class_id", "n_links").collect()) == want
 
 
 def test_op4_blocks_agree():
@@ -253,21 +286,75 @@ def test_op4_prefixes():
     assert jaccard.prefix_depth(0.8) == 4 and jaccard.prefix_depth(0.99) == jaccard.DEPTH and jaccard.prefix_depth(0.01) == 1
 
 
-def test_op4_leaders_connect(monkeypatch):
-    monkeypatch.setattr(jaccard, "NEAR", 8)
-    r = np.random.default_rng(2)
-    a, b = r.integers(0, 16, (2, 64)).astype(np.uint8)
-    sketch = np.array([np.where(r.random(64) < 0.1, r.integers(0, 16, 64), a if i % 2 else b) for i in range(100)]).astype(np.uint8)
-    root = list(range(100))
+def _components(n, edges):
+    root = list(range(n))
 
     def top(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for i, j in jaccard._spanning(sketch, 0.8):
+    for i, j in edges:
         root[top(i)] = top(j)
-    assert len({top(i) for i in range(1, 100, 2)}) == 1 and len({top(i) for i in range(0, 100, 2)}) == 1
+    return [top(i) for i in range(n)]
+
+
+def _subtrie(family, seed):
+    """Sketches and deep labels, sorted, of texts of which each two of a family are 0.7 to 1 alike, and their sets."""
+    r = np.random.default_rng(seed)
+    texts = []
+    for f in range(4):
+        base = [f"f{f}w{i}" for i in range(150)]
+        for _ in range(family):
+            w = list(base)
+            for _ in range(int(r.integers(0, 4))):
+                w[int(r.integers(150))] = f"x{int(r.integers(1000))}"
+            texts.append(" ".join(w))
+    sets = [jaccard.grams(t.encode(), 5) for t in texts]
+    labels = np.array([jaccard.signature(g) for g in sets])
+    low = (labels[:, : jaccard.SKETCH] & 15).astype(np.uint8)
+    deep = labels[:, 4:8]
+    order = np.lexsort(deep.T[::-1])
+    return low[order], deep[order], [sets[i] for i in order]
+
+
+def test_op4_no_pair_is_lost_in_large_subtries():
+    """Beyond NEAR nodes: linked pairs lie in one component, and the longer prefixes decide which edges join it."""
+    sketch, deep, sets = _subtrie(300, 2)
+    assert len(sets) > 2 * jaccard.NEAR
+    edges = jaccard._spanning(sketch, deep, 0.8)
+    assert len(edges) < len(sets)
+    top = np.array(_components(len(sets), edges))
+    pairs = met = 0
+    for i in range(0, len(sets), 7):
+        for j in range(len(sets)):
+            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if i != j and shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared):
+                pairs += 1
+                met += top[i] == top[j]
+    assert pairs > 10_000 and met >= 0.9995 * pairs
+    free, found = jaccard._descend(sketch, deep)
+    assert len(free) < len(sets) / 2 and len(free) + len(found) == len(sets)
+    assert {i for i, _ in found}.isdisjoint({j for _, j in found})  # whoever leads hangs on nobody
+    other, _ = jaccard._descend(sketch, np.zeros_like(deep))
+    assert len(other) != len(free)
+
+
+def test_op4_recall_over_large_subtries(spark, monkeypatch):
+    """The whole join with subtries of over NEAR nodes: every link of sampled documents is found."""
+    r = np.random.default_rng(4)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for i in range(900):
+        w = list(base)
+        for _ in range(int(r.integers(0, 3))):
+            w[int(r.integers(80))] = f"x{int(r.integers(500))}"
+        rows.append((i, " ".join(w)))
+    sets = [shingles(t) for _, t in rows]
+    assert len(set(sets)) > jaccard.NEAR
+    out = {x.doc_id: x.n_links for x in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: sum(j != i and (len(sets[i] & s) >= 0.8 * len(sets[i] | s) - 1e-9) for j, s in enumerate(sets)) for i in range(0, 900, 31)}
+    assert sum(out[i] for i in want) >= 0.9 * sum(want.values()) and {i: out[i] for i in want} == want
 
 
 def test_op4_keep_one(spark, docs):
@@ -288,6 +375,24 @@ def test_op5_law_slots_and_growth(spark, docs):
     assert sharding.shard(data.empty(spark), [1.0], [1.0, 1.0]).count() == 0
 
 
+def test_op5_draws_against_brute_force(spark):
+    """Each key's shard is that of its smallest draw, -ln(u) / weight, u from 53 bits of xxhash64 of key, then shard."""
+    import math
+
+    import xxhash
+
+    def hashed(key, shard):
+        first = xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+        return xxhash.xxh64_intdigest(struct.pack("<i", shard), first)
+
+    weights = [1.0, 2.5, 0.0, 0.5, 1.0]
+    keys = [*range(500), -1, 2**63 - 1, -(2**63)]
+    rows = spark.createDataFrame([(k,) for k in keys], "k long")
+    for r in rows.select("k", sharding.rendezvous(rows.k, weights).alias("s")).collect():
+        draws = {j: -math.log(((hashed(r.k, j) >> 11) + 0.5) / 2**53) / w for j, w in enumerate(weights) if w}
+        assert r.s == min(draws, key=draws.get)
+
+
 def test_op5_weights(spark):
     rows = spark.range(20000).select("id").withColumnRenamed("id", "doc_id")
     n = {r.s: r["count"] for r in rows.select(sharding.rendezvous(rows.doc_id, [1.0, 2.0, 0.0, 1.0]).alias("s")).groupBy("s").count().collect()}
@@ -313,6 +418,22 @@ def test_op6_against_brute_force(spark, docs):
     assert substrings.dedup_substrings(data.empty(spark)).count() == 0
 
 
+def test_op6_smallest_id_is_no_null(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    low = -(1 << 63)
+    for ids in ([None, low, 3], [low, 3, None]):
+        rows = spark.createDataFrame([(i, text) for i in ids], "doc_id long, text string")
+        assert {r.doc_id: r.n_removed for r in substrings.dedup_substrings(rows).collect()} == {None: 0, low: 20, 3: 20}
+    rows = spark.createDataFrame([(low, text), (3, text)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substrings.dedup_substrings(rows).collect()} == {low: 0, 3: 20}
+
+
+def test_op6_many_buckets(spark, docs, monkeypatch):
+    want = collections.Counter(tuple(r) for r in substrings.dedup_substrings(docs).collect())
+    monkeypatch.setattr(substrings, "BUCKET", 1 << 12)
+    assert collections.Counter(tuple(r) for r in substrings.dedup_substrings(docs).collect()) == want
+
+
 def test_op6_steps():
     at = np.array([0, 1, 5, 259, 260, 100_000, 100_254, 100_509], np.int64)
     assert substrings.unsteps(b"xy" + substrings.steps(at), 2)[0].tolist() == at.tolist()
@@ -355,6 +476,21 @@ def test_op7_sniffs_and_carves(spark):
     assert [k for _, _, k in media.sniff(held)] == ["wav", "png"]
     rows = spark.createDataFrame([(1, held), (2, None)], "doc_id long, media binary")
     assert [(r.doc_id, r.type, bytes(r.media)) for r in media.carve(rows).collect()] == [(1, "png", _png())]
+    described = media.features(spark.createDataFrame([(1, 3, "bin", None), (2, 3, None, bytearray(b"abc"))], "doc_id long, n_bytes long, declared string, media binary")).collect()
+    assert [(r.doc_id, r.payload_bytes, r.feature is None) for r in described] == [(1, None, True), (2, 3, False)]
+
+
+def test_op7_many_beginnings_and_changed_files():
+    import time
+
+    began = time.process_time()
+    for magic in (b"%PDF-1.", b"PK\3\4", b"\xff\xd8\xff\xc0\0\2"):
+        assert media.sniff(magic * 300_000) == []
+    assert time.process_time() - began < 20
+    body = b"%PDF-1.7\nstartxref\n1\n%%EOF"
+    twice = body + b"\nstartxref\n9\n%%EOF"
+    assert media.sniff(twice) == [(0, len(twice), "pdf")]
+    assert media.sniff(b"x" + twice + b" " + body) == [(1, len(twice), "pdf"), (2 + len(twice), len(body), "pdf")]
 
 
 def test_op8_coder_round_trips():
@@ -386,11 +522,47 @@ def test_op8_against_library(spark, docs, monkeypatch):
 
 
 def test_op8_block_damage():
-    block = tokenfile.pack_block([5, None], [b"\1\0\0\0\2\0\0\0", b"\0\0\0\0"])
+    block = tokenfile.pack_block([5, None, -(1 << 63)], np.array([2, 1, 1]), np.array([1, 2, 0, 9]))
     docs, n, ids = tokenfile.unpack_block(block)
-    assert docs == [5, None] and n.tolist() == [2, 1] and ids.tolist() == [1, 2, 0]
+    assert docs.to_pylist() == [5, None, -(1 << 63)] and n.tolist() == [2, 1, 1] and ids.tolist() == [1, 2, 0, 9]
     with pytest.raises(ValueError):
-        tokenfile.unpack_block(block[:-6] + b"\7" + block[-5:])
+        tokenfile.unpack_block(block[:-6] + bytes([block[-6] ^ 1]) + block[-5:])
+
+
+def test_op8_ids_out_of_range():
+    for ids in ([1, 65536], [-1, 5]):
+        with pytest.raises(ValueError, match="ids must lie"):
+            rangecoder.encode(np.array(ids))
+
+
+def test_op8_compresses():
+    """Order 1 and 2 must count: well below the entropy of order 0, and of the same ids as lzma sees them."""
+    import lzma
+
+    r = np.random.default_rng(5)
+    successors = r.integers(0, 50000, (3000, 4))
+    ids = [0]
+    for pick in r.integers(0, 4, 120_000).tolist():
+        ids.append(int(successors[ids[-1] % 3000, pick]))
+    ids = np.array(ids + ids[20_000:50_000])
+    share = np.bincount(ids)[np.bincount(ids) > 0] / len(ids)
+    bits = 8 * len(rangecoder.encode(ids)) / len(ids)
+    assert bits < 0.6 * -(share * np.log2(share)).sum() and bits < 8 * len(lzma.compress(ids.astype("<u2").tobytes())) / len(ids)
+
+
+def test_op8_compresses_documents():
+    """The token ids of the documents of sf0.1, a block of 4 million: under lzma and 0.7 of the entropy of order 0."""
+    import lzma
+
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).sort_by("doc_id")
+    ids = tokens.Encoder("byte_bpe_50k.json", True).arrow(table.column("text").combine_chunks())[0][: 1 << 22]
+    share = np.bincount(ids)[np.bincount(ids) > 0] / len(ids)
+    block = rangecoder.encode(ids)
+    bits = 8 * len(block) / len(ids)
+    assert bits < 0.71 * -(share * np.log2(share)).sum() and bits < 8 * len(lzma.compress(ids.astype("<u2").tobytes())) / len(ids)
+    assert np.array_equal(rangecoder.decode(block), ids)
 
 
 def test_op9_held_out(spark):
@@ -419,13 +591,52 @@ def test_op9_edges(spark, docs):
     assert toxicity.score(data.empty(spark), labels).count() == 0
 
 
-def test_op9_gradient_raises_likelihood():
+def brute_likelihood(p, held, grade, weight):
+    """Row by row, from the definition P(grade > j) = 1 / (1 + exp(t_j - w.x))."""
+    import math
+
+    d = len(p) - 2
+    t, total = [p[d], p[d] + math.exp(p[d + 1])], 0.0
+    for r, g, u in zip(held, grade, weight):
+        above = [1.0, *(1 / (1 + math.exp(x - sum(p[c] for c in r))) for x in t), 0.0]
+        total += u * math.log(above[g] - above[g + 1])
+    return total / sum(weight) - toxicity.PENALTY / 2 * sum(x * x for x in p[:d])
+
+
+def test_op9_likelihood_and_optimum_against_brute_force():
     r = np.random.default_rng(0)
-    x = (r.random((400, 6)) < 0.3).astype(float)
-    z = x @ np.array([3, 2, 1, 0, 0, -1.0])
-    grade = (z + r.logistic(size=400) > 2).astype(int) + (z + r.logistic(size=400) > 4)
-    w, t = toxicity.fit(x, np.minimum(grade, 2))
-    assert t[0] < t[1] and w[0] > w[1] > w[3] - 0.5 and w[0] > 1 and w[5] < 0
+    held = [np.flatnonzero(r.random(5) < 0.3).tolist() for _ in range(250)]
+    x = toxicity.Sparse(held, 5)
+    z = x.times(np.array([3, 2, 1, 0, -1.0]))
+    grade = (z + r.logistic(size=250) > 2).astype(int) + (z + r.logistic(size=250) > 4)
+    grade, weight = np.minimum(grade, 2), r.random(250) + 0.5
+    for _ in range(3):
+        p = r.normal(size=7)
+        value, gradient = toxicity.likelihood(p, x, grade, weight)
+        assert abs(value - brute_likelihood(p, held, grade, weight)) < 1e-9
+        for i in range(7):
+            e = np.eye(7)[i] * 1e-5
+            slope = (brute_likelihood(p + e, held, grade, weight) - brute_likelihood(p - e, held, grade, weight)) / 2e-5
+            assert abs(slope - gradient[i]) < 1e-6
+    w, t = toxicity.fit(x, grade, weight)
+    best = np.concatenate([w, [t[0], np.log(t[1] - t[0])]])
+    top = brute_likelihood(best, held, grade, weight)
+    assert t[0] < t[1] and w[0] > w[1] > w[2] > w[4]
+    for i in range(7):  # no step along any axis does better
+        for step in (-0.05, 0.05):
+            assert brute_likelihood(best + np.eye(7)[i] * step, held, grade, weight) < top + 1e-4
+
+
+def test_op9_one_row_an_id_and_both_kinds(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 40)
+    docs = spark.createDataFrame([(i % 100, f"text {i} " + "bad " * (i % 100 < 30)) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 30), int(i % 3 > 0)) for i in range(100)] * 2, "doc_id long, toxic int, quality int")
+    rows = toxicity.sample(docs, labels).collect()
+    assert len(rows) == 40 == len({r.doc_id for r in rows})
+    assert sum(r.grade > 0 for r in rows) == 20 and abs(sum(r.weight for r in rows) - 100) < 1e-9
+    assert all(r.grade == (0 if r.doc_id >= 30 else 1 + (r.doc_id % 3 == 0)) for r in rows)
+    monkeypatch.undo()
+    assert {x.doc_id for x in toxicity.score(docs, labels).collect() if x.toxic} == set(range(30))
 
 
 def test_op10_counts(spark, docs):
@@ -444,9 +655,41 @@ def test_op10_counts(spark, docs):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in out)
 
 
-def test_op10_fences_catch_junk(spark):
+def test_op10_each_fence_follows_its_group(spark):
+    """Planted outliers of each measure go, documents of another group with the same values stay, and short clean ones stay."""
     r = np.random.default_rng(2)
-    plain = lambda n: " ".join(f"word{int(r.integers(300))}" for _ in range(n))
-    rows = [(i, plain(60), "en", "s") for i in range(200)] + [(500 + i, plain(60).replace(" ", "&&& "), "en", "s") for i in range(10)]
-    out = {x.doc_id: x.kept for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert all(out[i] for i in range(200)) and not any(out[500 + i] for i in range(10))
+
+    def text(n, letters=5, junk="", every=0):
+        w = ["".join(r.choice(list("abcdefghij"), int(np.clip(r.normal(letters, letters / 3), 1, 40)))) for _ in range(n)]
+        return " ".join(x + junk * (every > 0 and i % every == 0) for i, x in enumerate(w))
+
+    plain = [(i, text(int(r.integers(100, 400))), "en", "plain") for i in range(200)]
+    tables = [(1000 + i, text(200, junk="|", every=3), "fr", "tables") for i in range(200)]
+    long = [(2000 + i, text(200, letters=12), "de", "long") for i in range(200)]
+    short = [(3000 + i, text(int(r.integers(10, 20))), "en", "plain") for i in range(50)]
+    bad = [(5000, text(200, junk="|", every=3), "en", "plain"), (5001, text(200, letters=12), "en", "plain"), (5002, text(200, letters=1), "en", "plain"), (5004, text(200, letters=4), "de", "long")]
+    few = [(6000 + i, text(150), "en", "rare") for i in range(3)] + [(6010, text(200, junk="#", every=2), "en", "rare")]
+    rows = plain + tables + long + short + bad + few
+    out = {x.doc_id: x for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    for group in (plain, tables, long, short, few[:3]):
+        kept = [out[x[0]].kept for x in group if not out[x[0]].base_failed]
+        assert sum(kept) >= 0.96 * len(kept)
+    assert not any(out[x[0]].kept for x in [*bad, few[3]])
+
+
+def test_op10_repeated_lines_go(spark):
+    r = np.random.default_rng(3)
+    word = lambda: "".join(r.choice(list("abcdefghij"), int(r.integers(3, 8))))
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, "\n".join(line(8) for _ in range(30)), "en", "s") for i in range(60)]
+    menu = [word() for _ in range(4)]  # single words between other lines: no window of five words repeats
+    rows.append((99, "\n".join(x for i in range(30) for x in (line(4), menu[i % 4])), "en", "s"))
+    out = {x.doc_id: x for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(out[i].kept for i in range(60)) and not out[99].base_failed and out[99].n_dup_lines == 26 and not out[99].kept
+
+
+def test_op10_fences_differ_between_groups(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    limits = quality.fences(quality.measured(docs, [])).collect()
+    assert len({(r.length_q1, r.length_q3, r.length_reach) for r in limits}) > len(limits) / 2
+    assert all(r.length_q3 + r.length_reach < 2 * r.length_q3 and r.length_q1 - r.length_reach > 0 for r in limits)
