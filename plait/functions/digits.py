@@ -195,6 +195,28 @@ def hankel_order(n: Column) -> Column:
     return F.sort_array(cells)
 
 
+def square(cells: Column) -> Column:
+    """Cells laid along the anti-diagonals of the smallest square that holds them, read row by row."""
+
+    def of(c: Column) -> Column:
+        n = side(F.size(cells))
+        order = F.sort_array(F.transform(hankel_order(n), lambda s, i: F.struct(s["r"].alias("r"), s["c"].alias("c"), i.alias("i"))))
+        return F.transform(order, lambda s: F.get(c, s["i"]))
+
+    return let(padded(cells), of)
+
+
+def diagonal_regions(cells: Column) -> Column:
+    """struct(inner, fold, outer): the cells of square() above, on and below its main anti-diagonal, in their order."""
+
+    def of(c: Column) -> Column:
+        n = side(F.size(c))
+        above = (n * (n - 1) / 2).cast("int")
+        return F.struct(F.slice(c, F.lit(1), above).alias("inner"), F.slice(c, above + 1, n).alias("fold"), F.slice(c, above + n + 1, above).alias("outer"))
+
+    return let(padded(cells), of)
+
+
 def rows_of(cells: Column) -> Column:
     """The cells of the padded square, row by row: structs i, r, c, v, w (weight 2^-w), region."""
 

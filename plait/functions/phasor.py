@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from plait.functions import digits as D
 
 
-def phasor(k: Column) -> Column:
-    """struct(inner_sum, fold_sum, outer_sum, greens, spread, amp, dir, rate_a, rate_b) of an integer."""
+def phasor(k: Column, push: bool = False) -> Column:
+    """struct(inner_sum, fold_sum, outer_sum, greens, spread, amp, dir, rate_a, rate_b) of an integer, its digits pushed if asked."""
 
     def of(rows: Column) -> Column:
         total = lambda keep, what: F.aggregate(F.filter(rows, keep), F.lit(0.0), lambda a, s: a + what(s))
@@ -26,7 +26,7 @@ def phasor(k: Column) -> Column:
             F.when(k == 0, 1).otherwise(F.length(D.bits(k))).cast("int").alias("rate_a"), f["rate_b"].alias("rate_b"),
         ))
 
-    return D.let(D.rows_of(D.hex_cells(k)), of)
+    return D.let(D.rows_of(D.push(D.hex_cells(k)) if push else D.hex_cells(k)), of)
 
 
 def wavelength(value: Column) -> Column:
@@ -42,6 +42,18 @@ def point(p: Column, phase: Column, t: Column) -> Column:
     return F.struct((r * F.cos(a)).alias("x"), (r * F.sin(a)).alias("y"), (m * F.sin(b) + d * F.abs(F.sin(b))).alias("z"))
 
 
+def sites(n: Column) -> Column:
+    """n points spread over the unit sphere: structs x, y, z, each a golden angle on from the one before, equal steps down."""
+    angle = F.lit(3.0 - 5.0**0.5) * F.pi()
+
+    def site(i: Column) -> Column:
+        z = F.when(n == 1, F.lit(0.0)).otherwise(1 - (2 * i + 1) / n)
+        r = F.sqrt(1 - z * z)
+        return F.struct((r * F.cos(angle * i)).alias("x"), (r * F.sin(angle * i)).alias("y"), z.alias("z"))
+
+    return F.transform(F.sequence(F.lit(0), n - 1), site)
+
+
 def of_cells(cells: Column, sign: Column) -> Column:
     """phasor() of any digits: the fold's sign turns it, else the sign given; its rate is the number of its cells."""
 

@@ -189,6 +189,31 @@ def ipa_digits(sounds: Column) -> Column:
     return F.transform(F.filter(F.split(sounds, ""), lambda c: F.element_at(table, c).isNotNull()), lambda c: F.element_at(table, c))
 
 
+def ipa_segments(sounds: Column) -> Column:
+    """Structs sym, marks of a transcription: marks belong to the symbol before them, anything else is skipped."""
+    known, marks = [r["sym"] for r in ipa.table()], [m for m, _ in ipa.DIACRITICS]
+    none = F.array().cast("array<struct<sym:string,marks:array<string>>>")
+
+    def step(made: Column, c: Column) -> Column:
+        last = F.element_at(made, -1)
+        marked = F.concat(F.slice(made, F.lit(1), F.size(made) - 1), F.array(F.struct(last["sym"].alias("sym"), F.concat(last["marks"], F.array(c)).alias("marks"))))
+        fresh = F.concat(made, F.array(F.struct(c.alias("sym"), F.array().cast("array<string>").alias("marks"))))
+        return F.when(c.isin(known), fresh).when(c.isin(marks) & (F.size(made) > 0), marked).otherwise(made)
+
+    return F.aggregate(F.when(sounds == "", F.array().cast("array<string>")).otherwise(F.split(sounds, "")), none, step)
+
+
+def ranks(text: Column) -> Column:
+    """The rank of each character of a spelling, 0 for those outside the alphabet."""
+    table = _map({r["char"]: r["rank"] for r in alphabet.table()})
+    return F.transform(F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "")), lambda c: F.coalesce(F.element_at(table, c), F.lit(0)))
+
+
+def fraction(digits: Column, base: int) -> Column:
+    """Digits behind the point of a base, as a double: a prefix is smaller, whatever follows."""
+    return F.aggregate(F.reverse(digits), F.lit(0.0), lambda a, d: (a + d) / base)
+
+
 def number(digits: Column, base: int) -> Column:
     """Digits as coefficients of powers of the base: exact, or null where the result has over 38 decimal digits."""
     most = int(38 / len(str(base - 1))) if base < 10 else max(n for n in range(1, 60) if base**n < 10**38)

@@ -12,6 +12,8 @@ from plait.operators import ordering
 #: Vowels and nasals with tone marks, by tone from 1 to 4, and what they are without.
 TONES = ("āēīōūǖ", "áéíóúǘḿń", "ǎěǐǒǔǚň", "àèìòùǜǹ")
 BARE = ("aeiouu", "aeiouumn", "aeiouun", "aeiouun")
+#: Bits of a letter in an index entry, and the base in which positions in the index are digits.
+ENTRY_WIDTH, INDEX_BASE = 12, (1 << 19) - 1
 #: Columns of readings in the order in which they are preferred, with their languages.
 LAYERS = {"mandarin": "cmn", "cantonese": "yue", "on": "ja-on", "kun": "ja-kun", "korean": "ko"}
 
@@ -87,6 +89,18 @@ def multi_listed(entries: DataFrame, key: str = "cp") -> DataFrame:
     return each.groupBy("entries").agg(F.count("*").alias("characters"))
 
 
+def entry_bits(letters: Column, lang: Column, tone: Column, strokes: Column, spell: Column) -> Column:
+    """An index entry as bits: its letters in ENTRY_WIDTH each, or more if they need them, an end of zeros, then the ties."""
+    wide = lambda x, n: F.lpad(F.bin(x.cast("bigint")), n, "0")
+    each = F.transform(letters, lambda x: F.when(x >= 1 << ENTRY_WIDTH, F.bin(x.cast("bigint"))).otherwise(wide(x, ENTRY_WIDTH)))
+    return F.concat(F.array_join(each, ""), F.lit("0" * ENTRY_WIDTH), wide(lang, 7), wide(tone, 8), wide(strokes, 8), wide(spell, 22))
+
+
+def first_positions(ordered: DataFrame, position: str = "position") -> DataFrame:
+    """char, digit: one above the first place of each character in an ordered index, as 0 is none; a digit in base 2^19 - 1."""
+    return ordered.groupBy("char").agg((F.min(position) + 1).alias("digit"))
+
+
 def flat_codes(ordered: DataFrame, position: str = "position") -> DataFrame:
     """Rows with their positions, and code: all of one width in bits, as they start at the power of two that holds all rows."""
     ring = max(1, (ordered.count() - 1).bit_length())

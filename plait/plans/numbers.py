@@ -404,7 +404,7 @@ def q_curve(spark, sf_dir):
     rows = orders(spark, sf_dir).select("o_orderkey", phasor.phasor(F.col("k")).alias("p"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("step"))
     point = phasor.point(F.col("p"), F.lit(0.0), F.col("step") * F.pi() / 4)
-    return rows.select("o_orderkey", "step", *(F.round(point[c], 9).alias(c) for c in ("x", "y", "z")))
+    return rows.select("o_orderkey", "step", *((F.round(point[c], 9) + 0.0).alias(c) for c in ("x", "y", "z")))
 
 
 @query("q_phase_layout", "WITH n AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS j, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) SELECT l_orderkey, CAST(j AS INTEGER) AS item, round(360.0 * j / n, 6) AS phase FROM n")

@@ -131,10 +131,17 @@ def q_primary_es(spark, sf_dir):
 
 
 _CODES = values([(r["char"], r["code"]) for r in alphabet.table()], "char, code")
-_SORTED = f"""{_primary_sql(_EN)}, l AS (SELECT word, reading, 0 AS part, i, substr(reading, i, 1) AS c FROM pr, LATERAL (SELECT unnest(range(1, length(reading) + 1)) AS i) UNION ALL SELECT word, reading, 2, i, substr(word, i, 1) FROM pr, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+
+
+def sorted_sql(accept: set[str]) -> str:
+    """CTEs up to k(word, reading, key): words with their sort keys, read by the tags accepted."""
+    return f"""{_primary_sql(accept)}, l AS (SELECT word, reading, 0 AS part, i, substr(reading, i, 1) AS c FROM pr, LATERAL (SELECT unnest(range(1, length(reading) + 1)) AS i) UNION ALL SELECT word, reading, 2, i, substr(word, i, 1) FROM pr, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
  k AS (SELECT word, reading, list(code ORDER BY part, i) AS key FROM (SELECT word, reading, part, i, CAST(code AS INTEGER) AS code FROM l JOIN {_CODES} ON c = char UNION ALL SELECT word, reading, 1, 0, 0 FROM pr) GROUP BY word, reading)"""
 
 
+_SORTED = sorted_sql(_EN)
+
+
 def _keyed(spark, sf_dir, want: str) -> DataFrame:
     rows = _read(spark, sf_dir, want)
     return rows.withColumn("key", W.key(F.col("word"), F.col("reading")))

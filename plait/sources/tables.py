@@ -55,6 +55,25 @@ def read_unihan(spark: SparkSession, *paths: str) -> DataFrame:
     return wide.withColumnsRenamed(UNIHAN_FIELDS)
 
 
+def read_unihan_json(spark: SparkSession, path: str) -> DataFrame:
+    """cp and a column for each of six fields, from a file that is one object: field, then code point in decimals, to value."""
+    fields = list(UNIHAN_FIELDS.values())
+    schema = "struct<" + ", ".join(f"`{f}`: map<string, string>" for f in fields) + ">"
+    whole = spark.read.option("wholetext", True).text(path).select(F.from_json("value", schema).alias("o"))
+
+    def rows_of(field: str):
+        held = F.coalesce(F.col(f"o.{field}"), F.create_map().cast("map<string, string>"))
+        return F.transform(F.map_entries(held), lambda e: F.struct(e["key"].cast("int").alias("cp"), F.lit(field).alias("field"), e["value"].alias("value")))
+
+    parts = F.flatten(F.array(*map(rows_of, fields)))
+    return whole.select(F.explode(parts).alias("e")).select("e.*").groupBy("cp").pivot("field", fields).agg(F.first("value"))
+
+
+def diacritics(spark: SparkSession) -> DataFrame:
+    """mark, name of the marks that belong to the symbol before them."""
+    return spark.createDataFrame(ipa.DIACRITICS, "mark string, name string")
+
+
 def code_points(spark: SparkSession) -> DataFrame:
     """cp, char of every assigned code point but surrogates, as this JVM's Unicode has them."""
     cp = F.col("id").cast("int")
