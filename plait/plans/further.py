@@ -9,8 +9,8 @@ from plait.functions import alphabet, ipa, phasor
 from plait.functions import digits as D
 from plait.functions import words as W
 from plait.operators import api, characters
-from plait.plans import texts
-from plait.plans.numbers import _BASE, _K, _REGION, orders, table
+from plait.plans import more, numbers, texts
+from plait.plans.numbers import _BASE, _K, _REGION, frac, orders, table, two
 from plait.plans.texts import _CODES_MAP, _EN, _ENTRIES, _RANK, _SORTED, values
 from plait.sources import tables
 
@@ -143,6 +143,22 @@ ORACLE["q_curve"] = f"{_TURN} SELECT o_orderkey, CAST(step AS INTEGER) AS step,
 _CARDS = [(0, 0, "hello", "helo", "105 63 147 169", str(((105 * 307 + 63) * 307 + 147) * 307 + 169)), (1, 0, "a", "a", "11", "11")]
 
 
+_FIND = lambda q: {**texts.ORACLE, **numbers.ORACLE, **more.ORACLE}[q]
+ORACLE["q_facts"] = f"SELECT o_orderkey, CAST(r.n AS INTEGER) AS n, h.cells, c.commas, p.pushed AS push, s.spread, h.value, r.inner_sum, r.fold_sum, r.outer_sum, f.greens, round(f.nm, 3) AS nm FROM ({_FIND('q_regions')}) r JOIN ({_FIND('q_hex_cells')}) h USING (o_orderkey) JOIN ({_FIND('q_commas')}) c USING (o_orderkey) JOIN ({_FIND('q_push')}) p USING (o_orderkey) JOIN ({_FIND('q_spread')}) s USING (o_orderkey) JOIN ({_FIND('q_phasor')}) f USING (o_orderkey)"
+
+_FRACTIONS = """p AS (SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS a, CAST(l_suppkey AS BIGINT) AS b FROM lineitem WHERE l_suppkey > 0), e AS (SELECT *, (SELECT min(i) FROM (SELECT unnest(range(40)) AS i) WHERE a < b * (CAST(1 AS BIGINT) << i)) AS e FROM p), m AS (SELECT *, (a::HUGEINT << 16) AS u, b::HUGEINT << CAST(e AS INTEGER) AS y FROM e),
+c AS (SELECT a, b, e, u % y = 0 AS exact, i, (CAST(u // y AS BIGINT) >> (15 - i)) & 1 AS v FROM m, (SELECT unnest(range(16)) AS i))"""
+ORACLE["q_frac_phasor"] = f"""WITH {_FRACTIONS}, t AS (SELECT a, b, e, exact, {', '.join(f"sum(CASE WHEN i // 4 + i % 4 {o} 3 THEN v * pow(2.0, -(i + 1)) ELSE 0 END) AS {r}" for r, o in (('inner_sum', '<'), ('fold_sum', '='), ('outer_sum', '>')))}, list(v ORDER BY i) AS vs FROM c GROUP BY a, b, e, exact)
+SELECT a, b, CAST(e AS INTEGER) AS e, exact, round(inner_sum, 9) AS inner_sum, round(fold_sum, 9) AS fold_sum, round(outer_sum, 9) AS outer_sum, CAST(1 AS INTEGER) AS dir, CAST(1 + len(list_filter(range(2, 17), lambda j: vs[j] <> vs[j - 1])) AS INTEGER) AS rate_b FROM t"""
+
+_CELLS = "CASE WHEN l_suppkey = 0 THEN 1 ELSE 4 * ((length(bin(l_suppkey)) + 3) // 4) END"
+_TWO = lambda n: f"(CAST(1 AS HUGEINT) << CAST(greatest({n}, 0) AS INTEGER))"
+_GUESS = "length(bin(CAST(s.num AS BIGINT))) + x.n - length(bin(x.k)) - s.places"
+_RING = f"list_transform([{_GUESS}], lambda g: CASE WHEN s.num = 0 THEN 0 WHEN s.num * {_TWO('x.n - s.places - g')} < x.k * {_TWO('s.places + g - x.n')} THEN g ELSE g + 1 END)"
+_STEP = f"list_transform({_RING}, lambda r: {{'num': (s.num * {_TWO('x.n - s.places + 24 - r')}) // (x.k * {_TWO('s.places - x.n - 24 + r')}), 'places': CAST(24 AS BIGINT), 'e': s.e + r, 'k': x.k, 'n': x.n}})[1]"
+ORACLE["q_div_chain"] = f"WITH l AS (SELECT l_orderkey, list({{'num': CAST(l_suppkey AS HUGEINT), 'places': CAST({_CELLS} AS BIGINT), 'e': CAST(0 AS BIGINT), 'k': CAST(l_suppkey AS BIGINT), 'n': CAST({_CELLS} AS BIGINT)}} ORDER BY l_linenumber, l_suppkey) AS xs FROM lineitem GROUP BY l_orderkey), t AS (SELECT l_orderkey, list_reduce(xs, lambda s, x: CASE WHEN x.k = 0 THEN s ELSE {_STEP} END) AS c FROM l) SELECT l_orderkey, CAST(c.e AS INTEGER) AS e, {frac('c.num', two('c.places'))} AS mantissa FROM t"
+
+
 @query("q_request_cards", f"SELECT CAST(card AS INTEGER) AS card, CAST(item AS INTEGER) AS item, text, reading, ranks, value FROM {values(_CARDS, 'card, item, text, reading, ranks, value')}")
 def q_request_cards(spark, sf_dir):
     """Items of a request with what they read as in English and what they count, signs apart."""

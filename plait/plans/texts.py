@@ -103,14 +103,36 @@ def q_segment(spark, sf_dir):
 _RULES = values([(r["grapheme"], r["ord"], r["ipa"], r["rom"], " ".join(r["langs"]), r["first"], r["last"], r["nexts"], r["no_nexts"], r["befores"], "|".join(r["words"]) if r["words"] else None) for r in phonetics.rules()], "g, ord, ipa, rom, langs, first, last, nexts, no_nexts, befores, words")
 
 
-def _primary_sql(accept: set[str]) -> str:
-    """Relational form: graphemes joined with rules, conditions by lag and lead, the best branch by row number."""
-    known = " OR ".join(f"list_contains(string_split(langs, ' '), '{t}')" for t in sorted(accept))
+def branch_sql(known: str) -> str:
+    """CTEs up to b(word, i, ord, rom, ipa, good, known): graphemes joined with rules, conditions by lag and lead."""
     return f"""{_TOKENS}, s AS (SELECT word, regexp_extract_all(word, {_SEGMENT}) AS segs FROM w), e AS (SELECT word, len(segs) AS n, i, segs[i] AS g, segs[i - 1] AS p, segs[i + 1] AS x FROM s, LATERAL (SELECT unnest(range(1, len(segs) + 1)) AS i)),
-    b AS (SELECT e.word, e.i, r.ord, r.rom, r.ipa, (first IS NULL OR first = (i = 1)) AND (NOT last OR i = n) AND (nexts IS NULL OR (i < n AND contains(nexts, x[1]))) AND (no_nexts IS NULL OR NOT (i < n AND contains(no_nexts, x[1]))) AND (befores IS NULL OR (i > 1 AND contains(befores, p[-1]))) AND (words IS NULL OR list_contains(string_split(words, '|'), word)) AS good, {known} AS known FROM e JOIN {_RULES} r ON e.g = r.g),
+    b AS (SELECT e.word, e.i, r.ord, r.rom, r.ipa, (first IS NULL OR first = (i = 1)) AND (NOT last OR i = n) AND (nexts IS NULL OR (i < n AND contains(nexts, x[1]))) AND (no_nexts IS NULL OR NOT (i < n AND contains(no_nexts, x[1]))) AND (befores IS NULL OR (i > 1 AND contains(befores, p[-1]))) AND (words IS NULL OR list_contains(string_split(words, '|'), word)) AS good, {known} AS known FROM e JOIN {_RULES} r ON e.g = r.g)"""
+
+
+def _known(accept: set[str]) -> str:
+    return " OR ".join(f"list_contains(string_split(langs, ' '), '{t}')" for t in sorted(accept))
+
+
+def _primary_sql(accept: set[str]) -> str:
+    """Relational form of one reading: the best branch of each grapheme by row number."""
+    return f"""{branch_sql(_known(accept))},
     c AS (SELECT *, row_number() OVER (PARTITION BY word, i ORDER BY good DESC, known DESC, ord) AS rn FROM b), pr AS (SELECT word, string_agg(rom, '' ORDER BY i) AS reading, string_agg(ipa, '' ORDER BY i) AS ipa FROM c WHERE rn = 1 GROUP BY word)"""
 
 
+def options_sql(known: str, in_context: bool = True) -> str:
+    """CTEs up to ol(word, n, every, single): how many readings a word has, its options by grapheme, and the first of each.
+
+    The options of a grapheme are the spellings of the branches that are as good as its best one.
+    """
+    best = "max(CASE WHEN good THEN 2 ELSE 0 END + CASE WHEN known THEN 1 ELSE 0 END)" if in_context else "max(CASE WHEN known THEN 1 ELSE 0 END)"
+    own = "CASE WHEN good THEN 2 ELSE 0 END + CASE WHEN known THEN 1 ELSE 0 END" if in_context else "CASE WHEN known THEN 1 ELSE 0 END"
+    return f"""{branch_sql(known)}, bo AS (SELECT *, {own} = {best.replace('max(', 'max(', 1)} OVER (PARTITION BY word, i) AS fit FROM b),
+    op AS (SELECT word, i, list(DISTINCT rom) AS opts, arg_min(rom, ord) AS head FROM bo WHERE fit GROUP BY word, i), ol AS (SELECT word, product(len(opts)) AS n, list(opts ORDER BY i) AS every, string_agg(head, '' ORDER BY i) AS single FROM op GROUP BY word)"""
+
+
+PRODUCT = "list_reduce(every, lambda acc, x: flatten(list_transform(acc, lambda a: list_transform(x, lambda c: a || c))))"
+
+
 _EN = phonetics.accepted("en", set())
 
 
@@ -130,6 +152,7 @@ def q_primary_es(spark, sf_dir):
     return _read(spark, sf_dir, "es")
 
 
+_CODES_MAP = "{" + ", ".join(f"'{r['char']}': {r['code']}" for r in alphabet.table()) + "}"
 _CODES = values([(r["char"], r["code"]) for r in alphabet.table()], "char, code")
 
 
@@ -161,7 +184,10 @@ def q_homophones(spark, sf_dir):
     return _read(spark, sf_dir, "en").groupBy("reading").agg(F.count("*").alias("words"), F.min("word").alias("first")).where("words > 1")
 
 
-@query("q_readings")
+@query(
+    "q_readings",
+    f"SELECT word, CAST(CASE WHEN a.n > 4096 THEN 1 ELSE a.n END AS INTEGER) AS readings, CAST(CASE WHEN o.n > 4096 THEN 1 ELSE o.n END AS INTEGER) AS out_of_context, CASE WHEN e.n > 4096 THEN e.single ELSE list_min({PRODUCT.replace('every', 'e.every')}) END AS lowest_en FROM (WITH {options_sql('true')} SELECT * FROM ol) a JOIN (WITH {options_sql('true', False)} SELECT * FROM ol) o USING (word) JOIN (WITH {options_sql(_known(_EN))} SELECT * FROM ol) e USING (word)",
+)
 def q_readings(spark, sf_dir):
     """How many readings each word has in context and out of it, without a declared language, and its lowest in English."""
     w = F.col("word")
@@ -177,7 +203,13 @@ def q_spellings(spark, sf_dir):
     return tokens(spark, sf_dir).select("word", F.size(W.spellings(F.col("word"))).alias("spellings"))
 
 
-@query("q_push_topk")
+_PART_WORDS = "w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(p_name), '[a-z]+')) AS word FROM part)"
+
+
+@query(
+    "q_push_topk",
+    f"WITH {options_sql('true').replace(_TOKENS, _PART_WORDS)}, rd AS (SELECT word, unnest(CASE WHEN n > 4096 THEN [single] ELSE list_distinct({PRODUCT}) END) AS reading FROM ol), rk AS (SELECT word, reading, count(*) OVER (PARTITION BY word) AS of_, row_number() OVER (PARTITION BY word ORDER BY CASE WHEN reading = '' THEN [] ELSE list_transform(string_split(reading, ''), lambda c: list_extract(map_extract(MAP {_CODES_MAP}, c), 1)) END) AS n FROM rd) SELECT word, CAST(n AS INTEGER) AS n, reading, of_ AS of, of_ > 64 AS truncated FROM rk WHERE n <= 64",
+)
 def q_push_topk(spark, sf_dir):
     """Up to 64 pushed readings of each part-name word, the lowest by key, with how many there are."""
     words = table(spark, sf_dir, "part").select(F.explode(F.regexp_extract_all(F.lower("p_name"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
@@ -208,7 +240,6 @@ def q_detect(spark, sf_dir):
     return held.select("word", W.lexicon_tag(F.col("word"), "es en de", {t: F.col(t) for t in ("es", "en", "de")}).alias("tag"))
 
 
-_CODES_MAP = "{" + ", ".join(f"'{r['char']}': {r['code']}" for r in alphabet.table()) + "}"
 _IPA = values([(r["sym"], r["rom"], r["kind"], r["name"], r["rank"]) for r in ipa.table()], "sym, rom, kind, name, rank")
 
 
