@@ -65,7 +65,7 @@ def certified(read: DataFrame) -> DataFrame:
     unread = F.col("reading") == W.BREAK
     tail = F.array(F.lit(alphabet.TERM), "source", "tone", "strokes", F.ascii("char"))
     rows = read.withColumn("key", F.concat(F.when(unread, F.array(F.lit(alphabet.UNREAD))).otherwise(W.letters(F.col("reading"))), tail))
-    return ordering.positions(rows, [F.col("key")], F.slice("key", 1, 1))
+    return ordering.positions(rows, [F.col("key")])
 
 
 def key_bits(key: Column, width: int = 24) -> Column:

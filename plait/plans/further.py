@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plait.functions import alphabet, ipa, phasor
 from plait.functions import digits as D
 from plait.functions import words as W
-from plait.operators import api, characters
+from plait.operators import api, characters, shared
 from plait.plans import more, numbers, texts
 from plait.plans.numbers import _BASE, _K, _REGION, frac, orders, table, two
 from plait.plans.texts import _CODES_MAP, _EN, _ENTRIES, _RANK, _SORTED, values
@@ -83,7 +83,7 @@ def q_fractions(spark, sf_dir):
     """Words as fractions in base 307, which order as their ranks do: a prefix comes first."""
     words = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).distinct().where("word <> ''")
     rows = words.withColumn("r", W.ranks(F.col("word"))).withColumn("x", W.fraction(F.col("r"), 307))
-    return texts.ordering.positions(rows, [F.col("x"), F.col("r")], F.slice("r", 1, 1)).select("word", F.round("x", 9).alias("fraction"), "position")
+    return texts.ordering.positions(rows, [F.col("x"), F.col("r")]).select("word", F.round("x", 9).alias("fraction"), "position")
 
 
 _INDEX = f"""{_ENTRIES}, li AS (SELECT char, rank, replace(langs, ' ', '|') AS langs, ipa, CASE WHEN langs = 'und' THEN 5 ELSE 99 END AS lang, CASE WHEN reading = '' THEN [{alphabet.OUTSIDE}] ELSE list_transform(string_split(reading, ''), lambda c: list_extract(map_extract(MAP {_CODES_MAP}, c), 1)) END AS letters FROM en),
@@ -97,7 +97,7 @@ def _ordered_index(spark):
     for i, t in enumerate([*texts.phonetics.HAN_TAGS, texts.phonetics.ANY]):
         lang = F.when(F.array_join("langs", "|") == t, i).otherwise(lang)
     rows = rows.withColumn("lang", lang).withColumn("key", F.concat("letters", F.array(F.lit(alphabet.TERM), F.col("lang"), "tone", "strokes", "spell")))
-    return texts.ordering.positions(rows, [F.col("key"), F.col("ipa")], F.slice("key", 1, 1))
+    return texts.ordering.positions(rows, [F.col("key"), F.col("ipa")])
 
 
 @query("q_index_digits", f"WITH {_INDEX} SELECT char, min(position) + 1 AS digit FROM ix GROUP BY char")
@@ -185,9 +185,8 @@ _HAN = ["U+4E2D\tkMandarin\tzhōng", "U+4E2D\tkTotalStrokes\t4", "U+4E2D\tkCanto
 
 
 def _written(spark, name: str, lines: list[str]) -> str:
-    """A small text file in the shared folder, or where none is named in the warehouse's."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder.rstrip('/')}/plait-{name}"
+    """A small text file in the shared folder."""
+    path = shared.place(spark, name)
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(path)
     return path
 

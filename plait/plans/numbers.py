@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plait.functions import arithmetic as A
 from plait.functions import digits as D
+from plait.functions import expressions
 from plait.operators import alignment
 
 QUERIES: dict = {}
@@ -293,13 +294,18 @@ def q_product_digits(spark, sf_dir):
 
 @query(
     "q_mul_chain",
-    f"WITH l AS (SELECT l_orderkey, l_linenumber, CAST(l_suppkey AS BIGINT) AS k, 4 * ((length(bin(l_suppkey)) + 3) // 4) AS m FROM lineitem), t AS (SELECT l_orderkey, count(*) AS operands, CAST(round(exp(0)) AS BIGINT) AS one, list_reduce(list(CAST(k AS HUGEINT) ORDER BY l_linenumber, k), lambda x, y: x * y) AS num, sum(m) AS places FROM l GROUP BY l_orderkey) SELECT l_orderkey, operands, {frac('num', two('places'))} AS value FROM t WHERE operands <= 7",
+    f"WITH l AS (SELECT l_orderkey, l_linenumber, CAST(l_suppkey AS BIGINT) AS k, 4 * ((length(bin(l_suppkey)) + 3) // 4) AS m FROM lineitem), t AS (SELECT l_orderkey, count(*) AS operands, CAST(round(exp(0)) AS BIGINT) AS one, list_reduce(list(CAST(k AS HUGEINT) ORDER BY l_linenumber, k), lambda x, y: x * y) AS num, sum(m) AS places FROM l GROUP BY l_orderkey) SELECT l_orderkey, operands, {frac('num', two('places'))} AS value FROM t",
 )
 def q_mul_chain(spark, sf_dir):
     k = F.col("l_suppkey").cast("bigint")
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("operands"), F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("at"), k.alias("k")))).alias("ks")).where("operands <= 7")
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("operands"), F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("at"), k.alias("k")))).alias("ks"))
+    rows = rows.withColumn("places", F.transform("ks", lambda s: F.size(D.hex_cells(s["k"])))).withColumn("all", F.aggregate("places", F.lit(0), lambda a, x: a + x))
     nums = F.transform("ks", lambda s: s["k"].cast(D.EXACT))
-    return rows.select("l_orderkey", "operands", A.product_chain(nums, F.transform("ks", lambda s: F.size(D.hex_cells(s["k"])))).alias("value"))
+    narrow = rows.where("all <= 120").select("l_orderkey", "operands", A.product_chain(nums, F.col("places")).alias("value"))
+    # beyond 38 decimal digits: the same product as an expression without bounds
+    text = F.concat(F.array_join(F.transform("ks", lambda s: s["k"].cast("string")), "*"), F.lit("/2^"), F.col("all"))
+    wide = expressions.evaluated(rows.where("all > 120").select("l_orderkey", F.col("operands").alias("many"), text.alias("src")), "src")
+    return narrow.unionByName(wide.select("l_orderkey", F.col("many").alias("operands"), "value"))
 
 
 _WIDTH = "(4 + l_partkey % 21)"

@@ -1,13 +1,16 @@
-"""Queries on the alphabet, on words and on what they read as. Words are the distinct lower-case runs of a to z."""
+"""Queries on the alphabet, on words and on what they read as. Words are the distinct runs between white space, as they stand."""
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plait.functions import alphabet, expressions, ipa, phonetics
 from plait.functions import words as W
-from plait.operators import characters, ordering
+from plait.operators import characters, ordering, shared
 from plait.plans.numbers import table
 from plait.sources import tables
 
@@ -37,10 +40,10 @@ def values(rows: list[tuple], names: str) -> str:
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct words of all documents, benchmark items and part names."""
     texts = table(spark, sf_dir, "documents").select("text").union(table(spark, sf_dir, "benchmark").select("text")).union(table(spark, sf_dir, "part").select("p_name"))
-    return texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    return texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("word")).distinct()
 
 
-_TOKENS = "w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark UNION ALL SELECT p_name FROM part))"
+_TOKENS = r"w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark UNION ALL SELECT p_name FROM part))"
 _BASE = values([tuple(r.values()) for r in alphabet.table()], "char, base, case_weight, accent, rank, code, type")
 
 
@@ -92,10 +95,13 @@ def q_char_order(spark, sf_dir):
 
 
 _DIGRAPHS = "|".join(g for g in phonetics.DIGRAPHS if g not in phonetics.INITIAL)
-_SEGMENT = f"'^(?:{'|'.join(phonetics.INITIAL)})|{_DIGRAPHS}|.'"
+#: Two letters that stand for @ and ! while words are cut: these are no separators, and RE2 cannot take them out of a class.
+_HIDE, _SHOW = "'@!', 'ꘋꘌ'", "'ꘋꘌ', '@!'"
+_SEGMENT = rf"'(?is)^(?:{'|'.join(phonetics.INITIAL)})|{_DIGRAPHS}|[\p{{P}}\p{{Z}}\p{{C}}]+|.'"
+_CUT = rf"list_transform(regexp_extract_all(translate(word, {_HIDE}), {_SEGMENT}), lambda g: CASE WHEN regexp_matches(g, '^[\p{{P}}\p{{Z}}\p{{C}}]+$') THEN chr(1) ELSE translate(g, {_SHOW}) END)"
 
 
-@query("q_segment", f"WITH {_TOKENS} SELECT word, list_aggregate(regexp_extract_all(word, {_SEGMENT}), 'string_agg', ' ') AS graphemes FROM w")
+@query("q_segment", f"WITH {_TOKENS} SELECT word, list_aggregate({_CUT}, 'string_agg', ' ') AS graphemes FROM w")
 def q_segment(spark, sf_dir):
     return tokens(spark, sf_dir).select("word", F.array_join(W.segments(F.col("word")), " ").alias("graphemes"))
 
@@ -103,14 +109,33 @@ def q_segment(spark, sf_dir):
 _RULES = values([(r["grapheme"], r["ord"], r["ipa"], r["rom"], " ".join(r["langs"]), r["first"], r["last"], r["nexts"], r["no_nexts"], r["befores"], "|".join(r["words"]) if r["words"] else None) for r in phonetics.rules()], "g, ord, ipa, rom, langs, first, last, nexts, no_nexts, befores, words")
 
 
+def _name(c: str) -> str:
+    """What a character that no rule has is read as: the core of a letter's name, another's whole name."""
+    name = unicodedata.name(c, "")
+    core = re.search(r"\b(?:LETTER|SYLLABLE|SYLLABICS|VOWEL SIGN|DIGIT|SIGN|CHARACTER)\s+(.*)$", name)
+    if core and unicodedata.category(c)[0] == "L":
+        return core[1] if "CAPITAL" in name else core[1].lower()
+    return name.lower()
+
+
+_NAMES = values([(c, _name(c)) for c in map(chr, [*range(0x21, 0x400), *range(0x2030, 0x2300)]) if c not in W._bases() and unicodedata.category(c)[0] in "LNS"], "char, name")
+_GLYPHS = "{" + ", ".join(f"'{g}': '{v[0]}'" for g, v in phonetics.SHAPES.items()) + "}"
+_BASES = values(list(W._bases().items()), "char, base")
+
+
 def branch_sql(known: str) -> str:
     """CTEs up to b(word, i, ord, rom, ipa, good, known): graphemes joined with rules, conditions by lag and lead."""
-    return f"""{_TOKENS}, s AS (SELECT word, regexp_extract_all(word, {_SEGMENT}) AS segs FROM w), e AS (SELECT word, len(segs) AS n, i, segs[i] AS g, segs[i - 1] AS p, segs[i + 1] AS x FROM s, LATERAL (SELECT unnest(range(1, len(segs) + 1)) AS i)),
-    b AS (SELECT e.word, e.i, r.ord, r.rom, r.ipa, (first IS NULL OR first = (i = 1)) AND (NOT last OR i = n) AND (nexts IS NULL OR (i < n AND contains(nexts, x[1]))) AND (no_nexts IS NULL OR NOT (i < n AND contains(no_nexts, x[1]))) AND (befores IS NULL OR (i > 1 AND contains(befores, p[-1]))) AND (words IS NULL OR list_contains(string_split(words, '|'), word)) AS good, {known} AS known FROM e JOIN {_RULES} r ON e.g = r.g)"""
+    # without a declared language neighbours that are glyphs count as the letters they look like
+    seen = f"list_transform(segs, lambda g: coalesce(list_extract(map_extract(MAP {_GLYPHS}, g), 1), g))" if known == "true" else "segs"
+    return f"""{_TOKENS}, s0 AS (SELECT word, {_CUT} AS segs FROM w), s AS (SELECT *, {seen} AS vs FROM s0), e AS (SELECT word, len(segs) AS n, i, segs[i] AS g, vs[i - 1] AS p, vs[i + 1] AS x FROM s, LATERAL (SELECT unnest(range(1, len(segs) + 1)) AS i)),
+    ek AS (SELECT e.*, CASE WHEN length(g) > 1 THEN lower(g) ELSE coalesce(base, g) END AS rule FROM e LEFT JOIN {_BASES} ON char = g),
+    b AS (SELECT ek.word, ek.i, coalesce(r.ord, 0) AS ord, CASE WHEN ek.g = chr(1) THEN chr(1) WHEN r.g IS NULL THEN name WHEN substr(ek.g, 1, 1) <> lower(substr(ek.g, 1, 1)) THEN upper(r.rom) ELSE r.rom END AS rom, coalesce(r.ipa, '') AS ipa,
+    r.g IS NULL OR ((first IS NULL OR first = (i = 1)) AND (NOT last OR i = n) AND (nexts IS NULL OR (i < n AND contains(nexts, lower(x[1])))) AND (no_nexts IS NULL OR NOT (i < n AND contains(no_nexts, lower(x[1])))) AND (befores IS NULL OR (i > 1 AND contains(befores, lower(p[-1])))) AND (words IS NULL OR list_contains(string_split(words, '|'), lower(word)))) AS good, r.g IS NULL OR {known} AS known
+    FROM ek LEFT JOIN {_RULES} r ON ek.rule = r.g LEFT JOIN {_NAMES} na ON na.char = ek.g)"""
 
 
 def _known(accept: set[str]) -> str:
-    return " OR ".join(f"list_contains(string_split(langs, ' '), '{t}')" for t in sorted(accept))
+    return "(" + " OR ".join(f"list_contains(string_split(langs, ' '), '{t}')" for t in sorted(accept)) + ")"
 
 
 def _primary_sql(accept: set[str]) -> str:
@@ -156,10 +181,15 @@ _CODES_MAP = "{" + ", ".join(f"'{r['char']}': {r['code']}" for r in alphabet.tab
 _CODES = values([(r["char"], r["code"]) for r in alphabet.table()], "char, code")
 
 
+_MARKS = values([(c, j, x) for c, v in W._decomposed().items() for j, x in enumerate(v)], "char, j, mark")
+
+
 def sorted_sql(accept: set[str]) -> str:
     """CTEs up to k(word, reading, key): words with their sort keys, read by the tags accepted."""
+    code = f"CASE c WHEN ' ' THEN {alphabet.SPACE} WHEN '-' THEN {alphabet.HYPHEN} ELSE coalesce(mark, a.code, z.code, {alphabet.OUTSIDE} + unicode(c)) END"
     return f"""{_primary_sql(accept)}, l AS (SELECT word, reading, 0 AS part, i, substr(reading, i, 1) AS c FROM pr, LATERAL (SELECT unnest(range(1, length(reading) + 1)) AS i) UNION ALL SELECT word, reading, 2, i, substr(word, i, 1) FROM pr, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
- k AS (SELECT word, reading, list(code ORDER BY part, i) AS key FROM (SELECT word, reading, part, i, CAST(code AS INTEGER) AS code FROM l JOIN {_CODES} ON c = char UNION ALL SELECT word, reading, 1, 0, 0 FROM pr) GROUP BY word, reading)"""
+ lc AS (SELECT word, reading, part, i, coalesce(j, 0) AS j, CAST({code} AS INTEGER) AS code FROM l LEFT JOIN {_MARKS} m ON part = 2 AND m.char = c LEFT JOIN {_CODES} a ON a.char = c LEFT JOIN {_CODES} z ON z.char = lower(c) UNION ALL SELECT word, reading, 1, 0, 0, 0 FROM pr),
+ k AS (SELECT word, reading, list(code ORDER BY part, i, j) AS key FROM lc GROUP BY word, reading)"""
 
 
 _SORTED = sorted_sql(_EN)
@@ -171,7 +201,7 @@ def _keyed(spark, sf_dir, want: str) -> DataFrame:
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
-    return ordering.positions(rows, [F.col("key"), F.col("word")], F.slice("key", 1, 2))
+    return ordering.positions(rows, [F.col("key"), F.col("word")])
 
 
 @query("q_word_sort", f"WITH {_SORTED} SELECT row_number() OVER (ORDER BY key, word) - 1 AS position, word, reading FROM k")
@@ -229,13 +259,13 @@ def q_displacement(spark, sf_dir):
     return a.join(b, "word").agg(F.count("*").alias("words"), F.count_if(step > 0).alias("moved"), F.count_if(F.col("r") != F.col("s")).alias("reread"), F.percentile(step, 0.5).alias("median"), F.max(step).alias("most"))
 
 
-_LEX = "lx AS (SELECT DISTINCT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)"
+_LEX = r"lx AS (SELECT DISTINCT lang, unnest(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')) AS word FROM documents)"
 
 
 @query("q_detect", f"WITH {_LEX}, t AS (SELECT word, bool_or(lang = 'es') AS es, bool_or(lang = 'en') AS en, bool_or(lang = 'de') AS de FROM lx GROUP BY word) SELECT word, CASE WHEN es THEN 'es-419' WHEN en THEN 'en' WHEN de THEN 'de' END AS tag FROM t")
 def q_detect(spark, sf_dir):
     """The first declared language whose lexicon, drawn from documents of that language, has the word."""
-    rows = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    rows = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("word"))
     held = rows.groupBy("word").agg(*(F.bool_or(F.col("lang") == t).alias(t) for t in ("es", "en", "de")))
     return held.select("word", W.lexicon_tag(F.col("word"), "es en de", {t: F.col(t) for t in ("es", "en", "de")}).alias("tag"))
 
@@ -254,7 +284,7 @@ _IPAD = f"{_SORTED}, di AS (SELECT word, list(CAST(rank AS INTEGER) ORDER BY i)
 @query("q_ipa_sort", f"WITH {_IPAD} SELECT row_number() OVER (ORDER BY coalesce(digits, []), key, word) - 1 AS position, word FROM k LEFT JOIN di USING (word)")
 def q_ipa_sort(spark, sf_dir):
     rows = _keyed(spark, sf_dir, "en").withColumn("digits", W.ipa_digits(F.col("ipa")))
-    return ordering.positions(rows, [F.col("digits"), F.col("key"), F.col("word")], F.slice("digits", 1, 2)).select("position", "word")
+    return ordering.positions(rows, [F.col("digits"), F.col("key"), F.col("word")]).select("position", "word")
 
 
 @query("q_ipa_number", f"WITH {_IPAD} SELECT word, array_to_string(digits, ' ') AS digits, CASE WHEN len(digits) <= 15 THEN CAST(list_reduce(list_transform(digits, lambda x: CAST(x AS HUGEINT)), lambda a, d: a * 256 + d) AS VARCHAR) END AS number FROM di")
@@ -387,17 +417,14 @@ def q_index_order(spark, sf_dir):
     for i, t in enumerate([*phonetics.HAN_TAGS, phonetics.ANY]):
         lang = F.when(F.array_join("langs", "|") == t, i).otherwise(lang)
     rows = rows.withColumn("key", F.concat("letters", F.array(F.lit(alphabet.TERM), lang, "tone", "strokes", "spell")))
-    out = characters.flat_codes(ordering.positions(rows, [F.col("key"), F.col("ipa")], F.slice("key", 1, 1)))
+    out = characters.flat_codes(ordering.positions(rows, [F.col("key"), F.col("ipa")]))
     return out.select("position", "code", "char", F.array_join("langs", "|").alias("langs"), "ipa")
 
 
 @query("q_base_round_trip", "SELECT CAST(306 AS BIGINT) AS written, CAST(306 AS BIGINT) AS read, CAST(0 AS BIGINT) AS lost")
 def q_base_round_trip(spark, sf_dir):
     """The alphabet written as a file of tab-separated rows and read again."""
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder.rstrip('/')}/plait-base-{uuid.uuid4().hex}"
+    path = shared.place(spark, "base")
     rows = tables.base_table(spark)
     tables.write_base(rows, path)
     back = tables.read_base(spark, path)

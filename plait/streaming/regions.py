@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plait.functions import digits as D
+from plait.operators import shared
 
 
 def projected(events: DataFrame) -> DataFrame:
@@ -20,11 +19,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams the events table through projected() once, and returns what came out."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    name = f"regions_{uuid.uuid4().hex}"
+    out = shared.place(spark, "regions")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{sf_dir}/events*.parquet")
-    done = projected(stream).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    made = projected(stream)
+    done = made.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared.place(spark, "regions-progress")).outputMode("append").trigger(availableNow=True).start()
     done.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(made.schema).parquet(out)
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
