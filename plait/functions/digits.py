@@ -50,6 +50,26 @@ def hex_cells(k: Column) -> Column:
     return F.when(k == 0, F.array(F.lit(0))).otherwise(_digits(F.lpad(b, (F.ceil(F.length(b) / 4) * 4).cast("int"), "0"), F.signum(k).cast("int")))
 
 
+def exact_bits(k: Column) -> Column:
+    """The bits of the magnitude of an exact integer below 2^124, without leading zeros."""
+
+    def of(m: Column) -> Column:
+        low = (m % whole(1 << 62)).cast("bigint")
+        high = ((m - low.cast(EXACT)) / whole(1 << 62)).cast(EXACT).cast("bigint")
+        return F.when(high == 0, F.bin(low)).otherwise(F.concat(F.bin(high), F.lpad(F.bin(low), 62, "0")))
+
+    return let(F.abs(k).cast(EXACT), of)
+
+
+def exact_cells(text: Column) -> Column:
+    """hex_cells() of an integer written in decimals, below 2^124 in magnitude."""
+
+    def of(k: Column) -> Column:
+        return let(exact_bits(k), lambda b: F.when(k == 0, F.array(F.lit(0))).otherwise(_digits(F.lpad(b, (F.ceil(F.length(b) / 4) * 4).cast("int"), "0"), F.signum(k).cast("int"))))
+
+    return let(text.cast(EXACT), of)
+
+
 def v2_cells(k: Column) -> Column:
     """A reserved green cell, then the bits, least significant first; zero is the reserved cell."""
     return F.when(k == 0, F.array(F.lit(0))).otherwise(F.concat(F.array(F.lit(0)), _digits(F.reverse(bits(k)), F.signum(k).cast("int"))))

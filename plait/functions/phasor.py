@@ -42,6 +42,11 @@ def point(p: Column, phase: Column, t: Column) -> Column:
     return F.struct((r * F.cos(a)).alias("x"), (r * F.sin(a)).alias("y"), (m * F.sin(b) + d * F.abs(F.sin(b))).alias("z"))
 
 
+def operand_phase(item: Column, items: Column, operand: Column, operands: Column) -> Column:
+    """Degrees of an operand: items part the turn of their card, operands the turn of their item, which starts at its phase."""
+    return F.lit(360.0) * item / items + F.lit(360.0) * operand / operands
+
+
 def sites(n: Column) -> Column:
     """n points spread over the unit sphere: structs x, y, z, each a golden angle on from the one before, equal steps down."""
     angle = F.lit(3.0 - 5.0**0.5) * F.pi()

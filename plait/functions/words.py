@@ -209,6 +209,14 @@ def ranks(text: Column) -> Column:
     return F.transform(F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "")), lambda c: F.coalesce(F.element_at(table, c), F.lit(0)))
 
 
+def code_regions(code: Column) -> Column:
+    """struct(inner, fold, outer, lit): the lit bits of a 16-bit code laid into a square of four, by region."""
+    cells = F.transform(F.split(F.lpad(F.bin(code.cast("bigint")), 16, "0"), ""), lambda c: c.cast("int"))
+    where = lambda i: (i / 4).cast("int") + i % 4
+    part = lambda keep: F.size(F.filter(cells, lambda c, i: (c == 1) & keep(where(i))))
+    return F.struct(part(lambda d: d < 3).alias("inner"), part(lambda d: d == 3).alias("fold"), part(lambda d: d > 3).alias("outer"), part(lambda d: d >= 0).alias("lit"))
+
+
 def fraction(digits: Column, base: int) -> Column:
     """Digits behind the point of a base, as a double: a prefix is smaller, whatever follows."""
     return F.aggregate(F.reverse(digits), F.lit(0.0), lambda a, d: (a + d) / base)

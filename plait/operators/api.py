@@ -93,10 +93,20 @@ def card_sums(items: DataFrame) -> DataFrame:
 
 
 def ipa_texts(spark: SparkSession, texts: list[str]) -> DataFrame:
-    """text, segment, sym, rank of transcriptions: one row a segment."""
-    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.explode(F.split("text", "")).alias("sym"))
-    found = rows.join(F.broadcast(tables.ipa_table(spark)), "sym")
-    return found.groupBy("text").agg(F.count("*").alias("segments"))
+    """text, segment, sym, marks, rank of transcriptions: one row a segment, with the marks that belong to it."""
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.posexplode(W.ipa_segments(F.col("text"))).alias("segment", "s"))
+    found = rows.select("text", "segment", "s.sym", "s.marks")
+    return found.join(F.broadcast(tables.ipa_table(spark).select("sym", "rank")), "sym").select("text", "segment", "sym", "marks", "rank")
+
+
+def ipa_items(spark: SparkSession, q: str, lang: str = "") -> DataFrame:
+    """text, reading, ipa, digits, number, bits, base_digits, base_bits of each line of a request: its reading in both alphabets."""
+    _bounded(q, lang)
+    lines = [t for t in (x.strip() for x in q.split("\n")) if t][:MOST_ITEMS]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "line int, text string").withColumn("p", W.primary(F.col("text"), W.first_accept(lang or None)))
+    rows = rows.select("line", "text", F.col("p.rom").alias("reading"), F.col("p.ipa").alias("ipa")).withColumn("digits", W.ipa_digits(F.col("ipa")))
+    base_digits = F.size(W.letters(F.col("reading")))
+    return rows.select("line", "text", "reading", "ipa", "digits", W.number(F.col("digits"), ipa.BASE).alias("number"), (F.size("digits") * 8).alias("bits"), base_digits.alias("base_digits"), (base_digits * 16).alias("base_bits"))
 
 
 def ipa_digits(df: DataFrame, column: str) -> DataFrame:

@@ -10,7 +10,7 @@ from plait.functions import digits as D
 from plait.functions import words as W
 from plait.operators import api, characters, shared
 from plait.plans import more, numbers, texts
-from plait.plans.numbers import _BASE, _K, _REGION, frac, orders, table, two
+from plait.plans.numbers import _BASE, _K, _NEXT, _PUSHED, _REGION, frac, orders, table, two
 from plait.plans.texts import _CODES_MAP, _EN, _ENTRIES, _RANK, _SORTED, values
 from plait.sources import tables
 
@@ -58,6 +58,51 @@ def q_sites(spark, sf_dir):
     return rows.select("n", "i", *(F.round(F.col(f"s.{c}"), 9).alias(c) for c in "xyz"))
 
 
+_WIDE = "w AS (SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 2 = 1 THEN -1 ELSE 1 END AS HUGEINT) * (o_orderkey::HUGEINT * 1000000000000000000000 + 7 * o_orderkey) AS k FROM orders)"
+
+
+@query("q_wide_cells", f"WITH {_WIDE}, b AS (SELECT *, abs(k) AS m, (SELECT max(j) FROM (SELECT unnest(range(126)) AS j) WHERE (CAST(1 AS HUGEINT) << CAST(j AS INTEGER)) <= abs(k)) + 1 AS n FROM w), l AS (SELECT *, CASE WHEN k = 0 THEN 1 ELSE 4 * ((n + 3) // 4) END AS len FROM b) SELECT o_orderkey, (SELECT string_agg(CASE WHEN (m >> CAST(j AS INTEGER)) & 1 = 0 THEN '0' WHEN k < 0 THEN '-' ELSE '+' END, '' ORDER BY j DESC) FROM (SELECT unnest(range(len)) AS j)) AS cells FROM l")
+def q_wide_cells(spark, sf_dir):
+    """Digits of integers beyond 64 bits, from their decimals."""
+    key = F.col("o_orderkey").cast("decimal(38,0)")
+    k = F.when(F.col("o_orderkey") % 2 == 1, -1).otherwise(1) * (key * F.lit(str(10**21)).cast("decimal(22,0)") + 7 * key)
+    return table(spark, sf_dir, "orders").select("o_orderkey", D.text(D.exact_cells(k.cast("decimal(38,0)").cast("string"))).alias("cells"))
+
+
+_PUSHED_CELLS = f"{_NEXT}, {_PUSHED}, pc AS (SELECT c.o_orderkey, c.n, c.k, c.i, coalesce(p.q, 0) AS v FROM c0 c LEFT JOIN pu p ON p.o_orderkey = c.o_orderkey AND p.i = c.i)"
+
+
+@query("q_phasor_pushed", f"{_BASE}, {_PUSHED_CELLS}, t AS (SELECT o_orderkey, max(k) AS k, {', '.join(f"sum(CASE WHEN {_REGION} = '{r}' THEN v * pow(2.0, -(i + 1)) ELSE 0 END) AS {r}_sum" for r in ('inner', 'fold', 'outer'))}, list(v ORDER BY i) AS vs FROM pc GROUP BY o_orderkey) SELECT o_orderkey, round(inner_sum, 9) AS inner_sum, round(fold_sum, 9) AS fold_sum, round(outer_sum, 9) AS outer_sum, CAST(CASE WHEN fold_sum <> 0 THEN sign(fold_sum) WHEN k < 0 THEN -1 ELSE 1 END AS INTEGER) AS dir, CAST(1 + len(list_filter(range(2, len(vs) + 1), lambda j: vs[j] <> vs[j - 1])) AS INTEGER) AS rate_b FROM t")
+def q_phasor_pushed(spark, sf_dir):
+    """Phasors of pushed digits: other regions, the same sum."""
+    rows = orders(spark, sf_dir).select("o_orderkey", phasor.phasor(F.col("k"), push=True).alias("p"))
+    return rows.select("o_orderkey", *(F.round(F.col(f"p.{r}_sum"), 9).alias(f"{r}_sum") for r in ("inner", "fold", "outer")), "p.dir", "p.rate_b")
+
+
+@query("q_operand_phases", "WITH n AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS j, count(*) OVER (PARTITION BY l_orderkey) AS n, l_partkey, l_suppkey FROM lineitem) SELECT l_orderkey, CAST(j AS INTEGER) AS item, CAST(o AS INTEGER) AS operand, CASE o WHEN 0 THEN CAST(l_partkey AS BIGINT) ELSE CAST(l_suppkey AS BIGINT) END AS value, round(360.0 * j / n + 180.0 * o, 6) AS phase FROM n, (SELECT unnest([0, 1]) AS o)")
+def q_operand_phases(spark, sf_dir):
+    """Both operands of each line of an order as points of its item's turn."""
+    own = Window.partitionBy("l_orderkey")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.row_number().over(own.orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1).alias("item"), F.count("*").over(own).alias("n"), F.array(F.col("l_partkey").cast("bigint"), F.col("l_suppkey").cast("bigint")).alias("both"))
+    rows = rows.select("l_orderkey", "item", "n", F.posexplode("both").alias("operand", "value"))
+    return rows.select("l_orderkey", "item", "operand", "value", F.round(phasor.operand_phase(F.col("item"), F.col("n"), F.col("operand"), F.lit(2)), 6).alias("phase"))
+
+
+@query("q_knob_ticks", "SELECT c_custkey, CAST(-greatest(10, c_custkey) AS BIGINT) AS first, CAST(greatest(10, c_custkey) AS BIGINT) AS last, CAST(2 * greatest(10, c_custkey) + 1 AS BIGINT) AS ticks, CAST(2 * (greatest(10, c_custkey) // 10) + 1 AS BIGINT) AS tens FROM customer")
+def q_knob_ticks(spark, sf_dir):
+    """The ticks of a knob, made and counted: all of them, and those at tens."""
+    bound = F.greatest(F.lit(10).cast("bigint"), F.abs(F.col("c_custkey")))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.sequence(-bound, bound).alias("t"))
+    return rows.select("c_custkey", F.element_at("t", 1).alias("first"), F.element_at("t", -1).alias("last"), F.size("t").cast("bigint").alias("ticks"), F.size(F.filter("t", lambda x: x % 10 == 0)).cast("bigint").alias("tens"))
+
+
+@query("q_code_regions", f"WITH b AS (SELECT char, i, (code >> CAST(15 - i AS INTEGER)) & 1 AS v FROM {texts._BASE}, (SELECT unnest(range(16)) AS i)) SELECT char, {', '.join(f'CAST(sum(v) FILTER (i // 4 + i % 4 {o} 3) AS INTEGER) AS {n}' for n, o in (('inner_bits', '<'), ('fold_bits', '='), ('outer_bits', '>')))}, CAST(sum(v) AS INTEGER) AS lit FROM b GROUP BY char")
+def q_code_regions(spark, sf_dir):
+    """The lit bits of each character's code by the region of its square."""
+    r = W.code_regions(F.col("code"))
+    return tables.base_table(spark).select("char", r["inner"].alias("inner_bits"), r["fold"].alias("fold_bits"), r["outer"].alias("outer_bits"), r["lit"].alias("lit"))
+
+
 _PINYIN = [("zhōng", "zhong", 1), ("guó", "guo", 2), ("hǎo", "hao", 3), ("shì", "shi", 4), ("de", "de", 5), ("lǜ", "lu", 4), ("nǚ", "nu", 3), ("ḿ", "m", 2), ("Ān", "an", 1), ("ér", "er", 2), ("lüè", "lue", 4), ("ǹ", "n", 4)]
 
 
@@ -78,6 +123,26 @@ def q_ipa_segments(spark, sf_dir):
     return rows.select("sounds", F.array_join(shown, " ").alias("segments"))
 
 
+_RANKS = {r["sym"]: r["rank"] for r in ipa.table()}
+_TEXTS = [("kʰæt", 0, "k", "ʰ"), ("kʰæt", 1, "æ", ""), ("kʰæt", 2, "t", ""), ("n̪ˈa", 0, "n", "̪"), ("n̪ˈa", 1, "ˈ", ""), ("n̪ˈa", 2, "a", "")]
+
+
+@query("q_request_ipa", f"SELECT text, CAST(segment AS INTEGER) AS segment, sym, marks, CAST(rank AS INTEGER) AS rank FROM {values([(*r, _RANKS[r[2]]) for r in _TEXTS], 'text, segment, sym, marks, rank')}")
+def q_request_ipa(spark, sf_dir):
+    """Segments of transcriptions with their marks and digits."""
+    return api.ipa_texts(spark, ["kʰæt", "n̪ˈa"]).withColumn("marks", F.array_join("marks", ""))
+
+
+#: Known values: line, text, reading in English, sounds.
+_LINES = [(0, "knight", "nit", "nit"), (1, "this", "dhis", "ðis"), (2, "cat", "kat", "kat")]
+
+
+@query("q_request_lines", f"SELECT CAST(line AS INTEGER) AS line, text, reading, ipa, CAST(len(string_split(ipa, '')) * 8 AS INTEGER) AS bits, CAST(length(reading) * 16 AS INTEGER) AS base_bits FROM {values(_LINES, 'line, text, reading, ipa')}")
+def q_request_lines(spark, sf_dir):
+    """Lines of a request as they read, and how wide they are in both alphabets."""
+    return api.ipa_items(spark, "knight\nthis\n\n cat ", "en").select("line", "text", "reading", "ipa", "bits", "base_bits")
+
+
 @query("q_fractions", f"WITH w AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part), c AS (SELECT word, generate_subscripts(string_split(word, ''), 1) AS i, unnest(string_split(word, '')) AS char FROM w WHERE word <> ''), f AS (SELECT word, sum(coalesce(rank, 0) * pow(307.0, -i)) AS x, list(coalesce(rank, 0) ORDER BY i) AS ranks FROM c LEFT JOIN {_RANK} USING (char) GROUP BY word) SELECT word, round(x, 9) AS fraction, row_number() OVER (ORDER BY ranks) - 1 AS position FROM f")
 def q_fractions(spark, sf_dir):
     """Words as fractions in base 307, which order as their ranks do: a prefix comes first."""
