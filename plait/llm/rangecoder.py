@@ -72,8 +72,8 @@ class _Models:
         number = np.arange(self.pairs, self.pairs + len(key), dtype=np.int32)
         self.key[number], self.id[number] = key, (key & np.uint32(IDS - 1)).astype(np.int32)
         self.pairs += len(key)
-        if 2 * self.pairs > len(self.slots):  # a table twice as large, or more, with all pairs anew
-            self.bits = (4 * self.pairs).bit_length()
+        if 4 * self.pairs > len(self.slots):  # a table twice as large, or more, with all pairs anew
+            self.bits = (8 * self.pairs).bit_length()
             self.slots = np.zeros(1 << self.bits, np.int32)
             number, key = np.arange(1, self.pairs, dtype=np.int32), self.key[1 : self.pairs]
         slot, left = self._slot(key), np.arange(len(key))
@@ -133,18 +133,18 @@ class _Models:
         Returns the pairs of the last row. Where a context stands more than once, its last update stands.
         """
         self.mix += np.bincount(chosen.ravel(), minlength=self.mix.size).reshape(self.mix.shape)
-        pair = pair.copy()
-        left = np.nonzero(chosen % KINDS == 2)
-        if len(left[0]):
-            key = (last[left].astype(np.uint32) << np.uint32(16)) | ids[left].astype(np.uint32)
+        shape, pair = pair.shape, pair.flatten()
+        left = np.flatnonzero(pair == 0)
+        if len(left):
+            key = (last.ravel()[left].astype(np.uint32) << np.uint32(16)) | ids.ravel()[left].astype(np.uint32)
             found = self.find(key)
             new = np.sort(key[found == 0])
             if len(new):
                 self.insert(new[np.concatenate([[True], new[1:] != new[:-1]])])
                 found[found == 0] = self.find(key[found == 0])
             pair[left] = found
-        above = np.concatenate([before[None, : pair.shape[1]], pair[:-1]]).ravel()
-        j = pair.ravel()
+        j, pair = pair, pair.reshape(shape)
+        above = np.concatenate([before[None, : shape[1]], pair[:-1]]).ravel()
         a = self.after.take(above)
         sure = a & 7
         missed = np.where(sure < 2, j << 3 | 1, a - (sure >> 1))
