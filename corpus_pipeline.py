@@ -38,15 +38,19 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("n-gram Jaccard join", near_duplicates), ("mixing sources", source_mix), ("best-fit packing", packed)]
 
-#: Packing and the near-duplicate classes are not expressible in SQL; tests hold run() against brute force.
+#: Packing and the near-duplicate classes are not expressible in SQL; tests hold run() against the stages in plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = common.written(docs, f"pipeline-{i}")
+            if before is not None:
+                common.dropped(before)
+            before = docs
             common.settle(spark)
     return docs
