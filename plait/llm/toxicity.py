@@ -5,8 +5,9 @@ is the expected grade. Features are the distinct lower-case words of a text and
 in the toxic rows of a sample. They are counted on the cluster; the driver gets the sample's telling features only, as
 a sparse matrix, which bounds it by SAMPLE rows whatever the length of their texts.
 
-Grades come from the labels alone: 0 for rows that are not toxic, 2 for toxic rows that are also labelled as of low
-quality, 1 for other toxic rows. Where labels have a column grade (0 to 2) that is used.
+Where labels have a column grade (0 to 2) that is the grade. Binary labels only say 0 or more: among toxic rows those with
+at least the median number of telling features, and more than one, get 2, others 1, and what is telling for a row is found
+in the other half of the sample, so that no row's grade comes from features that it helped to select.
 """
 
 from __future__ import annotations
@@ -85,19 +86,19 @@ def fit(x: Sparse, grade: np.ndarray, weight: np.ndarray | None = None) -> tuple
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, grade, weight of at most SAMPLE labelled rows, one for each doc_id; its ids are bounded, so they are broadcast."""
-    low = F.max(F.col("quality") == 0) if "quality" in labels.columns else F.lit(False)
+    """doc_id, text, toxic, given, weight, half of at most SAMPLE labelled rows, one for each doc_id; its ids are bounded, so they are broadcast."""
     given = F.max("grade") if "grade" in labels.columns else F.lit(None)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-    known = known.agg(F.max(F.col("toxic").cast("int")).alias("toxic"), F.coalesce(low, F.lit(False)).alias("low"), given.cast("int").alias("given"))
-    derived = F.when(F.col("toxic") <= 0, 0).when(F.col("low"), 2).otherwise(1)
-    known = known.select("doc_id", F.greatest(F.least(F.coalesce("given", derived), F.lit(GRADES - 1)), F.lit(0)).alias("grade"))
-    count = {r["toxic"]: r["n"] for r in known.groupBy((F.col("grade") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    each = [known.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE // 2).withColumn("weight", F.lit(count.get(t, 0) / max(1, min(SAMPLE // 2, count.get(t, 0))))) for t, c in ((True, F.col("grade") > 0), (False, F.col("grade") == 0))]
+    known = known.agg((F.max(F.col("toxic").cast("int")) > 0).alias("toxic"), given.cast("int").alias("given"))
+    inside = F.when(F.col("given").isNotNull(), F.greatest(F.least("given", F.lit(GRADES - 1)), F.lit(0)))
+    known = known.select("doc_id", F.coalesce(F.col("given") > 0, "toxic").alias("toxic"), inside.alias("given"))
+    count = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    each = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE // 2).withColumn("weight", F.lit(count.get(t, 0) / max(1, min(SAMPLE // 2, count.get(t, 0))))) for t in (True, False)]
     chosen = common.written(each[0].unionByName(each[1]), "toxicity-labels")
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
-    texts = texts.groupBy("doc_id", "grade", "weight").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-    return common.written(texts.select("doc_id", "text", "grade", "weight"), "toxicity-sample")
+    texts = texts.groupBy("doc_id", "toxic", "given", "weight").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")
+    return common.written(texts.select("doc_id", "text", "toxic", "given", "weight", half.alias("half")), "toxicity-sample")
 
 
 def telling(rows: DataFrame) -> list[str]:
@@ -105,42 +106,56 @@ def telling(rows: DataFrame) -> list[str]:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, grade in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = pa.array(features(text), pa.string())
-                yield pa.RecordBatch.from_arrays([found, pa.array([int(grade > 0)] * len(found), pa.int32())], ["feature", "toxic"])
+                yield pa.RecordBatch.from_arrays([found, pa.array([int(toxic)] * len(found), pa.int32())], ["feature", "toxic"])
 
-    n, bad = rows.agg(F.count("*"), F.sum((F.col("grade") > 0).cast("long"))).first()
+    n, bad = rows.agg(F.count("*"), F.sum(F.col("toxic").cast("long"))).first()
     if not bad or bad == n:
         return []
     share = bad / n
-    counts = rows.select("text", "grade").mapInArrow(each, "feature string, toxic int").groupBy("feature").agg(F.count("*").alias("held"), F.sum("toxic").alias("bad"))
+    counts = rows.select("text", "toxic").mapInArrow(each, "feature string, toxic int").groupBy("feature").agg(F.count("*").alias("held"), F.sum("toxic").alias("bad"))
     score = (F.col("bad") - F.col("held") * share) / F.sqrt(F.col("held") * (share * (1 - share)))
     return sorted(r["feature"] for r in counts.where((F.col("held") >= RARE) & (score >= TELLING)).select("feature").collect())
 
 
+def grades(toxic: np.ndarray, given: list[int | None], half: np.ndarray, telling_features: np.ndarray) -> np.ndarray:
+    """The grade of each row: as given, else by its number of features that the other half finds telling."""
+    n, out = telling_features, toxic.astype(int)
+    for h in (0, 1):
+        own = toxic & (half == h)
+        if own.any():
+            out[own & (n >= np.median(n[own])) & (n > 1)] = 2
+    return np.array([o if g is None else g for o, g in zip(out.tolist(), given)], int)
+
+
 def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndarray]:
     """Weights by feature, and thresholds. Without labels of both kinds nothing is toxic."""
     rows = sample(docs, labels)
     names = telling(rows)
     if not names:
         return {}, np.full(GRADES - 1, 20.0)
-    at = {w: i for i, w in enumerate(names)}
+    at, other = {w: i for i, w in enumerate(names)}, [set(telling(rows.where(F.col("half") == 1 - h))) for h in (0, 1)]
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(at[w] for w in features(t) & at.keys()) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), batch.column(2), batch.column(3)], ["doc_id", "held", "grade", "weight"])
+            made = [features(t) for t in batch.column(1).to_pylist()]
+            found = pa.array([sorted(at[w] for w in f & at.keys()) for f in made], pa.list_(pa.int32()))
+            n = pa.array([len(f & other[h]) for f, h in zip(made, batch.column(5).to_pylist())], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found, n, *(batch.column(i) for i in (2, 3, 4, 5))], ["doc_id", "held", "n", "toxic", "given", "weight", "half"])
 
-    found = sorted(rows.mapInArrow(held, "doc_id long, held array<int>, grade int, weight double").collect(), key=lambda r: r["doc_id"])
+    found = sorted(rows.mapInArrow(held, "doc_id long, held array<int>, n int, toxic boolean, given int, weight double, half int").collect(), key=lambda r: r["doc_id"])
     common.dropped(rows)
-    w, t = fit(Sparse([r["held"] for r in found], len(names)), np.array([r["grade"] for r in found]), np.array([r["weight"] for r in found]))
+    column = lambda c: np.array([r[c] for r in found])
+    grade = grades(column("toxic"), [r["given"] for r in found], column("half"), column("n"))
+    w, t = fit(Sparse([r["held"] for r in found], len(names)), grade, column("weight"))
     return dict(zip(names, w.tolist())), t
 
 
 def score(docs: DataFrame, labels: DataFrame, limit: float = 0.3) -> DataFrame:
     """doc_id, severity (expected grade, 0 to 2), p_toxic, grade (the likeliest), toxic (p_toxic >= limit).
 
-    Trains on a sample of labels(doc_id, toxic[, quality][, grade]) joined with docs(doc_id, text, ...) of at most SAMPLE
+    Trains on a sample of labels(doc_id, toxic[, grade]) joined with docs(doc_id, text, ...) of at most SAMPLE
     rows, then scores every whole text. Null and empty texts have no features and get the severity that the thresholds
     alone give. Labels with null ids or labels are left out; repeated ones count once, as toxic if one is. Every row gets
     a row, equal texts alike; other columns are ignored. An empty table gives no rows.

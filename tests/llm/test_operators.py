@@ -634,8 +634,12 @@ def test_op9_one_row_an_id_and_both_kinds(spark, monkeypatch):
     labels = spark.createDataFrame([(i, int(i < 30), int(i % 3 > 0)) for i in range(100)] * 2, "doc_id long, toxic int, quality int")
     rows = toxicity.sample(docs, labels).collect()
     assert len(rows) == 40 == len({r.doc_id for r in rows})
-    assert sum(r.grade > 0 for r in rows) == 20 and abs(sum(r.weight for r in rows) - 100) < 1e-9
-    assert all(r.grade == (0 if r.doc_id >= 30 else 1 + (r.doc_id % 3 == 0)) for r in rows)
+    assert sum(r.toxic for r in rows) == 20 and abs(sum(r.weight for r in rows) - 100) < 1e-9
+    assert all(r.toxic == (r.doc_id < 30) and r.given is None for r in rows)
+    graded = toxicity.sample(docs, labels.selectExpr("doc_id", "toxic", "case when doc_id % 5 > 0 then doc_id % 4 end as grade")).collect()
+    assert all(r.given == (None if r.doc_id % 5 == 0 else min(r.doc_id % 4, 2)) for r in graded)
+    toxic, half = np.array([1, 1, 1, 0, 1, 1], bool), np.array([0, 0, 0, 0, 1, 1])
+    assert toxicity.grades(toxic, [None] * 5 + [0], half, np.array([5, 2, 1, 9, 1, 1])).tolist() == [2, 2, 1, 0, 1, 0]
     monkeypatch.undo()
     assert {x.doc_id for x in toxicity.score(docs, labels).collect() if x.toxic} == set(range(30))
 
