@@ -179,7 +179,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 4, drop_em
     """
     gone = later_copies(docs, min_lines, min_words)
     common.settle(docs.sparkSession)
-    rows = _keyed(docs).select("row", "doc", "text", _worded(F.col("text")).alias("worded")).join(gone, "doc", "left")
+    rows = _keyed(docs).select("row", "doc", "text", _worded(F.col("text")).alias("worded")).join(gone.hint("merge"), "doc", "left")
     own = F.transform(F.col("lines"), lambda i: F.get("worded", i)["line"])
     short = F.filter("worded", lambda s: _is_long(s["x"], min_words))
     copied = F.transform(F.when(F.size("worded") >= min_lines, F.col("worded")).otherwise(short), lambda s: s["line"])

@@ -136,4 +136,6 @@ def passing(docs: DataFrame) -> DataFrame:
     whole = docs.select("doc_id", "text", "lang", "source", F.struct(*docs.columns).alias("__row"))
     table = common.written(measured(whole, ["__row"]), "quality", "lz4")
     limits = common.written(fences(table), "quality-fences")
-    return _kept(table, limits).where("kept").select("__row.*")
+    out = _kept(table, limits).where("kept").select("__row.*")
+    out._plait_read = [table, limits]  # a caller that has written the result may drop these
+    return out
