@@ -48,9 +48,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = common.written(docs, f"pipeline-{i}")
-            if before is not None:
-                common.dropped(before)
+            made = docs
+            docs = common.written(made, f"pipeline-{i}")
+            common.dropped(*getattr(made, "_plait_read", []), *([before] if before is not None else []))
             before = docs
             common.settle(spark)
     return docs
