@@ -34,6 +34,11 @@ def wavelength(value: Column) -> Column:
     return 380 + F.least(F.lit(1.0), F.abs(value)) * 350
 
 
+def shown_wavelength(value: Column) -> Column:
+    """wavelength() to three decimals, from its six: halves of the value as stored go up, as in SQL."""
+    return F.floor(F.round(wavelength(value), 6) * 1000 + 0.5) / 1000
+
+
 def point(p: Column, phase: Column, t: Column) -> Column:
     """struct(x, y, z) of a phasor at time t: A is longitude, B latitude; Inner reaches north, Outer south."""
     a = phase + p["dir"] * p["rate_a"] * t

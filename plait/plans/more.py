@@ -55,7 +55,7 @@ def q_facts(spark, sf_dir):
     k = F.col("k")
     rows = orders(spark, sf_dir).withColumn("c", D.hex_cells(k)).withColumn("n", D.side(F.size("c"))).withColumn("p", phasor.phasor(k))
     sums = [D.ratio(D.region_sum(F.col("c"), r), F.col("n") * F.col("n")).alias(f"{r}_sum") for r in ("inner", "fold", "outer")]
-    return rows.select("o_orderkey", "n", D.text(F.col("c")).alias("cells"), D.commas(F.col("c")).alias("commas"), D.text(D.push(F.col("c"))).alias("push"), D.text(D.spread(F.col("c"))["d"]).alias("spread"), D.value(F.col("c")).alias("value"), *sums, F.col("p.greens").alias("greens"), F.round(phasor.wavelength(F.col("p.inner_sum") + F.col("p.fold_sum") + F.col("p.outer_sum")), 3).alias("nm"))
+    return rows.select("o_orderkey", "n", D.text(F.col("c")).alias("cells"), D.commas(F.col("c")).alias("commas"), D.text(D.push(F.col("c"))).alias("push"), D.text(D.spread(F.col("c"))["d"]).alias("spread"), D.value(F.col("c")).alias("value"), *sums, F.col("p.greens").alias("greens"), phasor.shown_wavelength(F.col("p.inner_sum") + F.col("p.fold_sum") + F.col("p.outer_sum")).alias("nm"))
 
 
 @query("q_frac_phasor")

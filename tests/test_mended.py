@@ -56,3 +56,25 @@ def test_alphabet_as_given(spark):
 
     rows = ["\t".join(str(x) for x in r) for r in tables.base_table(spark).orderBy("rank").collect()]
     assert len(rows) == 306 and hashlib.sha256("\n".join(rows).encode()).hexdigest() == "49bba9f756d3331b74ad759f71cb1a1b704ef6653d27d62393ef92cdd809d4e3"
+
+
+def against_sql(spark, tmp_path, name, **tables_):
+    """The rows of a query and of its SQL over tables given as (DuckDB select)."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    for t, select in tables_.items():
+        con.sql(f"COPY ({select}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got, want = entry.queries()[name](spark, str(tmp_path)), con.sql(entry.oracle_sql()[name])
+    rows = sorted((tuple(r[c] for c in want.columns) for r in got.collect()), key=str)
+    assert sorted(got.columns) == sorted(want.columns) and rows == sorted(want.fetchall(), key=str)
+    return [dict(zip(want.columns, r)) for r in rows]
+
+
+def test_facts_round_the_shown_wavelength(spark, tmp_path):
+    """Keys whose wavelength has a half in its fourth decimal once it is cut to six."""
+    rows = against_sql(spark, tmp_path, "q_facts", orders="SELECT CAST(unnest([10378, 12357, 6282, 4165, 14474, 8261, 1, 0]) AS BIGINT) AS o_orderkey")
+    assert {r["o_orderkey"]: r["nm"] for r in rows}[10378] == 435.425
