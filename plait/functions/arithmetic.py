@@ -55,7 +55,7 @@ def product_numerator(a: Column, b: Column) -> Column:
 def product_digits(a: Column, b: Column) -> Column:
     """The rectangle read back as a stalk of as many cells as it has rows and columns."""
     size = (F.size(a) + F.size(b)).cast("int")
-    return let(product_numerator(a, b), lambda n: F.transform(F.split(F.lpad(bits_of(F.abs(n)), size, "0"), ""), lambda c: c.cast("int") * F.signum(n).cast("int")))
+    return let(product_numerator(a, b), lambda n: F.transform(F.split(F.lpad(bits_of(D.magnitude(n)), size, "0"), ""), lambda c: c.cast("int") * F.signum(n).cast("int")))
 
 
 def region_value(sums: Column, fold: Column, region: str) -> Column:
@@ -75,7 +75,7 @@ def divide(a_num: Column, a_places: Column, b_num: Column, b_places: Column, wid
     """
 
     def of(x: Column) -> Column:
-        a, b, p, q, w = F.abs(x["a"]), F.abs(x["b"]), x["p"], x["q"], x["w"]
+        a, b, p, q, w = D.magnitude(x["a"]), D.magnitude(x["b"]), x["p"], x["q"], x["w"]
         guess = F.length(bits_of(a)) + q - F.length(bits_of(b)) - p
 
         def on(g: Column) -> Column:
@@ -106,7 +106,7 @@ def divide_integers(a: Column, b: Column, width: Column) -> Column:
 
 def digits_of_integer(n: Column, width: Column) -> Column:
     """An exact integer as `width` signed digits."""
-    return let(n.cast(EXACT), lambda x: F.transform(F.split(F.lpad(bits_of(F.abs(x)), width.cast("int"), "0"), ""), lambda c: c.cast("int") * F.signum(x).cast("int")))
+    return let(n.cast(EXACT), lambda x: F.transform(F.split(F.lpad(bits_of(D.magnitude(x)), width.cast("int"), "0"), ""), lambda c: c.cast("int") * F.signum(x).cast("int")))
 
 
 def product_chain(nums: Column, places: Column) -> Column:

@@ -23,6 +23,11 @@ def whole(n: int | str) -> Column:
     return F.lit(str(n)).cast(EXACT)
 
 
+def magnitude(n: Column) -> Column:
+    """|n| of an exact integer; abs() and the unary minus of decimals round to 34 digits."""
+    return F.greatest(n.cast(EXACT), (whole(0) - n.cast(EXACT)).cast(EXACT))
+
+
 def parse(text: Column) -> Column:
     """Decimal, 0x or 0b with one leading minus, ignoring blanks, commas and underscores; null for anything else."""
     t = F.regexp_replace(F.trim(text), r"[_,\s]", "")
@@ -58,7 +63,7 @@ def exact_bits(k: Column) -> Column:
         high = ((m - low.cast(EXACT)) / whole(1 << 62)).cast(EXACT).cast("bigint")
         return F.when(high == 0, F.bin(low)).otherwise(F.concat(F.bin(high), F.lpad(F.bin(low), 62, "0")))
 
-    return let(F.abs(k).cast(EXACT), of)
+    return let(magnitude(k), of)
 
 
 def exact_cells(text: Column) -> Column:
@@ -129,13 +134,18 @@ def ratio(num: Column, places: Column) -> Column:
     trailing = lambda s: F.length(s) - F.length(F.rtrim(s, F.lit("0")))
 
     def of(n: Column) -> Column:
-        # powers of two in n: by halves of at most 62 bits, each an exact BIGINT
-        low = (F.abs(n) % whole(1 << 62)).cast("bigint")
-        high = ((F.abs(n) - low.cast(EXACT)) / whole(1 << 62)).cast(EXACT).cast("bigint")
-        twos = F.when(low != 0, trailing(F.bin(low))).otherwise(62 + trailing(F.bin(high)))
-        k = F.least(twos, places)
-        wide = F.when(n == 0, "0").otherwise(F.concat((n / pow2(k)).cast(EXACT).cast("string"), F.when(places > k, F.concat(F.lit("/"), pow2(places - k).cast("string"))).otherwise("")))
-        return F.when((places < 62) & (F.abs(n) < whole(1 << 62)), let(n.cast("bigint"), narrow)).otherwise(wide)
+        # halves of at most 62 bits, each an exact BIGINT
+        low = lambda m: (m % whole(1 << 62)).cast("bigint")
+        halves = let(magnitude(n), lambda m: F.struct(low(m).alias("low"), ((m - low(m).cast(EXACT)) / whole(1 << 62)).cast(EXACT).cast("bigint").alias("high")))
+        wide = let(halves, lambda h: let(F.least(F.when(h["low"] != 0, trailing(F.bin(h["low"]))).otherwise(62 + trailing(F.bin(h["high"]))), places), lambda k: lowest(n, h, k)))
+        return F.when((places < 62) & (n < whole(1 << 62)) & (n > whole(-(1 << 62))), let(n.cast("bigint"), narrow)).otherwise(F.when(n == 0, "0").otherwise(wide))
+
+    def lowest(n: Column, h: Column, k: Column) -> Column:
+        right = lambda x, by: F.call_function("shiftright", x, by.cast("int")).cast(EXACT)
+        # both halves are shifted by k, as a decimal quotient has room for 32 whole digits only
+        upper = (h["high"].cast(EXACT) * pow2(F.greatest(62 - k, F.lit(0)))).cast(EXACT)
+        cut = F.when(k < 62, (upper + right(h["low"], k)).cast(EXACT)).otherwise(right(h["high"], k - 62))
+        return F.concat(F.when(n < 0, "-").otherwise(""), cut.cast("string"), F.when(places > k, F.concat(F.lit("/"), pow2(places - k).cast("string"))).otherwise(""))
 
     def narrow(n: Column) -> Column:
         def cut(k: Column) -> Column:
@@ -290,7 +300,7 @@ def dyadic_stalk(f_num: Column, f_den: Column, width: int = 24) -> Column:
     """struct(d, e, exact, rem_num, rem_den) of num / den cut to `width` cells on the first ring that holds it, e >= 0."""
 
     def of(p: Column) -> Column:
-        num, den = F.abs(p["n"]), p["d"]
+        num, den = magnitude(p["n"]), p["d"]
         e = F.aggregate(F.sequence(F.lit(0), F.lit(62)), F.lit(0), lambda a, i: F.when(num >= den * F.call_function("shiftleft", F.lit(1).cast("bigint"), i).cast(EXACT), i + 1).otherwise(a))
 
         def on(ring_: Column) -> Column:

@@ -302,9 +302,9 @@ def q_mul_chain(spark, sf_dir):
     rows = rows.withColumn("places", F.transform("ks", lambda s: F.size(D.hex_cells(s["k"])))).withColumn("all", F.aggregate("places", F.lit(0), lambda a, x: a + x))
     nums = F.transform("ks", lambda s: s["k"].cast(D.EXACT))
     narrow = rows.where("all <= 120").select("l_orderkey", "operands", A.product_chain(nums, F.col("places")).alias("value"))
-    # beyond 38 decimal digits: the same product as an expression without bounds
-    text = F.concat(F.array_join(F.transform("ks", lambda s: s["k"].cast("string")), "*"), F.lit("/2^"), F.col("all"))
-    wide = expressions.evaluated(rows.where("all > 120").select("l_orderkey", F.col("operands").alias("many"), text.alias("src")), "src")
+    # beyond 38 decimal digits: the same product as an expression without bounds, each operand over its own power; no number where one is null
+    text = F.when(F.col("all").isNotNull(), F.array_join(F.transform("ks", lambda s, i: F.concat(s["k"].cast("string"), F.lit("/2^"), F.get("places", i).cast("string"))), "*"))
+    wide = expressions.evaluated(rows.where("all > 120 OR all IS NULL").select("l_orderkey", F.col("operands").alias("many"), text.alias("src")), "src")
     return narrow.unionByName(wide.select("l_orderkey", F.col("many").alias("operands"), "value"))
 
 

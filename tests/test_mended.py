@@ -78,3 +78,36 @@ def test_facts_round_the_shown_wavelength(spark, tmp_path):
     """Keys whose wavelength has a half in its fourth decimal once it is cut to six."""
     rows = against_sql(spark, tmp_path, "q_facts", orders="SELECT CAST(unnest([10378, 12357, 6282, 4165, 14474, 8261, 1, 0]) AS BIGINT) AS o_orderkey")
     assert {r["o_orderkey"]: r["nm"] for r in rows}[10378] == 435.425
+
+
+def test_ratios_of_over_32_digits(spark):
+    """Numerators of 33 to 37 digits, odd and even, both signs, against fractions."""
+    from fractions import Fraction
+
+    from pyspark.sql import functions as F
+
+    from plait.functions import digits
+
+    wide = [(s * n, p) for n in (10**32 + 1, 2**119 - 1, 2**119, 3 * 2**61, 3 * 2**62, 3 * 2**63, 2**124 - 2**70, 10**36, 12345678901234567890 << 40) for s in (1, -1) for p in (0, 1, 61, 62, 63, 112, 120, 124)]
+    rows = spark.createDataFrame([(str(n), p) for n, p in wide], "n string, p int")
+    got = {(int(r.n), r.p): r.v for r in rows.withColumn("v", digits.ratio(F.col("n").cast(digits.EXACT), F.col("p"))).collect()}
+    assert got == {(n, p): str(Fraction(n, 1 << p)) for n, p in wide}
+
+
+def test_chains_of_large_many_and_null_operands(spark, tmp_path):
+    """Orders of seven operands of 16 bits, of 300, and with a null."""
+    import math
+    from fractions import Fraction
+
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    keys = {1: [59999, 65535, 65533, 61001, 59001, 65521, 65519], 2: [4095] * 300, 3: [7, None, 5], 4: [0, 4], 5: [6]}
+    lines = ", ".join(f"({o}, {i}, {'NULL' if k is None else k})" for o, ks in keys.items() for i, k in enumerate(ks))
+    duckdb.sql(f"COPY (SELECT CAST(o AS BIGINT) AS l_orderkey, CAST(i AS INTEGER) AS l_linenumber, CAST(k AS BIGINT) AS l_suppkey FROM (VALUES {lines}) t(o, i, k)) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    got = {r.l_orderkey: (r.operands, r.value) for r in entry.queries()["q_mul_chain"](spark, str(tmp_path)).collect()}
+    places = lambda k: 4 * -(-max(1, k.bit_length()) // 4) if k else 1
+    want = {o: (len(ks), None if None in ks else str(Fraction(math.prod(ks), 1 << sum(map(places, ks))))) for o, ks in keys.items()}
+    assert got == want
+    assert int(got[1][1].split("/")[0]) > 10**32
