@@ -31,6 +31,33 @@ def grid(a: Column, b: Column) -> Column:
     return let(F.struct(a.alias("a"), b.alias("b")), of)
 
 
+def grid_regions(a: Column, b: Column) -> Column:
+    """What the regions of the product rectangle of two integers' stalks hold, without its cells: structs region, cells, lit, coarsest.
+
+    coarsest is the least w of the region. Regions without a cell are left out; null where an operand is.
+    """
+
+    def of(p: Column) -> Column:
+        shift = lambda x, by: F.call_function("shiftright", x, by.cast("int"))
+        one = F.lit(1).cast("bigint")
+        k = F.least(p["m"], p["n"])  # the fold is diagonal k - 1
+        row = lambda r: shift(p["b"], p["n"] - 1 - r).bitwiseAND(one)
+        # of a lit row r, the first k - r cells lie in inner and fold, the last of these in the fold
+        upto = F.aggregate(F.sequence(F.lit(0), k - 1), F.lit(0), lambda s, r: s + F.when(row(r) == 1, F.bit_count(shift(p["a"], p["m"] - k + r))).otherwise(0))
+        fold = F.aggregate(F.sequence(F.lit(0), k - 1), F.lit(0), lambda s, r: s + row(r).bitwiseAND(shift(p["a"], p["m"] - k + r)).cast("int"))
+        sums = F.struct(k.alias("k"), (p["m"] * p["n"]).alias("all"), upto.alias("upto"), fold.alias("fold"), (F.bit_count(p["a"]) * F.bit_count(p["b"])).alias("lit"))
+        part = lambda name, cells, lit, w: F.struct(F.lit(name).alias("region"), cells.cast("bigint").alias("cells"), lit.cast("bigint").alias("lit"), w.cast("int").alias("coarsest"))
+        parts = lambda s: F.array(
+            part("inner", s["k"] * (s["k"] - 1) / 2, s["upto"] - s["fold"], F.lit(2)),
+            part("fold", s["k"], s["fold"], s["k"] + 1),
+            part("outer", s["all"] - s["k"] * (s["k"] + 1) / 2, s["lit"] - s["upto"], s["k"] + 2),
+        )
+        return F.filter(let(sums, parts), lambda x: x["cells"] > 0)
+
+    operands = F.struct(F.abs(a).alias("a"), F.abs(b).alias("b"), D.hex_length(a).alias("m"), D.hex_length(b).alias("n"))
+    return F.when(a.isNotNull() & b.isNotNull(), let(operands, of))
+
+
 def squash(a: Column, b: Column) -> Column:
     """The sums of the rectangle's anti-diagonals; the d-th weighs 2^-(d+2)."""
 

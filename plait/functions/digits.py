@@ -55,6 +55,11 @@ def hex_cells(k: Column) -> Column:
     return F.when(k == 0, F.array(F.lit(0))).otherwise(_digits(F.lpad(b, (F.ceil(F.length(b) / 4) * 4).cast("int"), "0"), F.signum(k).cast("int")))
 
 
+def hex_length(k: Column) -> Column:
+    """The number of hex_cells()."""
+    return F.when(k == 0, 1).otherwise((F.ceil(F.length(bits(k)) / 4) * 4).cast("int"))
+
+
 def exact_bits(k: Column) -> Column:
     """The bits of the magnitude of an exact integer below 2^124, without leading zeros."""
 

@@ -111,3 +111,21 @@ def test_chains_of_large_many_and_null_operands(spark, tmp_path):
     want = {o: (len(ks), None if None in ks else str(Fraction(math.prod(ks), 1 << sum(map(places, ks))))) for o, ks in keys.items()}
     assert got == want
     assert int(got[1][1].split("/")[0]) > 10**32
+
+
+def test_product_grids_make_no_rows_of_cells(spark, tmp_path):
+    """Operands of 1 to 64 cells, zeros and nulls: counts as in SQL and in the grid's cells, grouped once."""
+    from pyspark.sql import functions as F
+
+    import __spark_entry__ as entry
+    from plait.functions import arithmetic, digits
+
+    keys = "[0, 1, 15, 16, 255, 999, 20000, 65535, 65536, 1199999, 4294967297, 9007199254740991, 9223372036854775806, NULL]"
+    rows = against_sql(spark, tmp_path, "q_product_grid", lineitem=f"SELECT CAST(a AS BIGINT) AS l_partkey, CAST(b AS BIGINT) AS l_suppkey FROM (SELECT unnest({keys}) AS a), (SELECT unnest({keys}) AS b)")
+    assert len(rows) == 13 * 13 * 3 - (13 + 12) * 1 - 1  # a single row or column has no inner cell, a single cell no outer one
+    plan = entry.queries()["q_product_grid"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
+    few = spark.createDataFrame([(a, b) for a in (0, -5, 300, -70000) for b in (0, 7, 999)], "a long, b long")
+    cells = few.select("a", "b", F.inline(arithmetic.grid(digits.hex_cells(F.col("a")), digits.hex_cells(F.col("b"))))).groupBy("a", "b", "region").agg(F.count("*"), F.count_if(F.col("v") != 0), F.min("w"))
+    counts = few.select("a", "b", F.inline(arithmetic.grid_regions(F.col("a"), F.col("b"))))
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, cells.collect()))
