@@ -32,6 +32,9 @@ STEP, GROWTH = 16, 1.5  # rows learnt at once; growth of the history between two
 KINDS, RICH = 3, 32  # candidate, order 1, order 0
 U = np.uint64
 MOST, RENORM = U((1 << 64) - 1), U(1 << 48)
+LOW = 23  # bits of a size or total of order 1, below a start in one number
+_SIZE = (1 << LOW) - 1
+_ABREAST = 64  # lanes that are turned at once
 _POWERS = 1 << np.arange(32)
 _SPREAD = U(0x9E3779B97F4A7C15)
 
@@ -43,12 +46,12 @@ class _Models:
         self.bits = 12
         self.slots = np.zeros(1 << self.bits, np.int32)
         self.key, self.id = np.zeros(n + 1, np.uint32), np.zeros(n + 1, np.int32)
-        self.count, self.start, self.size = (np.zeros(n + 1, np.int32) for _ in range(3))
+        self.count, self.span = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int64)  # span: start << LOW | size
         self.after = np.zeros(n + 1, np.int32)  # candidate << 3 | confidence
         self.pairs, self.seen, self.next_table = 1, 0, 0
         self.count0, self.fresh = np.zeros(IDS, np.int64), []
         self.mix = np.tile(np.array([2, 2, 1], np.int64), (8 * RICH, 1))
-        self.rich, self.total, self.base = np.zeros(IDS, np.int64), np.zeros(IDS, np.int64), np.zeros(IDS, np.int64)
+        self.rich, self.total, self.bases = (np.zeros(IDS, np.int64) for _ in range(3))  # bases: base << LOW | total
         self._tables()
         self._mixed()
 
@@ -91,15 +94,22 @@ class _Models:
             self.count[:n] += np.bincount(np.concatenate(self.fresh), minlength=n)
             self.fresh = []
             self.order = np.argsort(self.key[1:n]) + 1
-            context, c = (self.key[self.order] >> np.uint32(16)).astype(np.int64), self.count[self.order].astype(np.int64)
-            total = np.bincount(context, weights=c, minlength=IDS).astype(np.int64)
-            if total.max() >= 1 << 22:  # totals stay small against the coding interval
-                c = np.maximum(c >> np.searchsorted(_POWERS, total >> 21, side="right")[context], 1)
-            self.total = np.bincount(context, weights=c, minlength=IDS).astype(np.int64)
-            self.base = np.cumsum(self.total) - self.total
-            self.start[self.order], self.size[self.order] = np.cumsum(c) - c - self.base[context], c
-            self.count0 = np.bincount(self.id[self.order], minlength=IDS)
+            key = self.key[self.order]
+            context, self.sizes = (key >> np.uint32(16)).astype(np.int64), self.count[self.order].astype(np.int64)
             kinds = np.bincount(context, minlength=IDS)
+            ends = np.cumsum(kinds)
+
+            def summed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                upto = np.concatenate([[0], np.cumsum(self.sizes)])
+                return upto[:-1], upto[ends - kinds], upto[ends] - upto[ends - kinds]
+
+            upto, base, total = summed()
+            if total.max() >= 1 << 22:  # totals stay small against the coding interval
+                self.sizes = np.maximum(self.sizes >> np.searchsorted(_POWERS, total >> 21, side="right")[context], 1)
+                upto, base, total = summed()
+            self.total, self.bases = total, base << LOW | total
+            self.span[self.order] = (upto - base[context]) << LOW | self.sizes
+            self.count0 = np.bincount(key & np.uint32(IDS - 1), minlength=IDS)
             often = (np.searchsorted(_POWERS[:16], self.total + 1, side="right") - 1) // 2
             self.rich = often * 4 + sum(self.total + 1 >= x * (kinds + 1) for x in (2, 4, 8))
         size = self.count0 * ((1 << BITS0) - IDS) // max(1, int(self.count0.sum())) + 1
@@ -113,7 +123,7 @@ class _Models:
             self.inverse0 = np.full(1 << BITS0, IDS - 1, np.int32)
             self.inverse0[: int(self.size0.sum())] = np.repeat(np.arange(IDS, dtype=np.int32), self.size0)
             if self.pairs > 1:
-                self.inverse1 = np.repeat(self.order.astype(np.int32), self.size[self.order])
+                self.inverse1 = np.repeat(self.order.astype(np.int32), self.sizes)
                 self.last = len(self.inverse1) - 1
 
     def _mixed(self) -> None:
@@ -143,12 +153,12 @@ class _Models:
                 self.insert(new[np.concatenate([[True], new[1:] != new[:-1]])])
                 found[found == 0] = self.find(key[found == 0])
             pair[left] = found
-        j, pair = pair, pair.reshape(shape)
+        j, pair, short = pair, pair.reshape(shape), pair.astype(np.int32)
         above = np.concatenate([before[None, : shape[1]], pair[:-1]]).ravel()
         a = self.after.take(above)
         sure = a & 7
-        missed = np.where(sure < 2, j << 3 | 1, a - (sure >> 1))
-        self.after[above] = np.where(a >> 3 == j, a + (sure < 7), missed)
+        missed = np.where(sure < 2, short << 3 | 1, a - (sure >> 1))
+        self.after[above] = np.where(a >> 3 == short, a + (sure < 7), missed)
         self.after[0] = 0
         self.fresh.append(j)
         self.seen += len(j)
@@ -178,14 +188,26 @@ def _steps(rows: int, lanes: int, long: int) -> list[tuple[int, int, int]]:
 def _abreast(ids: np.ndarray, lanes: int, rows: int, long: int) -> np.ndarray:
     """ids as rows of lanes: the first `long` lanes hold `rows` ids in a row, the others one less."""
     out = np.zeros((rows, lanes), ids.dtype)
-    out[:, :long] = ids[: long * rows].reshape(long, rows).T
-    out[:-1, long:] = ids[long * rows :].reshape(lanes - long, rows - 1).T
+    whole, less = ids[: long * rows].reshape(long, rows), ids[long * rows :].reshape(lanes - long, rows - 1)
+    for a in range(0, lanes, _ABREAST):
+        b = min(a + _ABREAST, long)
+        out[:, a:b] = whole[a:b].T
+        a, b = max(a, long), a + _ABREAST
+        out[:-1, a:b] = less[a - long : max(b - long, 0)].T
     return out
 
 
 def _in_line(table: np.ndarray, long: int) -> np.ndarray:
     """The inverse of _abreast()."""
-    return np.concatenate([table[:, :long].T.ravel(), table[:-1, long:].T.ravel()])
+    rows, lanes = table.shape
+    out = np.empty(long * rows + (lanes - long) * (rows - 1), table.dtype)
+    whole, less = out[: long * rows].reshape(long, rows), out[long * rows :].reshape(lanes - long, rows - 1)
+    for a in range(0, lanes, _ABREAST):
+        b = min(a + _ABREAST, long)
+        whole[a:b] = table[:, a:b].T
+        a, b = max(a, long), a + _ABREAST
+        less[a - long : max(b - long, 0)] = table[:-1, a:b].T
+    return out
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -205,19 +227,28 @@ def encode(ids: np.ndarray) -> bytes:
         x = table[t : t + height, :k].astype(np.int64)
         prev = np.concatenate([last[None, :k], x[:-1]])
         pair = m.find((prev.astype(np.uint32) << np.uint32(16) | x.astype(np.uint32)).ravel()).reshape(x.shape)
-        a, cell, kind, above = np.empty_like(pair), np.empty_like(pair), np.empty_like(pair), before[:k]
-        own = m.size.take(pair)
-        rare = np.where(own > 0, 1, 2)
-        for i in range(height):  # a pair that order 0 codes has no number until it is learnt
-            a[i], cell[i] = m.look(prev[i], above)
-            kind[i] = np.where((pair[i] == a[i]) & (above > 0) & (a[i] > 0), 0, rare[i])
-            above = np.where(kind[i] < 2, pair[i], 0)
-        chosen = cell + kind
-        mine, taken = m.start.take(pair), m.size.take(a)
-        first, zero = kind == 1, kind == 2
-        begin = np.where(first, mine - np.where(m.start.take(a) < mine, taken, 0), np.where(zero, m.start0.take(x), 0)).astype(U)
-        size = np.where(first, own, np.where(zero, m.size0.take(x), 1)).astype(U)
-        total = np.where(first, m.total.take(prev) - taken, np.where(zero, 1 << BITS0, 1)).astype(U)
+        span = m.span.take(pair)
+        own = span & _SIZE
+        known = own > 0  # a pair that order 0 codes has no number until it is learnt
+        above = np.concatenate([before[None, :k], np.where(known, pair, 0)[:-1]])
+        state = m.after.take(above)
+        row, lane = np.nonzero(~known[:-1] & (pair[:-1] > 0))  # the candidate alone may code these
+        ends = np.searchsorted(row, np.arange(height))
+        for i in range(height - 1):
+            some = lane[ends[i] : ends[i + 1]]
+            some = some[pair[i, some] == state[i, some] >> 3]
+            state[i + 1, some] = m.after.take(pair[i, some])
+        a = state >> 3
+        held = (pair == a) & (pair > 0)
+        kind = np.where(held, 0, 2 - known)
+        chosen = ((state & 7) * RICH + m.rich.take(prev)) * KINDS + kind
+        zero, left = kind == 2, m.span.take(a)
+        taken, mine = left & _SIZE, span >> LOW
+        begin, size, total = mine - taken * (left >> LOW < mine), own, m.total.take(prev) - taken
+        for where, values in ((np.flatnonzero(held), (0, 1, 1)), (at0 := np.flatnonzero(zero), (m.start0.take(x.ravel()[at0]), m.size0.take(x.ravel()[at0]), 1 << BITS0))):
+            for of, value in zip((begin, size, total), values):
+                of.ravel()[where] = value
+        begin, size, total = begin.view(U), size.view(U), total.view(U)
         bound, part = m.bound.take(chosen), m.part.take(chosen)
         for i in range(height):
             r = width[:k] >> U(BITS)
@@ -267,7 +298,7 @@ def decode(block: bytes) -> np.ndarray:
     at = np.cumsum(length + 4) - length - 4
     flat = np.zeros(int((length + 4).sum()) + 4, np.uint16)  # zeros after each lane
     flat[np.arange(int(length.sum())) + np.repeat(4 * np.arange(lanes), length)] = np.frombuffer(block, "<u2", -1, HEAD.size + 4 * lanes)
-    m, table = _Models(n), np.zeros((rows, lanes), np.int32)
+    m, table = _Models(n), np.zeros((rows, lanes + 16), np.int32)[:, :lanes]  # rows a power of two apart would share cache sets
     code, width = np.zeros(lanes, U), np.full(lanes, MOST)
     for i in range(4):
         code = code << U(16) | flat.take(at + i).astype(U)
@@ -282,26 +313,27 @@ def decode(block: bytes) -> np.ndarray:
             prev[i] = ids
             a, cell = m.look(ids, above)
             co, r = code[:k], width[:k] >> U(BITS)
-            kind = (co >= r * m.bound.take(cell + 1)).astype(np.int64) + (co >= r * m.bound.take(cell + 2))
-            cell += kind
+            first, zero = co >= r * m.bound[1:].take(cell), co >= r * m.bound[2:].take(cell)
+            cell += np.add(first, zero, dtype=np.int64)
             chosen[i] = cell
             co = co - r * m.bound.take(cell)
             wi = r * m.part.take(cell)
             x = m.id.take(a).astype(np.int64)
-            above = np.where(kind == 0, a, 0)
-            rest = np.flatnonzero(kind == 1)
+            above = a * ~first
+            rest = np.flatnonzero(first & ~zero)
             if len(rest):
-                after, taken = ids[rest], a[rest]
-                at_a, size_a = m.start.take(taken), m.size.take(taken)
-                share = wi[rest] // np.maximum(m.total.take(after) - size_a, 1).astype(U)
-                v = np.minimum(co[rest] // share, U(1 << 40)).astype(np.int64)
-                found = m.inverse1.take(np.minimum(v + np.where(v >= at_a, size_a, 0) + m.base.take(after), m.last))
-                mine = m.start.take(found)
-                co[rest] -= share * (mine - np.where(at_a < mine, size_a, 0)).astype(U)
-                wi[rest] = share * m.size.take(found).astype(U)
+                left, table1, some = m.span.take(a[rest]), m.bases.take(ids[rest]), co[rest]
+                at_a, size_a = left >> LOW, left & _SIZE
+                share = wi[rest] // np.maximum((table1 & _SIZE) - size_a, 1).view(U)
+                v = np.minimum(some // share, U(1 << 40)).view(np.int64)
+                found = m.inverse1.take(np.minimum(v + size_a * (v >= at_a) + (table1 >> LOW), m.last)).astype(np.int64)
+                span = m.span.take(found)
+                mine = span >> LOW
+                co[rest] = some - share * (mine - size_a * (at_a < mine)).view(U)
+                wi[rest] = share * (span & _SIZE).view(U)
                 above[rest] = found
                 x[rest] = m.id.take(found)
-            rest = np.flatnonzero(kind == 2)
+            rest = np.flatnonzero(zero)
             if len(rest):
                 share = wi[rest] >> U(BITS0)
                 y = m.inverse0.take(np.minimum(co[rest] // share, U((1 << BITS0) - 1)).astype(np.int64))

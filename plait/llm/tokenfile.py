@@ -65,7 +65,10 @@ def write(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0
         for batch in batches:
             some, n = encoder.arrow(batch.column(1))
             held += batch.column(0).to_pylist()
-            ids.append(np.insert(some, np.cumsum(n), end_id).astype(np.uint32))
+            ended, ends = np.full(len(some) + len(n), end_id, np.uint32), np.cumsum(n)
+            for i, (a, b) in enumerate(zip((ends - n).tolist(), ends.tolist())):
+                ended[a + i : b + i] = some[a:b]
+            ids.append(ended)
             lengths.append(n + 1)
             size += len(ids[-1])
             if size >= BLOCK:

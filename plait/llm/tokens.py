@@ -60,10 +60,14 @@ class _Pool:
     def __init__(self) -> None:
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def add(self, ids: np.ndarray) -> None:
+    def lay(self, ids: np.ndarray) -> None:
+        """Puts ids behind those in use, until the next lay() or add()."""
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(ids)] = ids
+
+    def add(self, ids: np.ndarray) -> None:
+        self.lay(ids)
         self.used += len(ids)
 
 
@@ -188,8 +192,8 @@ class Encoder:
             count = self.count.take(found).astype(np.int64)
             return self.pool.ids.take(ragged(self.first.take(found), count)), count
         number: dict[bytes, int] = {}
-        raw, put = memoryview(data), number.setdefault
-        which = np.array([put(bytes(raw[a:b]), len(number)) for a, b in zip(at[missing].tolist(), (at + length)[missing].tolist())])
+        raw, put = data.tobytes(), number.setdefault
+        which = np.array([put(raw[a:b], len(number)) for a, b in zip(at[missing].tolist(), (at + length)[missing].tolist())])
         own, own_count = self._ids([piece.decode() for piece in number])
         own_first = np.cumsum(own_count) - own_count
         sample = np.zeros(len(number), np.int64)
@@ -199,7 +203,8 @@ class Encoder:
         old = np.flatnonzero(found >= 0)
         first[old], count[old] = self.first.take(found[old]), self.count.take(found[old])
         first[missing], count[missing] = self.pool.used + own_first[which], own_count[which]
-        out = np.concatenate([self.pool.ids[: self.pool.used], own]).take(ragged(first, count))
+        self.pool.lay(own)
+        out = self.pool.ids.take(ragged(first, count))
         if len(keep):
             key = self._key(view, at[sample[keep]], length[sample[keep]])
             self._find(key, new=True)
