@@ -212,7 +212,7 @@ def tokenized_pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int
         encoder = tokens.encoder(tokenizer, keeps_blanks=False)
         for batch in batches:
             ids, n = encoder.arrow(batch.column(1))
-            raw = memoryview(np.insert(ids, np.cumsum(n), end_id).astype("<u4")).cast("B")
+            raw = memoryview(np.insert(ids, np.cumsum(n), end_id).astype("<u4", copy=False)).cast("B")
             n = n + 1
             pieces = -(-n // capacity)
             doc = np.repeat(np.arange(len(n)), pieces)
@@ -223,6 +223,7 @@ def tokenized_pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int
             crc = [zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(at.tolist(), length.tolist())]
             columns = [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+        common.released()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, _PIECES)
 

@@ -24,6 +24,7 @@ _ODD = re.compile(rb"[\x00-\x09\x0b-\x1f\x7f]|\xc2[\x80-\x9f\xa0]|\xe1\x9a\x80|\
 REMEMBERED, LONGEST = 1 << 21, 24  # pieces; bytes of one
 _SLOTS = 1 << 22
 _STEP = 1 << 22  # bytes that are cut at once, and pieces that are looked up at once
+_TEXTS = 1 << 21  # bytes of texts that are encoded at once, but for what the last of them has beyond
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xBF58476D1CE4E5B9)]
 _BLANK, _LETTER, _POINT, _SUSPECT = 1, 2, 4, 8
 
@@ -223,6 +224,13 @@ class Encoder:
         if not len(column):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         bounds = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
+        # each cut and piece takes many times its bytes, so only some texts are cut and looked up together
+        first = np.flatnonzero(np.diff((bounds[:-1] - bounds[0]) // _TEXTS, prepend=-1)).tolist()
+        made = [self._texts(column, bounds[a : b + 1]) for a, b in zip(first, [*first[1:], len(column)])]
+        return np.concatenate([ids for ids, _ in made]), np.concatenate([n for _, n in made])
+
+    def _texts(self, column: pa.Array, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts between bounds in the column's bytes one after another, and how many each has."""
         n = int(bounds[-1] - bounds[0])
         data = np.zeros(n + 40, np.uint8)
         if n:

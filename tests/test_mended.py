@@ -161,3 +161,31 @@ def test_op8_encoder_looks_by_steps(monkeypatch):
     assert {n: hashlib.sha256(b).hexdigest()[:16] for n, b in blocks.items()} == digests
     for n, b in blocks.items():
         assert np.array_equal(rangecoder.decode(b), ids(n))
+
+
+def test_op1_memory_of_a_batch(monkeypatch):
+    """The largest batch, of words of one letter, takes a few times its bytes (about forty before); parts of any size give the same ids."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from plait.llm import tokens
+
+    encoder = tokens.Encoder("word_bpe_49k.json", keeps_blanks=False)
+    texts = pa.array(["a b " * (1 << 18)] * 16)
+    encoder.arrow(texts[:1])
+    tracemalloc.start()
+    ids, n = encoder.arrow(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n.tolist() == [1 << 19] * 16 and len(ids) == 1 << 23
+    assert peak < 12 * texts.nbytes
+
+    odd = [None, "", "one two", "", "x" * 300, "a\tb " * 50, "é, " * 40, None, " ", "", "end.", ""]
+    for column in (pa.array(odd), pa.array(["skipped", *odd])[1:], pa.array([None, ""], pa.string())):
+        own = [encoder.arrow(column[i : i + 1]) for i in range(len(column))]
+        for size in (1, 7, 100, 1 << 21):
+            monkeypatch.setattr(tokens, "_TEXTS", size)
+            ids, n = encoder.arrow(column)
+            assert n.tolist() == [int(c[0]) for _, c in own] and np.array_equal(ids, np.concatenate([i for i, _ in own]))
