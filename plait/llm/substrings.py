@@ -29,6 +29,7 @@ from plait.llm import common
 WINDOW, BLOCK = 13, 7
 CHUNK = 1 << 20  # words in a task's share of one exchange row set
 BUCKET = 1 << 25  # characters of all texts for each bucket that a task holds at once
+PASSED = 1 << 20  # bytes of rows made before they are passed on
 REMEMBERED = 150_000
 MULTIPLIER, SECOND = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 _DOCUMENT = "<?qqI32s"  # without a doc_id, doc_id, hash of the text, words, SHA-256 of them
@@ -59,7 +60,8 @@ def rolling(h: np.ndarray, n: int, multiplier: int) -> np.ndarray:
     for i in range(n if m > 0 else 0):
         out *= np.uint64(multiplier)
         out += h[i : i + m]
-    return out ^ out >> np.uint64(29)
+    out ^= out >> np.uint64(29)
+    return out
 
 
 def steps(positions: np.ndarray) -> bytes:
@@ -69,6 +71,12 @@ def steps(positions: np.ndarray) -> bytes:
     return struct.pack("<I", len(d)) + np.where(far, 255, d).astype(np.uint8).tobytes() + d[far].astype("<u4").tobytes()
 
 
+def steps_end(data: bytes, at: int) -> tuple[int, int]:
+    """How many positions steps() put there, and where they end."""
+    n = struct.unpack_from("<I", data, at)[0]
+    return n, at + 4 + n + 4 * data.count(b"\xff", at + 4, at + 4 + n)
+
+
 def unsteps(data: bytes, at: int) -> tuple[np.ndarray, int]:
     n = struct.unpack_from("<I", data, at)[0]
     d = np.frombuffer(data, np.uint8, n, at + 4).astype(np.int64)
@@ -87,33 +95,47 @@ def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return (h >> np.uint64(33)).astype(np.int64) % buckets
+    return (h >> np.uint64(33)).astype(np.uint32) % np.uint32(buckets)
+
+
+def _batches(rows: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most 64 rows, and of little more than PASSED bytes unless one row has them; none is held once passed on."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[3])
+        if len(held) == 64 or size >= PASSED:
+            yield _rows(held)
+            held, size = [], 0
+    if held:
+        yield _rows(held)
 
 
 def _probe_chunks(buckets: int):
     """Packs every rolling window of BLOCK words, marking indexed blocks, and passes on each chunk's table of documents."""
 
-    def pack(chunk: int, docs: list[tuple], hashes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def pack(chunk: int, docs: list[tuple], hashes: list[np.ndarray]) -> Iterator[tuple[int, int, int, bytes]]:
         lengths = np.array([len(h) for h in hashes], np.int64)
         h, first = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.cumsum(lengths) - lengths
-        w, mixed = rolling(h, BLOCK, MULTIPLIER), rolling(h, BLOCK, SECOND)
-        inside = np.arange(len(w)) - np.repeat(first, lengths)[: len(w)]
-        left = np.repeat(lengths, lengths)[: len(w)] - inside
-        use = np.flatnonzero(left >= BLOCK)
-        bucket = _bucket(mixed[use], buckets).astype(np.uint16 if buckets < 1 << 16 else np.int64)
-        order = use[np.argsort(bucket, kind="stable")]
+        hashes.clear()
+        bucket = _bucket(rolling(h, BLOCK, SECOND), buckets).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
+        low = rolling(h, BLOCK, MULTIPLIER).astype("<u4")
+        del h
+        inside = np.arange(len(low), dtype=np.int32)
+        inside -= np.repeat(first.astype(np.int32), lengths)[: len(low)]
+        use = np.flatnonzero(inside <= np.repeat((lengths - BLOCK).astype(np.int32), lengths)[: len(low)]).astype(np.int32)
+        marked = inside % BLOCK == 0
+        del inside
+        bucket = bucket[use]
         counts = np.bincount(bucket, minlength=buckets)
-        low = w[order].astype("<u4")
-        marks = inside[order] % BLOCK == 0
-        rows, at = [], 0
+        order = use[np.argsort(bucket, kind="stable")]
+        del use, bucket
+        at = 0
         for b in np.flatnonzero(counts):
-            part = slice(at, at + int(counts[b]))
-            rows.append((int(b), chunk, 0, steps(order[part]) + low[part].tobytes() + np.packbits(marks[part]).tobytes()))
+            part = order[at : at + int(counts[b])]
+            yield int(b), chunk, 0, steps(part) + low[part].tobytes() + np.packbits(marked[part]).tobytes()
             at += int(counts[b])
-        table = b"".join(struct.pack(_DOCUMENT, d is None, d or 0, th, n, sha) for d, th, n, sha in docs)
-        rows.append((chunk % buckets, chunk, 1, table))
-        for i in range(0, len(rows), 64):
-            yield _rows(rows[i : i + 64])
+        yield chunk % buckets, chunk, 1, b"".join(struct.pack(_DOCUMENT, d is None, d or 0, th, n, sha) for d, th, n, sha in docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, docs, hashes, size = TaskContext.get().partitionId(), 0, [], [], 0
@@ -124,10 +146,11 @@ def _probe_chunks(buckets: int):
                 hashes.append(word_hashes(words))
                 size += len(words)
                 if size >= CHUNK:
-                    yield from pack(part << 32 | number, docs, hashes)
+                    yield from _batches(pack(part << 32 | number, docs, hashes))
                     number, docs, hashes, size = number + 1, [], [], 0
         if docs:
-            yield from pack(part << 32 | number, docs, hashes)
+            yield from _batches(pack(part << 32 | number, docs, hashes))
+        common.released()
 
     return run
 
@@ -149,34 +172,30 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
 
 def _find_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In each bucket: the places of every hash that stands twice or more and at an indexed block at least once."""
-    for _, rows in _grouped(batches, "bucket"):
-        out = [r for r in rows if r[2] == 1]
+
+    def hits(rows: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int, bytes]]:
+        yield from (r for r in rows if r[2] == 1)
         rows = [r for r in rows if r[2] == 0]
-        at, hashes, marks = [], [], []
-        for _, _, _, data in rows:
-            positions, i = unsteps(data, 0)
-            n = len(positions)
-            at.append(positions)
-            hashes.append(np.frombuffer(data, "<u4", n, i))
-            marks.append(np.unpackbits(np.frombuffer(data, np.uint8, -1, i + 4 * n), count=n).astype(bool))
         if rows:
-            h, marked = np.concatenate(hashes), np.concatenate(marks)
+            ends = [steps_end(data, 0) for _, _, _, data in rows]
+            h = np.concatenate([np.frombuffer(data, "<u4", n, i) for (_, _, _, data), (n, i) in zip(rows, ends)])
+            marked = np.concatenate([np.unpackbits(np.frombuffer(data, np.uint8, -1, i + 4 * n), count=n) for (_, _, _, data), (n, i) in zip(rows, ends)]).astype(bool)
             order = np.argsort(h, kind="stable")
-            s = h[order]
-            new = np.concatenate([[True], s[1:] != s[:-1]])
-            group = np.cumsum(new) - 1
-            n = np.bincount(group)
-            good = (n >= 2) & (np.bincount(group, weights=marked[order]) > 0)
+            h = h[order]
+            new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            times = np.diff(np.append(new, len(h)))
             hit = np.zeros(len(h), bool)
-            hit[order] = good[group]
+            hit[order] = np.repeat((times >= 2) & np.logical_or.reduceat(marked[order], new), times)
+            del h, marked, order, new, times
             start = 0
-            for (_, chunk, _, _), positions in zip(rows, at):
-                own = positions[hit[start : start + len(positions)]]
-                start += len(positions)
+            for (_, chunk, _, data), (n, _) in zip(rows, ends):
+                own = np.flatnonzero(hit[start : start + n])
+                start += n
                 if len(own):
-                    out.append((0, chunk, 0, steps(own)))
-        for i in range(0, len(out), 64):
-            yield _rows(out[i : i + 64])
+                    yield 0, chunk, 0, steps(unsteps(data, 0)[0][own])
+
+    for _, rows in _grouped(batches, "bucket"):
+        yield from _batches(hits(rows))
     common.released()
 
 
@@ -193,6 +212,7 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = docs[i : i + 512]
             columns = [pa.array([None if d[0] else d[1] for d in part], pa.int64()), pa.array([d[2] for d in part], pa.int64()), pa.array([d[3] for d in part], pa.int64()), pa.array([d[4].hex() for d in part]), pa.array(own[i : i + 512], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "n_words", "sha", "hits"])
+    common.released()
 
 
 def _candidates(hits: np.ndarray, n_words: int) -> np.ndarray:
@@ -210,23 +230,19 @@ def _candidate_chunks(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, docs, size = TaskContext.get().partitionId(), [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            number = np.concatenate([np.full(len(d[2]), i, np.int64) for i, d in enumerate(docs)])
-            at, h, mixed = (np.concatenate([d[k] for d in docs]) for k in (2, 3, 4))
-            bucket = _bucket(mixed, buckets)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = []
+        def flush() -> Iterator[tuple[int, int, int, bytes]]:
+            heads = np.array([(d[0] is None, d[0] or 0, d[1]) for d in docs], _KEY)
+            number = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d[2]) for d in docs])
+            at, h, bucket = (np.concatenate([d[k] for d in docs]) for k in (2, 3, 4))
+            docs.clear()
+            order = np.argsort(bucket, kind="stable").astype(np.int32)
+            cut = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+            del bucket
             for b in np.flatnonzero(np.diff(cut)):
                 o = order[cut[b] : cut[b + 1]]
-                who, first, n = np.unique(number[o], return_index=True, return_counts=True)
-                who = who[np.argsort(first)]
-                n = n[np.argsort(first)]
-                keys = np.array([(docs[i][0] is None, docs[i][0] or 0, docs[i][1]) for i in who], _KEY)
-                rows.append((int(b), part, 0, struct.pack("<II", len(o), len(who)) + keys.tobytes() + n.astype("<u4").tobytes() + h[o].astype("<u8").tobytes() + at[o].astype("<u4" if at[o].max() >> 16 else "<u2").tobytes()))
-            docs.clear()
-            for i in range(0, len(rows), 64):
-                yield _rows(rows[i : i + 64])
+                who, n = np.unique(number[o], return_counts=True)  # ascending, as they stand
+                starts = at[o]
+                yield int(b), part, 0, struct.pack("<II", len(o), len(who)) + heads[who].tobytes() + n.astype("<u4").tobytes() + h[o].astype("<u8").tobytes() + starts.astype("<u4" if starts.max() >> 16 else "<u2").tobytes()
 
         for batch in batches:
             for doc, th, text, hits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
@@ -234,20 +250,22 @@ def _candidate_chunks(buckets: int):
                 at = _candidates(unsteps(hits, 0)[0], len(words))
                 if len(at):
                     h = word_hashes(words)
-                    docs.append((doc, th, at, rolling(h, WINDOW, MULTIPLIER)[at], rolling(h, WINDOW, SECOND)[at]))
+                    docs.append((doc, th, at.astype(np.int32), rolling(h, WINDOW, MULTIPLIER)[at], _bucket(rolling(h, WINDOW, SECOND)[at], buckets).astype(np.uint16 if buckets < 1 << 16 else np.uint32)))
                     size += len(at)
                     if size >= CHUNK:
-                        yield from flush()
+                        yield from _batches(flush())
                         size = 0
         if docs:
-            yield from flush()
+            yield from _batches(flush())
+        common.released()
 
     return run
 
 
 def _find_repeats(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """In each bucket: candidates whose hash also belongs to a smaller doc_id, packed for one of `parts` gatherers."""
-    for _, rows in _grouped(batches, "bucket"):
+
+    def read(rows: list[tuple[int, int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         keys, counts, hashes, starts = [], [], [], []
         for _, _, _, data in rows:
             n, k = struct.unpack_from("<II", data)
@@ -257,26 +275,36 @@ def _find_repeats(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.
             counts.append(np.frombuffer(data, "<u4", k, i).astype(np.int64))
             hashes.append(np.frombuffer(data, "<u8", n, i + 4 * k))
             starts.append(np.frombuffer(data, "<u2" if len(data) == i + 4 * k + 10 * n else "<u4", n, i + 4 * k + 8 * n).astype(np.uint32))
-        key, n, h, at = np.concatenate(keys), np.concatenate(counts), np.concatenate(hashes), np.concatenate(starts)
-        who = np.repeat(np.arange(len(n), dtype=np.int32), n)
-        none, doc = key["null"][who], np.where(key["null"], np.iinfo(np.int64).max, key["doc"])[who]
+        return np.concatenate(keys), np.concatenate(counts), np.concatenate(hashes), np.concatenate(starts)
+
+    def repeats(rows: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int, bytes]]:
+        key, n, h, at = read(rows)
+        rows.clear()
+        rank = np.unique(key["doc"], return_inverse=True)[1].astype(np.int32) + np.int32(1)
+        rank[key["null"]] = 0  # no doc_id comes before all
+        rank = np.repeat(rank, n)
         order = np.argsort(h, kind="stable")
-        s = h[order]
-        new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        h = h[order]
+        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         times = np.diff(np.append(new, len(h)))
-        least, first = np.repeat(np.minimum.reduceat(doc[order], new), times), np.repeat(np.logical_or.reduceat(none[order], new), times)
-        repeat = np.zeros(len(h), bool)
-        repeat[order] = ~none[order] & (first | (doc[order] > least))  # no doc_id comes before all
+        del h
+        rank = rank[order]
+        repeat = np.zeros(len(rank), bool)
+        repeat[order] = rank > np.repeat(np.minimum.reduceat(rank, new), times)
+        del rank, order, new, times
         own = np.flatnonzero(repeat)
-        cut = np.searchsorted(who[own], np.arange(len(n) + 1))
+        cut = np.searchsorted(own, np.concatenate([[0], np.cumsum(n)]))
         out: dict[int, list[bytes]] = {}
-        for i, a, b in zip(range(len(n)), cut[:-1], cut[1:]):
-            if b > a:
-                x = key[i].tobytes() + struct.pack("<I", b - a) + at[own[a:b]].tobytes()
-                out.setdefault((int(key[i]["doc"]) * 31 + int(key[i]["th"])) % parts, []).append(x)
-        rows = [(to, 0, 0, b"".join(x)) for to, x in out.items()]
-        for i in range(0, len(rows), 64):
-            yield _rows(rows[i : i + 64])
+        for i in np.flatnonzero(np.diff(cut)).tolist():
+            a, b = int(cut[i]), int(cut[i + 1])
+            x = key[i].tobytes() + struct.pack("<I", b - a) + at[own[a:b]].tobytes()
+            out.setdefault((int(key[i]["doc"]) * 31 + int(key[i]["th"])) % parts, []).append(x)
+        for to in list(out):
+            yield to, 0, 0, b"".join(out.pop(to))
+
+    for _, rows in _grouped(batches, "bucket"):
+        yield from _batches(repeats(rows))
+    common.released()
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,6 +325,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = np.frombuffer(b"".join(k for k, _ in part), _KEY)
             columns = [pa.array(keys["doc"].copy()), pa.array(keys["th"].copy()), pa.array([b"".join(x) for _, x in part], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "starts"])
+    common.released()
 
 
 def covered(starts: np.ndarray, n_words: int) -> np.ndarray:
@@ -317,6 +346,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((doc, th, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
         columns = list(zip(*rows)) if rows else [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "th", "n_removed", "sha", "kept"])
+    common.released()
 
 
 def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -336,24 +366,23 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     buckets = max(4 * n, chars // BUCKET)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
     probes = rows.select("doc_id", "th", "text").mapInArrow(_probe_chunks(buckets), _PACKED)
-    hits = common.written(probes.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_find_hits, _PACKED), "substring-hits")
-    common.settle(spark)
+    hits = probes.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_find_hits, _PACKED)
     schema = "doc_id long, th long, n_words long, sha string, hits binary"
-    table = common.written(hits.repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(_by_document, schema), "substring-documents")
-    common.dropped(hits)
+    table = common.written(hits.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_by_document, schema), "substring-documents")
+    common.settle(spark)
     marked = table.where("hits is not null").dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "hits")
     texts = rows.alias("a").join(marked.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")))
     texts = common.written(texts.select("a.doc_id", "a.th", "a.text", "b.hits"), "substring-texts")
     common.settle(spark)
     candidates = texts.select("doc_id", "th", "text", "hits").mapInArrow(_candidate_chunks(max(1, n // 2, buckets // 8)), _PACKED)
     repeats = candidates.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _find_repeats(b, n), _PACKED)
-    repeats = common.written(repeats, "substring-repeats")
+    starts = repeats.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_gather, "doc_id long, th long, starts binary")
+    starts = common.written(starts, "substring-starts")
     common.settle(spark)
-    starts = repeats.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, "doc_id long, th long, starts binary")
     cut = texts.alias("a").join(starts.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")))
     cut = cut.select("a.doc_id", "a.th", "a.text", "b.starts").mapInArrow(_cut, "doc_id long, th long, n_removed long, sha string, kept string")
-    cut = common.written(cut if with_text else cut.drop("kept"), "substring-cut").dropDuplicates(["doc_id", "th"])
-    common.dropped(texts, repeats)
+    cut = common.written((cut if with_text else cut.drop("kept")).dropDuplicates(["doc_id", "th"]), "substring-cut")
+    common.dropped(texts, starts)
     common.settle(spark)
     out = table.alias("a").join(cut.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")), "left")
     columns = ["a.doc_id", "a.n_words", F.coalesce("b.n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("b.sha", "a.sha").alias("kept_sha256")]

@@ -189,3 +189,64 @@ def test_op1_memory_of_a_batch(monkeypatch):
             monkeypatch.setattr(tokens, "_TEXTS", size)
             ids, n = encoder.arrow(column)
             assert n.tolist() == [int(c[0]) for _, c in own] and np.array_equal(ids, np.concatenate([i for i, _ in own]))
+
+
+def test_op6_memory_of_a_task(monkeypatch):
+    """What a million words, their candidates and one bucket of these take, in MB (91, 106 and 77 before); long rows go in batches of their own."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from plait.llm import substrings
+
+    monkeypatch.setattr(substrings, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    texts = [" ".join(f"w{(i // 2 * 7 + j * j) % 997}" for j in range(4096)) for i in range(256)]
+    ids, every = pa.array(range(256), pa.int64()), substrings.steps(np.arange(0, 4090))
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(texts), pa.array([every] * 256, pa.binary())], ["doc_id", "th", "text", "hits"])
+
+    def peak(made):
+        rows, sizes = [], []
+        tracemalloc.start()
+        for b in made:
+            sizes.append(b.nbytes)
+            rows += [] if rows else [b]  # the first is kept, others only counted
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most / (1 << 20), rows, max(sizes)
+
+    substrings.word_hashes([w for t in texts for w in t.encode().split()])
+    probe, _, _ = peak(substrings._probe_chunks(200)(iter([batch])))
+    candidates, rows, largest = peak(substrings._candidate_chunks(1)(iter([batch])))
+    repeats, _, _ = peak(substrings._find_repeats(iter(rows), 8))
+    assert (probe < 60, candidates < 70, repeats < 55) == (True, True, True), (probe, candidates, repeats)
+    several = [b.num_rows for b in substrings._candidate_chunks(4)(iter([batch]))]
+    assert several == [1] * 4 and largest > 4 << 20
+
+
+def test_op6_small_tables_are_few_files(spark, monkeypatch):
+    """What op6 keeps of documents, repeats and cuts is written in fewer files than a shuffle has parts (one a part before)."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from plait.llm import common, substrings
+
+    files, write = {}, common.written
+
+    def written(df, name, *a):
+        out = write(df, name, *a)
+        files[name] = len(list(Path(urlparse(out._plait_path).path).glob("part-*")))
+        return out
+
+    monkeypatch.setattr(common, "written", written)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        rows = [(i, " ".join(f"w{(i // 2 * 31 + j) % 9973}" for j in range(40))) for i in range(400)]
+        got = substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(r.n_removed > 0 for r in got) >= 200 and len(got) == 400
+    small = {k: n for k, n in files.items() if k != "substring-texts"}
+    assert len(small) >= 3 and max(small.values()) < 12, files
